@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op6_simhash
+from . import op6_simhash, op7_bpe
 
 QUERIES = {
     "op6_simhash": op6_simhash.op6_simhash,
+    "op7_bpe": op7_bpe.op7_bpe,
 }
 
 ORACLES: dict[str, str] = {}
