@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op6_simhash, op7_bpe, op10_token_files
+from . import op6_simhash, op7_bpe, op9_warc, op10_token_files
 
 QUERIES = {
     "op6_simhash": op6_simhash.op6_simhash,
     "op7_bpe": op7_bpe.op7_bpe,
+    "op9_warc": op9_warc.op9_warc,
     "op10_token_files": op10_token_files.op10_token_files,
 }
 
