@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op4_language, op6_simhash, op7_bpe, op9_warc, op10_token_files
+from . import op4_language, op5_secrets, op6_simhash, op7_bpe, op9_warc, op10_token_files
 
 QUERIES = {
     "op4_language": op4_language.op4_language,
+    "op5_secrets": op5_secrets.op5_secrets,
     "op6_simhash": op6_simhash.op6_simhash,
     "op7_bpe": op7_bpe.op7_bpe,
     "op9_warc": op9_warc.op9_warc,
