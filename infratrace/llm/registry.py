@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op4_language, op5_secrets, op6_simhash, op7_bpe, op9_warc, op10_token_files
+from . import op1_quality, op4_language, op5_secrets, op6_simhash, op7_bpe, op9_warc, op10_token_files
 
 QUERIES = {
+    "op1_quality": op1_quality.op1_quality,
     "op4_language": op4_language.op4_language,
     "op5_secrets": op5_secrets.op5_secrets,
     "op6_simhash": op6_simhash.op6_simhash,
@@ -13,4 +14,6 @@ QUERIES = {
     "op10_token_files": op10_token_files.op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality": op1_quality.ORACLE,
+}
