@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_quality, op4_language, op5_secrets, op6_simhash, op7_bpe, op9_warc, op10_token_files
+from . import op1_quality, op2_mixing, op3_sharding, op4_language, op5_secrets, op6_simhash, op7_bpe, op9_warc, op10_token_files
 
 QUERIES = {
     "op1_quality": op1_quality.op1_quality,
+    "op2_mixing": op2_mixing.op2_mixing,
+    "op3_sharding": op3_sharding.op3_sharding,
     "op4_language": op4_language.op4_language,
     "op5_secrets": op5_secrets.op5_secrets,
     "op6_simhash": op6_simhash.op6_simhash,
@@ -16,4 +18,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_quality": op1_quality.ORACLE,
+    "op2_mixing": op2_mixing.ORACLE,
+    "op3_sharding": op3_sharding.ORACLE,
 }
