@@ -1,12 +1,84 @@
-"""Documents through the corpus operators, one after the other."""
+"""Documents through the corpus operators, one after the other.
+
+Language ID drops documents without a recognised language, near-duplicate search keeps one document
+of each class, the secret scan masks live secrets, mixing repeats and cuts documents to the sources'
+targets, and encoding adds token ids. Texts are joined to decisions by doc_id and a digest of the
+text, so equal rows share a decision and only keys are grouped.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from infratrace.llm import common, op2_mixing, op4_language, op5_secrets, op6_simhash, op7_bpe
+
+#: A language must be this likely.
+MIN_SCORE = 0.3
+MASK = "[SECRET]"
+
+
+def _digest():
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
+def _same(names: list[str]):
+    cond = F.lit(True)
+    for c in names:
+        cond = cond & F.col(f"d.{c}").eqNullSafe(F.col(f"k.{c}"))
+    return cond
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those without a letter or without a likely language go."""
+    net = op4_language.train(docs.where(~op4_language.held_out(F.col("doc_id"))))
+    told = op4_language.identify(docs, net, lang_pred="_lang", score="_score")
+    return told.where((F.col("_lang") != op4_language.NONE) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class: the smallest doc_id and, of its texts, that of the smallest digest."""
+    found = op6_simhash.near_duplicates(docs, keep={"m": _digest()})
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "m")
+    best = common.stash(found.groupBy("component").agg(F.min(order).alias("k")).select("k.doc_id", "k.m"), "kept")
+    chosen = docs.withColumn("m", _digest()).alias("d").join(best.alias("k"), _same(["doc_id", "m"]), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "m"]).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live secrets are masked; widely copied examples and everything else stay."""
+    found = op5_secrets.find_secrets(docs, repo=F.col("doc_id"), owner=F.col("source"), keep={"m": _digest()})
+    live = F.filter("secrets", lambda s: s["label"] == "live")
+    spans = common.stash(found.select("m", live.alias("live")).where(F.size("live") > 0).dropDuplicates(["m"]), "live")
+    told = docs.withColumn("m", _digest()).join(spans, "m", "left")
+    return op5_secrets.masked(told, "live", MASK).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each copy that the mix takes; where it takes the beginning of a text, these words."""
+    key = {"doc_id": F.col("doc_id"), "m": _digest(), "source": F.col("source")}
+    queued = common.stash(op2_mixing.queue(docs, key), "queue")
+    copies = common.stash(op2_mixing.mix(queued).join(queued.select("nth", "size"), "nth").select("kept.*", "words", "size"), "mix")
+    texts = docs.withColumn("m", _digest()).dropDuplicates(["doc_id", "m", "source"])
+    told = texts.alias("d").join(copies.alias("k"), _same(["doc_id", "m", "source"])).select("d.*", "k.words", "k.size")
+    return op2_mixing.cut(told, "words", "size").select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with its token ids (packed, unsigned 32 bits) in place of its text."""
+    done = op7_bpe.encode_documents(docs, ids="token_ids")
+    return done.withColumn("n_tokens", F.expr("cast(length(token_ids) div 4 as bigint)")).drop("text")
+
 
-from infratrace.llm import common
+STAGES = [
+    ("language", language),
+    ("near duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("mixing", mixing),
+    ("encoding", encoding),
+]
 
-STAGES: list = []
+#: A trained network and fingerprints have no SQL.
 ORACLE_SQL = None
 
 

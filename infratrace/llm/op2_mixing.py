@@ -84,6 +84,16 @@ def mix(queued: DataFrame, max_epochs: int = MAX_EPOCHS, bins: int = BINS) -> Da
     return placed.select("nth", "kept", "epoch", "finish", "words", (F.col("base") + F.col("inside")).alias("position"))
 
 
+def cut(docs: DataFrame, words: str, size: str, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """docs with texts of more than `words` words cut to these, joined by spaces; n_chars follows."""
+    whole = F.col(words) >= F.col(size)
+    own = F.array_join(F.slice(F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col(words).cast("int")), " ")
+    out = docs.withColumn(text, F.when(whole, F.col(text)).otherwise(own))
+    if n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.when(whole, F.col(n_chars)).otherwise(F.length(text).cast("long")))
+    return out
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     queued = stash(queue(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}), "queue")
     taken = mix(queued).groupBy("nth").agg(F.sum("words").alias("taken"), F.min("position").alias("first_position"))

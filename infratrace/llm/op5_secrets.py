@@ -107,6 +107,24 @@ def find_secrets(docs: DataFrame, text: str = "text", repo: Column | None = None
     return marked.select("nth", "kept").join(spans, "nth", "left").select("kept.*", F.coalesce("secrets", empty).alias("secrets"))
 
 
+def masked(docs: DataFrame, spans: str, mask: str, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """docs with the spans of their texts replaced by `mask`, overlapping ones once; a null or empty
+    array leaves a text as it is. n_chars, if there is such a column, follows."""
+    t = F.col(text)
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("upto"))
+
+    def step(acc: Column, s: Column) -> Column:
+        begun = s["start"] >= acc["upto"]
+        kept = F.concat(acc["out"], t.substr(acc["upto"] + 1, s["start"] - acc["upto"]), F.lit(mask))
+        return F.struct(F.when(begun, kept).otherwise(acc["out"]).alias("out"), F.greatest(acc["upto"], s["end"]).alias("upto"))
+
+    folded = F.aggregate(F.col(spans), start, step, lambda acc: F.concat(acc["out"], t.substr(acc["upto"] + 1, F.length(t))))
+    out = docs.withColumn(text, F.when(F.size(F.coalesce(F.col(spans), F.array())) > 0, folded).otherwise(t))
+    if n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.when(F.size(F.coalesce(F.col(spans), F.array())) > 0, F.length(text).cast("long")).otherwise(F.col(n_chars)))
+    return out
+
+
 def span_text(secrets: Column, base_only: bool = False) -> Column:
     """kind:start:end of the spans, comma-joined."""
     chosen = F.filter(secrets, lambda s: s["kind"] != "token") if base_only else secrets

@@ -15,7 +15,7 @@ of its links, so rows grow with the members and not with their pairs; nothing is
 
 Nulls and texts without words have fingerprint zero and link like any other. Rows that repeat a
 doc_id stay rows; a null doc_id never becomes a class id unless the whole class has none. An empty
-table gives an empty result; other columns are kept by `near_duplicates` as they are.
+table gives an empty result. Other columns are left out unless named in `keep`.
 """
 
 from __future__ import annotations
@@ -160,16 +160,18 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT, block: int =
     return pairs.unionAll(dealt.groupBy(*key, "bi", "bj").applyInPandas(_block_forest(max_bits), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """doc_id, fingerprint (long, the bits as a signed number) and component_id of every row."""
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS, hot: int = HOT, block: int = BLOCK, keep: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, fingerprint (long, the bits as a signed number), component_id, component (one of the
+    class's fingerprints) and the `keep` columns of every row."""
     bound_batches(docs.sparkSession)
-    marked = stash(docs.select(F.col(doc_id).cast("long").alias("doc_id"), _fingerprints(F.col(text)).alias("fp")), "fingerprints")
+    keep = keep or {}
+    marked = stash(docs.select(F.col(doc_id).cast("long").alias("doc_id"), _fingerprints(F.col(text)).alias("fp"), *[c.alias(k) for k, c in keep.items()]), "fingerprints")
     classes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     comps = connected_components(links(classes.select("fp"), max_bits, hot, block))
     member = classes.join(comps, classes.fp == comps.id, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = stash(member.join(smallest, "root").select("fp", "component_id"), "named")
-    return marked.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    named = stash(member.join(smallest, "root").select("fp", "component_id", F.col("root").alias("component")), "named")
+    return marked.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id", "component", *keep)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality, op2_mixing, op3_sharding, op4_language, op5_secrets, op6_simhash, op7_bpe, op9_warc, op10_token_files
+from . import op1_quality, op2_mixing, op3_sharding, op4_language, op5_secrets, op6_simhash, op7_bpe, op8_embeddings, op9_warc, op10_token_files
 
 QUERIES = {
     "op1_quality": op1_quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secrets": op5_secrets.op5_secrets,
     "op6_simhash": op6_simhash.op6_simhash,
     "op7_bpe": op7_bpe.op7_bpe,
+    "op8_embeddings": op8_embeddings.op8_embeddings,
     "op9_warc": op9_warc.op9_warc,
     "op10_token_files": op10_token_files.op10_token_files,
 }
