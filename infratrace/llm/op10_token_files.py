@@ -17,7 +17,8 @@ stream's end mark, which Arrow readers ignore.
 
 The vocabulary is a file of the tokenizers library. That library encodes each different run of
 non-space characters once; its normaliser and splitter never look across white space, so the ids are
-those of the whole text.
+those of the whole text. Runs in Latin-1 are split here by the vocabulary's pattern and only new words
+among them go to the library's merges.
 
 Null texts are empty and consist of the end id. Null doc_ids come first. Rows that repeat a doc_id
 stay separate, in the order of their texts. An empty table gives files without sequences and an
@@ -35,10 +36,12 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, shared_path, source_order, stash, table
+from .op7_bpe import byte_letters
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 END = 2
@@ -50,6 +53,10 @@ CACHE = 300_000
 ODD = "\x1c\x1d\x1e\x1f"
 
 
+#: Fixed value: the vocabulary's splitting pattern, for lower-case text in Latin-1.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,22 +65,65 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(byte_letters()))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def word(self, word: str) -> bytes:
+        """Ids of what the splitter yields: the library's merges alone."""
+        found = self.words.get(word)
+        if found is None:
+            spelt = word if word.isascii() else word.encode("utf-8").decode("latin-1")
+            ids = [t.id for t in self.model.tokenize(spelt.translate(self.letters))]
+            found = self.words[word] = np.array(ids, dtype=self.dtype).tobytes()
+        return found
+
+    def run(self, run: str) -> bytes:
+        """Ids of a lower-case run of Latin-1 characters other than spaces."""
+        if "<|" in run:  # may hold a special token
+            return self.library([run])[0]
+        return b"".join(map(self.word, SPLIT.findall(run)))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each whole text."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        cut = [None if any(c in x for c in ODD) else x.split() for x in (t if isinstance(t, str) else "" for t in texts)]
-        known = self.known
-        fresh = list({w for words in cut if words for w in words if w not in known})
-        known.update(zip(fresh, self.library(fresh)))
-        get = known.__getitem__
-        return [self.library([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut)]
+        """Packed ids of each whole text.
+
+        In Latin-1 the normaliser only lowers letters, one for one, so differently written forms
+        share what is remembered; other runs go through the whole library.
+        """
+        for held in (self.known, self.plain, self.words):
+            if len(held) > CACHE:
+                held.clear()
+        known, plain, out = self.known, self.plain, []
+        for text in texts:
+            text = text if isinstance(text, str) else ""
+            if any(c in text for c in ODD):
+                out.append(self.library([text])[0])
+            elif _latin(text):
+                words = text.lower().split()
+                for w in words:
+                    if w not in plain:
+                        plain[w] = self.run(w)
+                out.append(b"".join(map(plain.__getitem__, words)))
+            else:
+                words = text.split()
+                fresh = list({w for w in words if w not in known})
+                known.update(zip(fresh, self.library(fresh)))
+                out.append(b"".join(map(known.__getitem__, words)))
+        return out
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=2)
