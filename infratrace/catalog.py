@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import text_queries
+
+QUERIES = {**text_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES}
