@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import text_queries
+from .plans import event_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES}
+QUERIES = {**event_queries.QUERIES, **text_queries.QUERIES}
+ORACLES = {**event_queries.ORACLES, **text_queries.ORACLES}

@@ -24,14 +24,15 @@ def due_opportunities(schedules: DataFrame, epochs: DataFrame, as_of: Column, bu
 
     Both sides are spread over buckets of time and joined on the bucket, so the overlap is an
     equality join whatever the sizes; a pair is kept in the first bucket the two share. Epochs without
-    an end reach to as_of."""
+    an end reach to the last slot."""
     size = bucket_hours * 3600
     number = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / size)
     s = slots(schedules, as_of).withColumn("_b", F.explode(F.sequence(number(F.col("due_at")), number(F.col("window_end")))))
-    end = F.coalesce("valid_to", F.greatest(as_of, "valid_from"))
-    horizon = F.greatest(number(end), number(F.col("valid_from")))
-    open_end = F.when(F.col("valid_to").isNull(), horizon + F.lit(1)).otherwise(horizon)
-    e = epochs.select("entity_epoch_id", "valid_from", "valid_to", number(F.col("valid_from")).alias("_from"), F.explode(F.sequence(number(F.col("valid_from")), open_end)).alias("_b"))
+    begun = number(F.col("valid_from"))
+    horizon = s.agg(F.coalesce(F.max("_b"), F.lit(0)).alias("_last"))  # one row
+    e = epochs.select("entity_epoch_id", "valid_from", "valid_to", begun.alias("_from")).join(F.broadcast(horizon), F.lit(True))
+    until = F.least(F.coalesce(number(F.col("valid_to")), F.col("_last")), F.col("_last"))
+    e = e.where("_from <= _last").withColumn("_b", F.explode(F.sequence("_from", F.greatest(until, "_from")))).drop("_last")
     told = s.join(e, "_b").where((F.col("valid_from") < F.col("window_end")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("due_at"))))
     told = told.where(F.col("_b") == F.greatest(number(F.col("due_at")), F.col("_from")))
     return told.withColumn("status", F.when(as_of < F.col("window_end"), "due").otherwise("missed")).withColumn("reason", F.when(F.col("status") == "missed", "schedule_window_elapsed")).drop("_b", "_from")
@@ -82,9 +83,10 @@ def event_gates(events: DataFrame, opportunities: DataFrame, queries: DataFrame,
 def candidates(events: DataFrame, key: list[str], event_id: str = "event_id") -> DataFrame:
     """The first eligible event of each key (query, version, hash, epoch)."""
     good = events.where("time_status = 'eligible'")
-    first = F.min_by(F.struct(event_id, "indicator_id", "observed_at"), F.struct("observed_at", event_id))
+    rest = [x for x in ("indicator_id",) if x not in key]
+    first = F.min_by(F.struct(event_id, "observed_at", *rest), F.struct("observed_at", event_id))
     ident = json_id("candidate", **{k: F.col(k) for k in key})
-    return good.groupBy(*key).agg(first.alias("f")).select(ident.alias("candidate_id"), *key, "f.indicator_id", F.col("f.observed_at").alias("first_candidate_at"), F.col(f"f.{event_id}").alias("first_observation_event_id"))
+    return good.groupBy(*key).agg(first.alias("f")).select(ident.alias("candidate_id"), *key, *[f"f.{x}" for x in rest], F.col("f.observed_at").alias("first_candidate_at"), F.col(f"f.{event_id}").alias("first_observation_event_id"))
 
 
 def evidence_gate(evidence: DataFrame, candidates: DataFrame) -> DataFrame:
