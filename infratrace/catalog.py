@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import event_queries, text_queries
+from .plans import event_queries, scan_queries, table_queries, text_queries
 
-QUERIES = {**event_queries.QUERIES, **text_queries.QUERIES}
-ORACLES = {**event_queries.ORACLES, **text_queries.ORACLES}
+QUERIES = {**event_queries.QUERIES, **text_queries.QUERIES, **table_queries.QUERIES, **scan_queries.QUERIES}
+ORACLES = {**event_queries.ORACLES, **text_queries.ORACLES, **table_queries.ORACLES, **scan_queries.ORACLES}
