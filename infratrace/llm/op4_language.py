@@ -29,8 +29,9 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .common import bound_batches, table
 
-#: Labelled rows to learn from at most, windows from each, and how often all are seen.
-SAMPLE_ROWS, TRAIN_WINDOWS, EPOCHS = 2400, 3, 4
+#: Labelled rows to learn from at most, windows from each, and batches seen in training, as many for
+#: little text as for much.
+SAMPLE_ROWS, TRAIN_WINDOWS, STEPS = 2400, 3, 450
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4)
 NONE = "und"
 #: Bytes that are worked on at once.
@@ -61,18 +62,17 @@ class Network:
             self.p[f"b{w}"] = np.zeros(FILTERS)
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01, seed: int = 11) -> None:
-        rng, step = np.random.default_rng(seed), 0
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = 64, rate: float = 0.01, seed: int = 11) -> None:
+        rng, order = np.random.default_rng(seed), np.zeros(0, dtype=np.int64)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), batch):
-                g = self.gradient(x[order[at:at + batch]], y[order[at:at + batch]])
-                step += 1
-                for k, d in g.items():
-                    m[k] += 0.1 * (d - m[k])
-                    v[k] += 0.001 * (d * d - v[k])
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+        for step in range(1, steps + 1):
+            if len(order) < min(batch, len(x)):
+                order = np.concatenate((order, rng.permutation(len(x))))
+            own, order = order[:batch], order[batch:]
+            for k, d in self.gradient(x[own], y[own]).items():
+                m[k] += 0.1 * (d - m[k])
+                v[k] += 0.001 * (d * d - v[k])
+                self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         n, rows = len(x), np.arange(len(x))[:, None]

@@ -73,6 +73,8 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     while at < len(data):
         end = data.find(b"\n", at)
         if end < 0:
+            if data[at:].strip():
+                raise ValueError(f"the ARC header line at byte {at} does not end")
             return
         values = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
         if values == [""]:  # blank lines between records
