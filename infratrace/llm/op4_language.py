@@ -35,7 +35,7 @@ SAMPLE_ROWS, TRAIN_WINDOWS, STEPS = 2400, 3, 450
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4)
 NONE = "und"
 #: Bytes that are worked on at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 16
 
 
 def has_letter(text: Column) -> Column:
