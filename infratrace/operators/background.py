@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import joined_id, manifest_hash
+from ..functions.sizes import broadcast_if_few, is_few
 
 Z = 1.959963984540054
 EPSILON = 1e-9
@@ -31,7 +32,7 @@ def memberships(sets: DataFrame, hosts: DataFrame, services: DataFrame) -> DataF
     product, window_start, window_end, registered_at; null or empty conditions hold. Services meet
     the sets on their protocol, port and product in one pass and are reduced to host and set, which
     is joined to the hosts: a host goes out once for each set, which is the size of the result."""
-    few = F.broadcast(sets.limit(10_000))  # defined by hand; the bound keeps the broadcast small
+    few = broadcast_if_few(sets)
     match = (
         (F.col("r.protocol").isNull() | (F.lower("s.protocol") == F.lower("r.protocol")))
         & (F.coalesce(F.size("r.ports") <= 0, F.lit(True)) | F.array_contains("r.ports", F.col("s.port")))
@@ -56,14 +57,17 @@ def feature_stats(catalog: DataFrame, observations: DataFrame, sets: DataFrame,
     feature side is reduced to (feature, observation) once; anchors and background meet it in one
     join on the observation, so the cost is that of the observations and not features times sets.
     """
+    small = is_few(sets)
     few = sets.select("reference_set_id", "cutoff_at")
+    few = F.broadcast(few) if small else few
     sample = anchors.select("reference_set_id", "observation_id", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(members.where("observable").select("reference_set_id", "observation_id", F.lit(0), F.lit(1)))
     sample = sample.groupBy("reference_set_id", "observation_id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     totals = sample.groupBy("reference_set_id").agg(F.sum("a").alias("anchor_denominator"), F.sum("b").alias("background_denominator"))
     seen = observations.groupBy("feature_id", "observation_id").agg(F.min(F.greatest("available_at", F.coalesce("observed_at", "available_at"))).alias("known_at"))
     hits = seen.join(sample, "observation_id").join(few, "reference_set_id").where("known_at <= cutoff_at")
     counts = hits.groupBy("feature_id", "reference_set_id").agg(F.sum("a").alias("anchor_numerator"), F.sum("b").alias("background_numerator"), *([manifest_hash(F.collect_list(F.struct("observation_id", "a", "b"))).alias("source_manifest_hash")] if manifest else []))
-    every = catalog.select("feature_id").join(F.broadcast(few.join(totals, "reference_set_id", "left").limit(10_000)), F.lit(True))
+    totals = F.broadcast(totals) if small else totals  # a row for each set
+    every = catalog.select("feature_id").join(few, F.lit(True)).join(totals, "reference_set_id", "left")
     told = every.join(counts, ["feature_id", "reference_set_id"], "left").na.fill(0, ["anchor_numerator", "background_numerator", "anchor_denominator", "background_denominator"])
     n = {c: F.col(c).cast("double") for c in ("anchor_numerator", "anchor_denominator", "background_numerator", "background_denominator")}
     support = F.when(n["anchor_denominator"] == 0, 0.0).otherwise(n["anchor_numerator"] / n["anchor_denominator"])

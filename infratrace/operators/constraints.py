@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizes import broadcast_if_few
+
 c = F.col
 
 
@@ -105,4 +107,4 @@ def development_only(documents: DataFrame) -> DataFrame:
 
 def supported_questions(queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """queries with supported: whether (query_class, question) is among the pairs."""
-    return queries.join(F.broadcast(pairs.limit(10_000)).select("query_class", "question", F.lit(True).alias("supported")).distinct(), ["query_class", "question"], "left").na.fill(False, ["supported"])
+    return queries.join(broadcast_if_few(pairs.select("query_class", "question", F.lit(True).alias("supported")).distinct()), ["query_class", "question"], "left").na.fill(False, ["supported"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import joined_id
+from ..functions.sizes import broadcast_if_few
 from ..operators import audit, background, epochs, features, graph, prospective, rules, timeline
 from ..sources.readers import VIEWS, event_observations, table
 
@@ -17,7 +18,8 @@ def _at(text: str):
 
 
 def _bounds(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    """One row."""
+    return F.broadcast(table(spark, folder, "events").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")))
 
 
 def host_service_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,7 +121,7 @@ def _stats(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     seen = features.observed_features(hosts, services)
     catalog, observations = features.feature_catalog(seen), seen.select("feature_id", "observation_id", "observed_at", "available_at")
     of_user = F.substring_index("indicator_id", "-", -1).cast("long")
-    anchors = hosts.where("host_observed").where(of_user % 10 == 3).join(sets.select("reference_set_id", "cutoff_at"), F.col("collected_at") <= F.col("cutoff_at")).select("reference_set_id", "observation_id")
+    anchors = hosts.where("host_observed").where(of_user % 10 == 3).join(broadcast_if_few(sets.select("reference_set_id", "cutoff_at")), F.col("collected_at") <= F.col("cutoff_at")).select("reference_set_id", "observation_id")
     members = background.memberships(sets, hosts, services)
     return background.feature_stats(catalog, observations, sets, members, anchors), catalog
 
