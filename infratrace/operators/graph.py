@@ -48,19 +48,21 @@ def earliest_members(relations: DataFrame) -> DataFrame:
     return own.groupBy(F.col("dst_id").alias("fingerprint_id"), "fingerprint_type", F.col("src_id").alias("indicator_id")).agg(F.min(order).alias("o")).select("fingerprint_id", "fingerprint_type", "indicator_id", "o.available_at", "o.valid_from")
 
 
-def shared_infrastructure(members: DataFrame, max_members: int | None = None, salts: int = 16) -> tuple[DataFrame, DataFrame]:
+def shared_infrastructure(members: DataFrame, max_members: int | None = None, salt_members: int = 2000) -> tuple[DataFrame, DataFrame]:
     """(pairs, hot): unordered pairs of indicators with a fingerprint in common, available when both are.
 
-    The join is on the fingerprint; each left row goes to one of `salts` salts and each right row to
-    all of them, so a fingerprint of many members is shared out among tasks. With `max_members`,
-    fingerprints above it yield no pairs but are returned in `hot` with their members' count: a shared
-    default says nothing about a pair, and membership holds all there is to know.
+    The join is on the fingerprint. One of more than `salt_members` members is shared out: its left
+    rows are dealt to salts and its right rows go to all of them; others have a single salt. With
+    `max_members`, fingerprints above it yield no pairs but are returned in `hot` with their members'
+    count: a shared default says nothing about a pair, and membership holds all there is to know.
     """
     counts = members.groupBy("fingerprint_id").agg(F.count("*").alias("members"))
     hot = counts.where(F.col("members") > max_members) if max_members else counts.where(F.lit(False))
     rows = members.join(hot, "fingerprint_id", "left_anti") if max_members else members
-    left = rows.select("fingerprint_id", "fingerprint_type", F.col("indicator_id").alias("left_id"), F.col("available_at").alias("la"), F.col("valid_from").alias("lv"), F.pmod(F.xxhash64("indicator_id"), F.lit(salts)).cast("int").alias("salt"))
-    right = rows.select("fingerprint_id", F.col("indicator_id").alias("right_id"), F.col("available_at").alias("ra"), F.col("valid_from").alias("rv"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    large = counts.where(F.col("members") > salt_members).select("fingerprint_id", F.ceil(F.col("members") / salt_members).cast("int").alias("salts"))
+    rows = rows.join(large, "fingerprint_id", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    left = rows.select("fingerprint_id", "fingerprint_type", F.col("indicator_id").alias("left_id"), F.col("available_at").alias("la"), F.col("valid_from").alias("lv"), F.pmod(F.xxhash64("indicator_id"), F.col("salts")).cast("int").alias("salt"))
+    right = rows.select("fingerprint_id", F.col("indicator_id").alias("right_id"), F.col("available_at").alias("ra"), F.col("valid_from").alias("rv"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     pairs = left.join(right, ["fingerprint_id", "salt"]).where("left_id < right_id")
     kind = F.concat(F.lit("shares_"), F.col("fingerprint_type"))
     return pairs.select(joined_id("rel", F.col("left_id"), F.col("right_id"), kind, F.col("fingerprint_id")).alias("relation_id"), "left_id", "right_id", kind.alias("relation_type"), "fingerprint_id", F.greatest("la", "ra").alias("available_at"), F.greatest("lv", "rv").alias("valid_from")), hot

@@ -157,7 +157,8 @@ def test_shared_infrastructure(spark):
 
 def test_shared_infrastructure_hot_key(spark):
     members = spark.range(400).select(F.lit("fp").alias("fingerprint_id"), F.lit("jarm").alias("fingerprint_type"), F.concat(F.lit("ioc-"), F.col("id").cast("string")).alias("indicator_id"), F.lit(T0).alias("available_at"), F.lit(T0).alias("valid_from"))
-    pairs, _ = graph.shared_infrastructure(members)
-    assert pairs.count() == pairs.distinct().count() == 400 * 399 // 2
+    for salt_members in (2000, 30):
+        pairs, _ = graph.shared_infrastructure(members, salt_members=salt_members)
+        assert pairs.count() == pairs.distinct().count() == 400 * 399 // 2
     none, hot = graph.shared_infrastructure(members, max_members=100)
     assert none.count() == 0 and hot.collect()[0]["members"] == 400
