@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
-from ..functions.ids import joined_id, sha256_text
+from ..functions.ids import joined_id, json_id, sha256_text
 
 #: What to look for in running text, for each scope that a pattern can find.
 PATTERNS = {
@@ -172,3 +172,13 @@ def expand_terms(terms: DataFrame, names: DataFrame, placeholder: str = "{name}"
     filled = terms.where(F.col("term").contains(placeholder)).join(wanted, F.lit(True)).select("term_pos", F.replace("term", F.lit(placeholder), F.col("name")).alias("query"), "priority", "name_pos")
     nth = F.row_number().over(Window.partitionBy("query").orderBy("term_pos", "priority", "name_pos"))
     return plain.unionByName(filled).withColumn("_n", nth).where("_n = 1").drop("_n")
+
+
+def search_protocols(rows: DataFrame) -> DataFrame:
+    """rows (name, version, queries, allowlist, acquisition_mode, source_access_class) with a content id:
+    the same protocol in another order of its lists has the same id. reason: queries_missing,
+    allowlist_missing."""
+    lists = {c: F.array_join(F.array_sort(F.array_distinct(c)), "\n") for c in ("queries", "allowlist")}
+    ident = json_id("search-protocol", n=16, **lists, **{c: F.col(c) for c in ("name", "version", "acquisition_mode", "source_access_class")})
+    reason = F.when(F.size("queries") <= 0, "queries_missing").when(F.size("allowlist") <= 0, "allowlist_missing")
+    return rows.withColumn("search_protocol_id", ident).withColumn("reason", reason)
