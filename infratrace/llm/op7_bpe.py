@@ -36,12 +36,13 @@ from pyspark.sql.types import BinaryType, StringType, StructType
 from .common import bound_batches, table
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-#: Pieces that a worker remembers at most.
-CACHE = 400_000
+#: Pieces, and as many words, that a worker remembers; twice that while the older ones are let go.
+CACHE = 250_000
 
 #: The white space of the vocabulary's splitting pattern, and that pattern.
 SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+MARKS = (".", ",", "!", "?", ":", ";")
 #: Where cutting a text at its spaces could part a run of white space.
 RUN = re.compile(r"\s (?:\s|\Z)")
 
@@ -84,6 +85,7 @@ class Vocabulary:
         self.split = regex.compile(SPLIT)
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}  # what follows a space, with that space
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # both as they were before the last renewal
 
     def suffixes(self) -> None:
         """States that know which tokens end where a text has been read to, longest first."""
@@ -187,24 +189,38 @@ class Vocabulary:
                 node = child
 
     def learn(self, words: set[str]) -> None:
+        held, older = self.words, self.older[1]
+        new = [x for x in words if x not in held]
+        held.update((x, older[x]) for x in new if x in older)
+        self.walk([x for x in new if x not in older])
+
+    def cut_piece(self, piece: str) -> list[str]:
+        """The words of what stands between a space (which is theirs) and the next."""
+        if piece.isalpha():
+            return [" " + piece]
+        if piece[-1:] in MARKS and piece[:-1].isalpha():
+            return [" " + piece[:-1], piece[-1]]
+        return self.split.findall(" " + piece)
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Packed ids (unsigned 32 bits, little-endian) of each text."""
         running = gc.isenabled()
         gc.disable()  # nothing here forms cycles, and a trie is many containers
         try:
-            self.walk([x for x in words if x not in self.words])
+            return self._encode(texts)
         finally:
             if running:
                 gc.enable()
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Packed ids (unsigned 32 bits, little-endian) of each text."""
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > CACHE or len(self.words) > CACHE:
-            self.pieces.clear()
-            self.words.clear()
+            self.older = self.pieces, self.words
+            self.pieces, self.words = {}, {}
         parts = [self.cut_added.split(x) if self.cut_added and any(t in x for t in self.added) else [x] for x in texts]
         cut: list[list] = []
         fresh: dict[str, list[str]] = {}
         words: set[str] = set()
-        known = self.pieces
+        known, older = self.pieces, self.older[0]
         for text in parts:
             own = []
             for k, part in enumerate(text):
@@ -218,8 +234,11 @@ class Vocabulary:
                     first, *rest = part.split(" ")
                     for piece in set(rest):
                         if piece not in known and piece not in fresh:
-                            fresh[piece] = self.split.findall(" " + piece)
-                            words.update(fresh[piece])
+                            if piece in older:
+                                known[piece] = older[piece]
+                            else:
+                                fresh[piece] = self.cut_piece(piece)
+                                words.update(fresh[piece])
                     found = self.split.findall(first)
                     words.update(found)
                     own.append((found, rest))
