@@ -143,7 +143,9 @@ def _block_forest(max_bits: int):
 def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """a, b: edges between the different fingerprints of fps that keep every class connected."""
     key = ["seg", "bit", "rest"]
-    filed = variants(fps, max_bits)
+    # a small file of fingerprints becomes many signatures: they are made in as many tasks as they are joined in
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = variants(fps.repartition(spread, "fp"), max_bits)
     hot_keys = stash(filed.groupBy(*key).count().where(F.col("count") > hot).withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count"), "hot_keys")
     any_hot = not hot_keys.isEmpty()
     cold = filed.join(hot_keys, key, "left_anti") if any_hot else filed
