@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infratrace.llm import common, op2_mixing, op4_language, op5_secrets, op6_simhash, op7_bpe
+from infratrace.llm import common, near_copies, op2_mixing, op4_language, op5_secrets, op7_bpe
 
 #: A language must be this likely.
 MIN_SCORE = 0.3
@@ -37,8 +37,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the smallest doc_id and, of its texts, that of the smallest digest."""
-    found = op6_simhash.near_duplicates(docs, keep={"m": _digest()})
+    """One document of each class of texts that share 0.8 of their five-word shingles: the smallest
+    doc_id and, of its texts, that of the smallest digest."""
+    found = near_copies.near_copies(docs, keep={"m": _digest()})
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "m")
     best = common.stash(found.groupBy("component").agg(F.min(order).alias("k")).select("k.doc_id", "k.m"), "kept")
     chosen = docs.withColumn("m", _digest()).alias("d").join(best.alias("k"), _same(["doc_id", "m"]), "left_semi")
