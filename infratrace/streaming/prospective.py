@@ -51,24 +51,33 @@ def first_candidates(events: DataFrame, path: str, key: list[str], checkpoint: s
 class EpochProcessor(StatefulProcessor):
     """Epochs of one indicator from rows out of order.
 
-    Rows wait until the watermark has passed them and are then taken in order of time. A row older
-    than that is still given to the epoch open at the time, marked late.
+    Rows wait until the watermark has passed them and are then taken in order of time; a timer at the
+    earliest of them takes them where the indicator has no further row. A row older than that is still
+    given to the epoch open at the time, marked late.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.waiting = handle.getListState("waiting", "effective_at timestamp, observation_id string, ids array<string>")
         self.open = handle.getValueState("open", "epoch int, held array<string>, upto timestamp")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
         # state rows hold plain tuples
         new = [(t.to_pydatetime(), o, list(i)) for f in rows for t, o, i in zip(f["effective_at"], f["observation_id"], f["ids"])]
+        yield from self._take(key, new, timerValues)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        yield from self._take(key, [], timerValues)
+
+    def _take(self, key: Any, new: list, timerValues: Any) -> Iterator[pd.DataFrame]:
+        mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
         held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         every = sorted([(pd.Timestamp(t), o, list(i)) for t, o, i in held] + [(pd.Timestamp(t), o, i) for t, o, i in new], key=lambda x: (x[0], x[1]))
         ready, wait = [r for r in every if r[0] <= mark], [r for r in every if r[0] > mark]
         yield from self._emit(key, ready)
         if wait:
             self.waiting.put([(t.to_pydatetime(), o, i) for t, o, i in wait])
+            self.handle.registerTimer(wait[0][0].ceil("ms").value // 1_000_000)
         else:
             self.waiting.clear()
 

@@ -54,6 +54,19 @@ def test_epochs_out_of_order_match_the_batch(spark, tmp_path):
     assert got and all(want[k] == v for k, v in got.items() if k in want)
 
 
+def test_epochs_of_quiet_indicators_come_out(spark, tmp_path):
+    schema = "indicator_id string, effective_at timestamp, observation_id string, ids array<string>"
+    rows = [(f"i{k % 3}", T0 + timedelta(hours=k, microseconds=k), f"o{k:02d}", [f"c{k // 12}"]) for k in range(36)]
+    # only another indicator moves the watermark on
+    for chunk in (rows[:20], rows[20:], [("other", T0 + timedelta(days=30), "mark", [])]):
+        spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/h")
+    stream = streaming.streaming_epochs(streaming.stream_table(spark, f"{tmp_path}/h", schema, 1), "36 hours")
+    query = stream.writeStream.format("memory").queryName("quiet_out").option("checkpointLocation", f"{tmp_path}/check").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((r["observation_id"], r["epoch"], r["late"]) for r in spark.table("quiet_out").collect())
+    assert got == [(o, int(ids[0][1:]), False) for _, _, o, ids in rows]
+
+
 def test_times_and_late_executions_are_labelled(spark):
     h = spark.createDataFrame([("a", T0, T0), ("b", None, T0)], "observation_id string, observed_at timestamp, collected_at timestamp")
     assert [r["time_status"] for r in streaming.classify_times(h, F.lit(T0)).collect()] == ["eligible", "unresolved"]
