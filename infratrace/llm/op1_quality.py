@@ -83,7 +83,7 @@ def judge(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> Da
     same = lambda p: (p["x"]["a"] == p["y"]["a"]) & (p["x"]["b"] == p["y"]["b"]) & (p["x"]["c"] == p["y"]["c"])
     twice = F.filter(_pairs(F.col("_windows")), same)
     places = F.array_sort(F.array_distinct(F.flatten(F.transform(twice, lambda p: F.array(p["x"]["at"], p["y"]["at"])))))
-    step = step.select(*rest, "_words", "n_symbols", "_lines", places.alias("_places"), F.filter("_lines", lambda x: line_fails(x, F.col("_notices"))).alias("_bad"))
+    step = step.select(*rest, "_words", "n_symbols", "_notices", "_lines", places.alias("_places"), F.filter("_lines", lambda x: line_fails(x, F.col("_notices"))).alias("_bad"))
     covered = F.aggregate(F.transform(_pairs(F.col("_places")), lambda p: F.least(p["y"] - p["x"], F.lit(3))), F.lit(3), lambda s, x: s + x)
     n_words = F.size("_words").cast("long")
     counted = step.select(
@@ -92,7 +92,7 @@ def judge(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> Da
         F.when(F.size("_places") == 0, F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"), F.size("_bad").cast("long").alias("n_failed_lines"),
         F.regexp_count(F.array_join("_bad", "\n"), F.lit(WORD)).cast("long").alias("lost_words"),
-        F.when(F.size("_bad") == 0, F.array_join("_lines", "\n")).otherwise(F.array_join(F.array_except("_lines", "_bad"), "\n")).alias("clean_text"),
+        F.when(F.size("_bad") == 0, F.array_join("_lines", "\n")).otherwise(F.array_join(F.filter("_lines", lambda x: ~line_fails(x, F.col("_notices"))), "\n")).alias("clean_text"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= max_lost * F.col("n_words"))).select(*rest, *made)

@@ -56,6 +56,15 @@ def test_quality_lines_and_edges(spark):
     assert op1_quality.judge(df.limit(0)).count() == 0
 
 
+def test_clean_text_keeps_repeated_lines_that_pass(spark):
+    refrain, verse = "And this is the line that we all sing again.", " ".join(f"word{i}" for i in range(60)) + "."
+    df = docs(spark, [(1, f"{refrain}\n{verse}\nMore\n{refrain}\nMore\n{refrain}"), (2, f"{refrain}\n{verse}\n{refrain}")])
+    got = {r["doc_id"]: r for r in op1_quality.judge(df).collect()}
+    assert got[1]["n_failed_lines"] == 2 and got[1]["lost_words"] == 2
+    assert got[1]["clean_text"] == f"{refrain}\n{verse}\n{refrain}\n{refrain}"
+    assert got[2]["clean_text"] == f"{refrain}\n{verse}\n{refrain}"
+
+
 # -- 2 mixing -------------------------------------------------------------------------------------
 
 def fill(sizes, weights, total):
