@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch, so that a batch of long texts stays small.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch, so that a batch of long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,30 +20,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the rows of an Arrow batch unless the session has chosen its own number."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the rows and bytes of an Arrow batch unless the session has chosen its own numbers."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; it goes when the session ends."""
+    """A new path in the folder that driver and executors share; it goes when the session ends.
+
+    A session on one machine that names no folder, such as a notebook, gets one of that machine; on a
+    cluster the folder must be named.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # single-machine sessions, such as the tests
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/infratrace"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    jpath, files = _files(spark, path)
+    files.deleteOnExit(jpath)
     return path
 
 
+def _files(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and gives the planner sizes."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete tables that `stash` wrote, once what was made of them is written itself."""
+    for df in stashed:
+        jpath, files = _files(df.sparkSession, df._stashed)
+        files.delete(jpath, True)
 
 
 def source_order() -> Column:
@@ -71,7 +91,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         maps.append(step)
         left = live.join(step.select(F.col("u").alias("a"), F.col("m").alias("ma")), "a")
         both = left.join(step.select(F.col("u").alias("b"), F.col("m").alias("mb")), "b")
-        live = stash(both.where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct(), f"edges{k}")
+        done, live = live, stash(both.where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct(), f"edges{k}")
+        discard(done)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if not maps:
@@ -80,4 +101,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     for step in reversed(maps[:-1]):
         known = roots.select(F.col("id").alias("m"), F.col("root"))
         roots = stash(step.join(known, "m", "left").select(F.col("u").alias("id"), F.coalesce("root", "m").alias("root")), "roots")
+        discard(step)
     return roots
