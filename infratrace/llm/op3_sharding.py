@@ -8,7 +8,8 @@ oversized buckets by their next ROUND bits, and all shorter prefixes are sums of
 are read again only where a bucket of the round's full length is still too large.
 
 Nothing is moved but a key, a code and a size for each row; the directory is joined back as its size
-allows. Hot keys split on the bits of their own.
+allows. Hot keys split on the bits of their own. Sums are grouped by (depth, prefix) after a partial
+sum, so the first round's few prefixes are small tables whatever the input.
 
 A null key is one key; null texts have no bytes. A single row above the limit has a shard to itself.
 Repeated rows are dealt separately. An empty table gives an empty result and an empty directory.
@@ -19,10 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import source_order, stash, table
+from .common import discard, source_order, stash, table
 
-#: Bytes of text in a shard at most.
-SHARD_BYTES = 64 << 20
+#: Bytes of text in a shard at most: of shards that are written as files, and of those that the query
+#: deals, which are chunks that a loader reads at once.
+SHARD_BYTES, CHUNK_BYTES = 64 << 20, 64 << 10
 BITS, KEY_BITS, ROUND = 63, 32, 10
 
 
@@ -59,7 +61,9 @@ def directory(rows: DataFrame, limit: int = SHARD_BYTES, step: int = ROUND) -> l
         too_large = found.where("depth is null").select(F.col("leaf").alias("open_leaf"))
         if too_large.isEmpty():
             break
-        open_rows = stash(open_rows.join(too_large, _prefix(bits) == F.col("open_leaf"), "left_semi"), "oversized")
+        before, open_rows = open_rows, stash(open_rows.join(too_large, _prefix(bits) == F.col("open_leaf"), "left_semi"), "oversized")
+        if before is not rows:
+            discard(before)
     return rounds
 
 
@@ -81,13 +85,13 @@ def shards(docs: DataFrame, keep: dict[str, Column], key: str = "doc_id", text:
 
 
 def write_shards(docs: DataFrame, out: str, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> None:
-    """Write docs to `out`, a folder shard=PREFIX for each shard."""
-    dealt = shards(docs, {"row": F.struct(*docs.columns)}, key, text, limit)
+    """Write docs to `out`, a folder shard=PREFIX for each shard; a column `shard` of docs is replaced."""
+    dealt = shards(docs, {"row": F.struct(*[f"`{c}`" for c in docs.columns if c != "shard"])}, key, text, limit)
     dealt.select("kept.row.*", F.concat(F.lit("s"), "shard").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(out)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dealt = shards(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")})
+    dealt = shards(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}, limit=CHUNK_BYTES)
     return dealt.select("kept.doc_id", "bytes", "shard", "depth", "shard_bytes", "shard_docs")
 
 
@@ -99,6 +103,6 @@ each as (
   select nth, doc_id, bytes, code, d::int as depth, sum(bytes) over (partition by d, code >> (32 - d)::int)::bigint as shard_bytes,
          count(*) over (partition by d, code >> (32 - d)::int) as shard_docs
   from rows, range(0, 33) t(d)),
-fitting as (select *, row_number() over (partition by nth order by depth) as k from each where shard_bytes <= {SHARD_BYTES} or shard_docs = 1)
+fitting as (select *, row_number() over (partition by nth order by depth) as k from each where shard_bytes <= {CHUNK_BYTES} or shard_docs = 1)
 select doc_id, bytes, lpad(bin(code), 32, '0')[1:depth] as shard, depth, shard_bytes, shard_docs from fitting where k = 1
 """
