@@ -5,9 +5,9 @@ filter keeps its largest answer, and a softmax over those gives the languages of
 network is trained here, in numpy with Adam, on windows of labelled texts. A whole text is cut into
 windows from end to end; its answer is the mean of their log probabilities.
 
-Training takes at most SAMPLE_ROWS labelled rows, shared evenly among the languages and chosen by a
-hash of the text, and TRAIN_WINDOWS windows spread over each whole text; these bounds do not grow with
-the table and keep the training in the driver small. Everything else covers all rows. Since filters
+Training takes at most SAMPLE_ROWS different labelled texts, shared evenly among at most MAX_LANGS
+languages and chosen by a hash of the text, and TRAIN_WINDOWS windows spread over each whole text; these
+bounds do not grow with the table and keep the training in the driver small. Everything else covers all rows. Since filters
 are linear in the bytes they see, their answers for every pair of bytes are tabled once in a worker.
 
 Null texts and texts without a letter are `und` with score 0, as is everything if no labelled text
@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
@@ -32,6 +32,8 @@ from .common import bound_batches, table
 #: Labelled rows to learn from at most, windows from each, and batches seen in training, as many for
 #: little text as for much.
 SAMPLE_ROWS, TRAIN_WINDOWS, STEPS = 2400, 3, 450
+#: Languages that are learned at most: those of the most texts, so that a dirty label column stays small.
+MAX_LANGS = 256
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4)
 NONE = "und"
 #: Bytes that are worked on at once.
@@ -139,19 +141,34 @@ class Network:
         return [(self.langs[b], float(q[i, b])) for i, b in enumerate(best)]
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Network | None:
-    """A network learned from labelled rows; None if no language has a text with a letter."""
-    usable = labelled.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row for each language
+def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, max_langs: int = MAX_LANGS) -> list[tuple[str, list[str]]]:
+    """(language, pieces of a text) of at most `sample_rows` different texts, evenly by language.
+
+    Copies of a text count once: texts are drawn by their hash and reduced to different ones before a
+    language's quota is filled, so no text, however often it occurs, displaces others.
+    """
+    usable = labelled.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(text).alias("text"), F.col(lang).alias("lang")).withColumn("h", F.xxhash64("text"))
+    known = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    counts = {r["lang"]: max(1, r["n"]) for r in known.collect()}  # max_langs rows at most
     if not counts:
-        return None
+        return []
     quota = max(1, sample_rows // len(counts))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(1.2 * quota / n))])
+    draw = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(1.3 * quota / n))])
     spots = [F.substring(F.col("text"), (F.length("text") * k / TRAIN_WINDOWS).cast("int") + 1, F.lit(WINDOW)) for k in range(TRAIN_WINDOWS)]
-    sample = usable.where(draw < share[F.col("lang")]).select("lang", F.array(*spots).alias("spots")).limit(2 * sample_rows).collect()
-    langs = sorted(counts)
-    data = sorted({(r["lang"], s.encode()[:WINDOW]) for r in sample for s in r["spots"] if s})
+    drawn = usable.where(draw < share[F.col("lang")]).groupBy("lang", "h").agg(F.min(F.array(*spots)).alias("spots"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # over about 1.3 quotas
+    rows = drawn.withColumn("place", place).where(F.col("place") <= quota).collect()
+    return sorted((r["lang"], list(r["spots"])) for r in rows)
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, max_langs: int = MAX_LANGS) -> Network | None:
+    """A network learned from labelled rows; None if no language has a text with a letter."""
+    rows = sample(labelled, text, lang, sample_rows, max_langs)
+    if not rows:
+        return None
+    langs = sorted({k for k, _ in rows})
+    data = sorted({(k, s.encode()[:WINDOW]) for k, spots in rows for s in spots if s})
     x = np.concatenate([windows(s) for _, s in data])
     y = np.array([langs.index(k) for k, _ in data])
     net = Network(langs)
