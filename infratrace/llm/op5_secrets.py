@@ -3,12 +3,12 @@
 Every text is searched for assigned values (`assign`), access keys (`access`), long hexadecimal runs
 (`hex`) and, beyond those, long mixed runs of letters and digits (`token`). The candidates' hashes are
 counted over the whole corpus by different repositories and different owners. A value that MIN_OWNERS
-owners or more have is a widely copied `example`; one that stays with few owners and looks random is
-`live`; anything else is `weak`. The first three kinds are always reported; a `token` span is added
+owners and MIN_REPOS repositories or more have is a widely copied `example` (one repository of many
+owners is no copying); one that stays with few and looks random is `live`; anything else is `weak`. The first three kinds are always reported; a `token` span is added
 only where it is live and no other span covers it.
 
-Only candidates are shuffled, never texts. Hashes are counted first by owner and then over owners, so
-a value that is everywhere is reduced before it moves; the counts are joined back to the candidates
+Only candidates are shuffled, never texts. Hashes are reduced to one a repository and one an owner before
+they are counted, so a value that is everywhere shrinks before it moves; the counts are joined back to the candidates
 as sizes allow, and a common value's rows can be split by the join.
 
 Positions are code points, end exclusive. Null texts are empty. A null owner or repository is one
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +33,8 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from .common import bound_batches, source_order, stash, table
 
 KINDS = ("assign", "access", "hex", "token")
-MIN_OWNERS = 3
+#: Owners and repositories that a widely copied value has at least.
+MIN_OWNERS, MIN_REPOS = 3, 3
 #: Characters of a token at least, and its entropy in bits a character.
 TOKEN_CHARS, TOKEN_BITS = 20, 3.0
 #: The base patterns.
@@ -65,10 +67,17 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str, bool]]:
         found += [("access", *m.span(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     if b"x" * TOKEN_CHARS in raw.translate(_RUN):
         found += [("hex", *m.span(), m[0]) for m in HEX.finditer(text) if len(m[0]) >= 24]
-        taken = [(a, b) for _, a, b, _ in found]
+        starts, ends = [], []  # what is taken, without overlaps
+        for a, b in sorted((a, b) for _, a, b, _ in found):
+            if ends and a <= ends[-1]:
+                ends[-1] = max(b, ends[-1])
+            else:
+                starts.append(a)
+                ends.append(b)
         for m in TOKEN.finditer(text):
             a, b = m.span()
-            if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and not any(a < y and x < b for x, y in taken):
+            before = bisect_left(starts, b) - 1
+            if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and (before < 0 or ends[before] <= a):
                 found.append(("token", a, b, m[0]))
     return [(k, a, b, v, looks_random(v)) for k, a, b, v in sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))]
 
@@ -83,13 +92,14 @@ def _candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value, n_repos, n_owners over all candidates (columns value, repo, owner)."""
-    each = found.select("value", "owner", "repo").distinct()
-    by_owner = each.groupBy("value", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("value").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
+    """value, n_repos, n_owners over all candidates (columns value, repo, owner): different repositories
+    and different owners, each reduced by value and name before values are counted."""
+    by_repo = found.select("value", "repo").distinct().groupBy("value").agg(F.count("*").alias("n_repos"))
+    by_owner = found.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("n_owners"))
+    return by_repo.join(by_owner, "value")
 
 
-def find_secrets(docs: DataFrame, text: str = "text", repo: Column | None = None, owner: Column | None = None, keep: dict[str, Column] | None = None, min_owners: int = MIN_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", repo: Column | None = None, owner: Column | None = None, keep: dict[str, Column] | None = None, min_owners: int = MIN_OWNERS, min_repos: int = MIN_REPOS) -> DataFrame:
     """One row for each of docs: the `keep` columns and secrets, an array of
     (start, place of the kind, kind, end, label, n_repos, n_owners) in the order of the text."""
     bound_batches(docs.sparkSession)
@@ -99,7 +109,7 @@ def find_secrets(docs: DataFrame, text: str = "text", repo: Column | None = None
     marked = stash(docs.select(source_order().alias("nth"), F.struct(*[c.alias(k) for k, c in keep.items()]).alias("kept"), name(repo).alias("repo"), name(owner).alias("owner"), _candidates(F.col(text)).alias("found")), "candidates")
     each = marked.select("nth", "repo", "owner", F.explode("found").alias("s")).select("nth", "repo", "owner", "s.*")
     counts = stash(ownership(each), "ownership")
-    label = F.when(F.col("n_owners") >= min_owners, "example").when(F.col("random"), "live").otherwise("weak")
+    label = F.when((F.col("n_owners") >= min_owners) & (F.col("n_repos") >= min_repos), "example").when(F.col("random"), "live").otherwise("weak")
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     told = each.join(counts, "value").withColumn("label", label).where((F.col("kind") != "token") | (F.col("label") == "live"))
     spans = told.groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("start", place.alias("place"), "kind", "end", "label", "n_repos", "n_owners"))).alias("secrets"))
@@ -107,10 +117,9 @@ def find_secrets(docs: DataFrame, text: str = "text", repo: Column | None = None
     return marked.select("nth", "kept").join(spans, "nth", "left").select("kept.*", F.coalesce("secrets", empty).alias("secrets"))
 
 
-def masked(docs: DataFrame, spans: str, mask: str, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """docs with the spans of their texts replaced by `mask`, overlapping ones once; a null or empty
-    array leaves a text as it is. n_chars, if there is such a column, follows."""
-    t = F.col(text)
+def masked(t: Column, spans: Column, mask: str) -> Column:
+    """A text with its spans replaced by `mask`, overlapping ones once; a null or empty array leaves it
+    as it is."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("upto"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -118,11 +127,8 @@ def masked(docs: DataFrame, spans: str, mask: str, text: str = "text", n_chars:
         kept = F.concat(acc["out"], t.substr(acc["upto"] + 1, s["start"] - acc["upto"]), F.lit(mask))
         return F.struct(F.when(begun, kept).otherwise(acc["out"]).alias("out"), F.greatest(acc["upto"], s["end"]).alias("upto"))
 
-    folded = F.aggregate(F.col(spans), start, step, lambda acc: F.concat(acc["out"], t.substr(acc["upto"] + 1, F.length(t))))
-    out = docs.withColumn(text, F.when(F.size(F.coalesce(F.col(spans), F.array())) > 0, folded).otherwise(t))
-    if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.size(F.coalesce(F.col(spans), F.array())) > 0, F.length(text).cast("long")).otherwise(F.col(n_chars)))
-    return out
+    folded = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], t.substr(acc["upto"] + 1, F.length(t))))
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, folded).otherwise(t)
 
 
 def span_text(secrets: Column, base_only: bool = False) -> Column:
