@@ -13,9 +13,17 @@ Keys shared by more than `hot` different fingerprints do not go through that joi
 dealt to pairs of blocks, each block pair is compared in one task and yields only a spanning forest
 of its links, so rows grow with the members and not with their pairs; nothing is dropped.
 
+With `similarity`, texts link by the Jaccard similarity of their shingle sets instead: the pairs that the
+signatures find are candidates, `near_copies` adds those that lie beyond `max_bits`, and exact sets
+decide.
+
+Segments of a third of 64 bits tell about two million keys apart a blanked bit: up to some 10^7
+different fingerprints a key holds a few of them, at 10^9 some 500, and work then grows with the square.
+
 Nulls and texts without words have fingerprint zero and link like any other. Rows that repeat a
 doc_id stay rows; a null doc_id never becomes a class id unless the whole class has none. An empty
-table gives an empty result. Other columns are left out unless named in `keep`.
+table gives an empty result. Other columns are left out unless named in `keep`; those may bear
+any names but those of the result.
 """
 
 from __future__ import annotations
@@ -24,47 +32,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import bound_batches, connected_components, stash, table
+from . import near_copies
+from .common import bound_batches, connected_components, discard, stash, table
+from .near_copies import hashes_of, majority, words_of
 
-SEED = 42
 SHINGLE = 4
 MAX_BITS = 4
-#: Members of a signature above which its pairs are compared in blocks.
-HOT = 1000
-BLOCK = 1000
+#: Members of a signature above which its pairs are compared in blocks, and members of a block.
+HOT = 100
+BLOCK = 16_384
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The fingerprint of one text as an unsigned 64-bit number."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    digest, space = xxhash.xxh64_intdigest, b" "
-    if n == 1:
-        hashes = [digest(space.join(words), SEED)]
-    else:
-        joined = space.join(words)
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        starts = np.concatenate(([0], np.cumsum(lengths[:-1] + 1)))
-        ends = (starts + lengths)[shingle - 1:].tolist()
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends)]
-    total = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 4096):
-        part = np.array(hashes[at:at + 4096], dtype="<u8")
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
-
-
-@F.pandas_udf(LongType())
-def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series(np.array([fingerprint(x) for x in batch], dtype="<u8").view("<i8"))
+    words = words_of(text)
+    return majority(hashes_of(words, shingle)) if words else 0
+
+
+def _fingerprints(shingle: int):
+    @F.pandas_udf(LongType())
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(np.array([fingerprint(x, shingle) for x in batch], dtype="<u8").view("<i8"))
+
+    return run
 
 
 def segments(max_bits: int) -> list[tuple[int, int]]:
@@ -162,18 +157,34 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT, block: int =
     return pairs.unionAll(dealt.groupBy(*key, "bi", "bj").applyInPandas(_block_forest(max_bits), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS, hot: int = HOT, block: int = BLOCK, keep: dict[str, Column] | None = None) -> DataFrame:
+def _candidates(nodes: DataFrame, max_bits: int, hot: int, block: int) -> DataFrame:
+    """a, b (a < b): nodes (columns node, fp) whose fingerprints link, each class of fingerprints kept
+    connected. Nodes of one fingerprint are each paired with the first of them."""
+    nodes = stash(nodes, "fingerprints")
+    first = stash(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "first_nodes")
+    near = links(first.select("fp"), max_bits, hot, block)
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
+    equal = nodes.join(first, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    return stash(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionAll(equal), "near_fingerprints")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, max_bits: int = MAX_BITS, similarity: float | None = None, hot: int = HOT, block: int = BLOCK, keep: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, fingerprint (long, the bits as a signed number), component_id, component (one of the
-    class's fingerprints) and the `keep` columns of every row."""
+    class's fingerprints, or nodes if `similarity` is given) and the `keep` columns of every row."""
+    if similarity is not None:
+        return near_copies.near_copies(docs, text, doc_id, shingle, similarity, keep=keep, more=lambda nodes: _candidates(nodes, max_bits, hot, block))
     bound_batches(docs.sparkSession)
     keep = keep or {}
-    marked = stash(docs.select(F.col(doc_id).cast("long").alias("doc_id"), _fingerprints(F.col(text)).alias("fp"), *[c.alias(k) for k, c in keep.items()]), "fingerprints")
+    kept = F.struct(F.lit(0).alias("_"), *[c.alias(k) for k, c in keep.items()]).alias("kept")
+    marked = stash(docs.select(F.col(doc_id).cast("long").alias("doc_id"), _fingerprints(shingle)(F.col(text)).alias("fp"), kept), "fingerprints")
     classes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     comps = connected_components(links(classes.select("fp"), max_bits, hot, block))
     member = classes.join(comps, classes.fp == comps.id, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = stash(member.join(smallest, "root").select("fp", "component_id", F.col("root").alias("component")), "named")
-    return marked.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id", "component", *keep)
+    discard(classes)
+    told = marked.join(named, "fp")
+    return told.select("doc_id", F.col("fp").alias("fingerprint"), "component_id", "component", *[F.col("kept").getField(k).alias(k) for k in keep])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
