@@ -11,8 +11,9 @@ the next merge of their own tokens; this gives the ids that merging in rank orde
 The vocabulary is a file of the tokenizers library (byte-level BPE without added prefix space) found
 by `path` on every executor. Its added tokens are cut out of the text first, as that library does.
 
-Null texts are empty: no ids, decoded to an empty text. Texts of any length are encoded whole; what
-is remembered between batches is bounded by CACHE words. Rows and other columns stay as they are,
+Null texts are empty: no ids, decoded to an empty text. Texts of any length are encoded whole. What a
+worker remembers between batches is bounded in bytes and dropped when its task ends; words of more than
+LONG characters are walked by themselves and not remembered. Rows and other columns stay as they are,
 repeated rows included.
 """
 
@@ -36,8 +37,13 @@ from pyspark.sql.types import BinaryType, StringType, StructType
 from .common import bound_batches, table
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-#: Pieces, and as many words, that a worker remembers; twice that while the older ones are let go.
-CACHE = 250_000
+#: Bytes of pieces and words that a worker remembers within a task, about; twice that while the older
+#: ones are let go. ENTRY is what one takes besides its letters and ids.
+CACHE_BYTES, ENTRY = 40 << 20, 230
+#: Pairs of tokens, and steps beyond the vocabulary's own, that a worker remembers.
+PAIRS, STEPS = 150_000, 150_000
+#: Characters of a word that is walked by itself, and of the words that share a trie.
+LONG, TRIE = 1024, 1 << 18
 
 #: The white space of the vocabulary's splitting pattern, and that pattern.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -86,6 +92,13 @@ class Vocabulary:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}  # what follows a space, with that space
         self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # both as they were before the last renewal
+        self.held = 0
+        self.whole.clear()
+
+    def forget(self) -> None:
+        """Drop what texts have left behind; the vocabulary stays."""
+        self.words, self.pieces, self.older, self.held = {}, {}, ({}, {}), 0
+        self.whole.clear()
 
     def suffixes(self) -> None:
         """States that know which tokens end where a text has been read to, longest first."""
@@ -114,14 +127,14 @@ class Vocabulary:
                     back = fall[back]
                 fall[state] = step.get(back << 8 | b, 0)
             ends[state] += ends[fall[state]]
-        self.step, self.ends, self.fall = step, ends, fall
+        self.step, self.ends, self.fall, self.steps = step, ends, fall, len(step) + STEPS
 
     def follow(self, state: int, b: int) -> int:
         at = state << 8 | b
         while state and state << 8 | b not in self.step:
             state = self.fall[state]
         found = self.step.get(state << 8 | b, 0)
-        if len(self.step) < 8 * CACHE:
+        if len(self.step) < self.steps:
             self.step[at] = found
         return found
 
@@ -142,11 +155,30 @@ class Vocabulary:
                 end_b, b = at_b[0], at_b[1]
 
     def beside(self, a: int, b: int) -> bool:
-        if len(self.whole) > 4 * CACHE:
+        if len(self.whole) > PAIRS:
             self.whole.clear()
         found = self.whole[a, b] = self.stay_whole(a, b)
         return found
 
+    def chain(self, raw: bytes) -> bytes:
+        """Encode one word, however long, by the same walk over its only path."""
+        last, state, whole, token = [0], 0, self.whole, self.token
+        for depth, b in enumerate(raw, 1):
+            state = self.step[at] if (at := state << 8 | b) in self.step else self.follow(state, b)
+            for n, end in self.ends[state]:
+                if n == depth:
+                    break
+                pair = (last[depth - n], end)
+                if whole[pair] if pair in whole else self.beside(*pair):
+                    break
+            last.append(end)
+        ids, at = [], len(raw)
+        while at:
+            ids.append(last[at])
+            at -= len(token[last[at]])
+        ids.reverse()
+        return array("I", ids).tobytes()
+
     def walk(self, words: list[str]) -> None:
         """Encode distinct words by one depth-first walk over their trie."""
         root: dict = {}
@@ -192,7 +224,18 @@ class Vocabulary:
         held, older = self.words, self.older[1]
         new = [x for x in words if x not in held]
         held.update((x, older[x]) for x in new if x in older)
-        self.walk([x for x in new if x not in older])
+        part, size = [], 0
+        for x in sorted(x for x in new if x not in older):
+            if len(x) > LONG:
+                held[x] = self.chain(x.encode("utf-8"))
+                continue
+            part.append(x)
+            size += len(x)
+            if size > TRIE:
+                self.walk(part)
+                part, size = [], 0
+        self.walk(part)
+        self.held += ENTRY * len(new) + sum(len(x) + len(held[x]) for x in new)
 
     def cut_piece(self, piece: str) -> list[str]:
         """The words of what stands between a space (which is theirs) and the next."""
@@ -213,9 +256,9 @@ class Vocabulary:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > CACHE or len(self.words) > CACHE:
+        if self.held > CACHE_BYTES:
             self.older = self.pieces, self.words
-            self.pieces, self.words = {}, {}
+            self.pieces, self.words, self.held = {}, {}, 0
         parts = [self.cut_added.split(x) if self.cut_added and any(t in x for t in self.added) else [x] for x in texts]
         cut: list[list] = []
         fresh: dict[str, list[str]] = {}
@@ -247,8 +290,14 @@ class Vocabulary:
         word, pieces = self.words.__getitem__, self.pieces
         for piece, found in fresh.items():
             pieces[piece] = b"".join(map(word, found))
+        self.held += ENTRY * len(fresh) + sum(len(x) + len(pieces[x]) for x in fresh)
         piece = pieces.__getitem__
-        return [b"".join(x if isinstance(x, bytes) else b"".join(map(word, x[0])) + b"".join(map(piece, x[1])) for x in own) for own in cut]
+        out = [b"".join(x if isinstance(x, bytes) else b"".join(map(word, x[0])) + b"".join(map(piece, x[1])) for x in own) for own in cut]
+        for held, used in ((pieces, fresh), (self.words, words)):
+            for x in used:
+                if len(x) > LONG:
+                    self.held -= ENTRY + len(x) + len(held.pop(x))
+        return out
 
     def decode(self, packed: bytes) -> str:
         return b"".join(map(self.token.__getitem__, np.frombuffer(packed, dtype="<u4").tolist())).decode("utf-8", "replace")
@@ -262,43 +311,64 @@ def vocabulary(path: str) -> Vocabulary:
     return found
 
 
-#: Rows whose words share one trie.
-ROWS = 512
+#: Rows, and characters (but for the last text's), whose words are looked up together.
+ROWS, CHARS = 512, 2_000_000
 
 
-def _encoded(path: str, texts: pd.Series) -> list[bytes]:
-    v = vocabulary(path)
-    whole = [x if isinstance(x, str) else "" for x in texts]
-    return [ids for at in range(0, len(whole), ROWS) for ids in v.encode_batch(whole[at:at + ROWS])]
+def _encoded(v: Vocabulary, texts: pd.Series) -> list[bytes]:
+    out, held, size = [], [], 0
+    for x in texts:
+        held.append(x if isinstance(x, str) else "")
+        size += len(held[-1])
+        if len(held) == ROWS or size > CHARS:
+            out += v.encode_batch(held)
+            held, size = [], 0
+    return out + v.encode_batch(held)
+
+
+def _with_vocabulary(path: str, work):
+    """An iterator function over batches whose worker forgets what it remembered when it ends."""
+    def run(batches: Iterator[pd.Series]) -> Iterator:
+        v = vocabulary(path)
+        try:
+            for batch in batches:
+                yield work(v, batch)
+        finally:
+            v.forget()
+    return run
 
 
 def encode_udf(path: str = PATH):
     """text -> packed ids."""
+    def ids(v: Vocabulary, texts: pd.Series) -> pd.Series:
+        return pd.Series(_encoded(v, texts), dtype=object)
+
     @F.pandas_udf(BinaryType())
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(_encoded(path, texts), dtype=object)
+        yield from _with_vocabulary(path, ids)(batches)
     return encode
 
 
 def decode_udf(path: str = PATH):
     """packed ids -> text; bytes that are no UTF-8 become U+FFFD. Null stays null."""
+    def texts(v: Vocabulary, ids: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else v.decode(x) for x in ids], dtype=object)
+
     @F.pandas_udf(StringType())
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        v = vocabulary(path)
-        for ids in batches:
-            yield pd.Series([None if x is None else v.decode(x) for x in ids], dtype=object)
+        yield from _with_vocabulary(path, texts)(batches)
     return decode
 
 
 def encode_decode_udf(path: str = PATH):
     """text -> packed ids and the text decoded from them."""
+    def both_of(v: Vocabulary, texts: pd.Series) -> pd.DataFrame:
+        ids = _encoded(v, texts)
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([v.decode(x) for x in ids], dtype=object)})
+
     @F.pandas_udf(StructType().add("ids", BinaryType()).add("decoded", StringType()))
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        v = vocabulary(path)
-        for texts in batches:
-            ids = _encoded(path, texts)
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([v.decode(x) for x in ids], dtype=object)})
+        yield from _with_vocabulary(path, both_of)(batches)
     return both
 
 
