@@ -3,15 +3,16 @@
 An ARC file opens with a version block whose last line names the fields of every later header line
 (five in version 1, ten in version 2); a record is such a line and as many bytes as its last field
 declares. `parse_arc` reads by those names and lengths. `warc_records` gives each record its WARC
-equivalents: a name-based UUID over address, time and digest, the 14-digit time as ISO 8601, a type
+equivalents: a name-based UUID over the archive's name, the record's place in it, address, time and
+digest (so equal records differ and a repeated run agrees), the 14-digit time as ISO 8601, a type
 (warcinfo, response for an HTTP answer, resource for anything else) and SHA-1 digests of block and
 payload in base32. Records whose payload another record of a smaller page_id has become revisits:
 they keep the HTTP header lines, drop the payload and name the record they repeat.
 
 Only digests are grouped, and only those met more than once are kept and joined back; the planner
-sends that table to every task if its size allows and shuffles both sides if not. Archives are
-written by Spark's text writer, one record a row with the closing blank lines as line end, so they
-are plain WARC files; `records_per_file` bounds their size, since a file is read by one task.
+sends that table to every task if its size allows and shuffles both sides if not. Archives are packed
+up to `file_bytes`, since a file is read by one task, and written by Spark's text writer, one file a
+row with the closing blank lines as line end, so they are plain WARC files.
 
 A null html is an empty payload; a null url stands as about:blank; a null page_id stays null, and
 never is the one that others refer to unless all are null (then all are responses). Rows that repeat
@@ -39,9 +40,12 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Fixed value: what closes a WARC record.
+GAP = b"\r\n\r\n"
 #: Bytes of an ARC segment at most (but for its last record).
 SEGMENT = 4_000_000
-RECORDS_PER_FILE = 2000
+#: Bytes of a WARC file at most (but for its last record).
+FILE_BYTES = 32 << 20
 MIN_BYTES = 0
 
 
@@ -143,12 +147,12 @@ def warc_records(arcs: DataFrame, arc: str = "arc") -> DataFrame:
     def convert(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in rows:
             for data in frame["arc"]:
-                out = []
-                for f, content in parse_arc(data):
+                out, archive = [], ""
+                for place, (f, content) in enumerate(parse_arc(data)):
                     uri, date = f["URL"], iso_time(f["Archive-date"])
                     head, payload = b"", content
                     if uri.startswith("filedesc://"):
-                        kind, mime = "warcinfo", "text/plain"
+                        kind, mime, archive = "warcinfo", "text/plain", uri
                     elif content.startswith(b"HTTP/") and (cut := content.find(b"\r\n\r\n")) >= 0:
                         kind, mime = "response", "application/http; msgtype=response"
                         head, payload = content[:cut + 4], content[cut + 4:]
@@ -156,7 +160,7 @@ def warc_records(arcs: DataFrame, arc: str = "arc") -> DataFrame:
                         kind, mime = "resource", f["Content-type"]
                     page = _header(head, "X-Page-Id")
                     digest = base32(payload)
-                    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{uri} {date} {page} {digest}")
+                    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{archive} {place} {uri} {date} {digest}")
                     out.append((kind, f"<urn:uuid:{ident}>", uri, f["IP-address"], date, mime, None if page is None else int(page), head, payload, base64.b32decode(digest).hex(), digest, len(payload), base32(content), base32(head), len(head)))
                 frame_out = pd.DataFrame(out, columns=[c.split(" ")[0] for c in RECORD.split(", ")])
                 frame_out["page_id"] = frame_out["page_id"].astype("Int64")
@@ -204,9 +208,22 @@ def warc_text() -> Column:
     )
 
 
-def write_warc(records: DataFrame, out: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write marked record rows as .warc text files to the folder `out`."""
-    records.select(warc_text().alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(out)
+def write_warc(records: DataFrame, out: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write marked record rows as .warc text files of about `file_bytes` to the folder `out`."""
+    def pack(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for frame in rows:
+            for record in frame["record"]:
+                held.append(record)
+                size += len(record)
+                if size >= file_bytes:
+                    yield pd.DataFrame({"file": [GAP.join(held)]})
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame({"file": [GAP.join(held)]})
+
+    files = records.select(warc_text().cast("binary").alias("record")).mapInPandas(pack, "file binary")
+    files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", GAP.decode()).option("maxRecordsPerFile", 1).text(out)
 
 
 # -- reading ------------------------------------------------------------------------------------
@@ -248,11 +265,11 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("content").mapInPandas(unpack, schema)
 
 
-def pages_to_warc(pages: DataFrame, out: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
+def pages_to_warc(pages: DataFrame, out: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Pages through ARC segments to WARC files in the folder `out`."""
     bound_batches(pages.sparkSession)
     repeated = stash(repeated_payloads(pages, page_id, html, min_bytes), "repeated")
-    write_warc(mark_revisits(warc_records(pages_to_arc(pages, page_id, url, html)), repeated), out, records_per_file)
+    write_warc(mark_revisits(warc_records(pages_to_arc(pages, page_id, url, html)), repeated), out, file_bytes)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
