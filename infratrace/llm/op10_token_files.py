@@ -10,18 +10,20 @@ record batches have
 - ends: fixed-size list of booleans, true on the last id of a document,
 - doc_ids: list of the documents that end in the sequence,
 
-so that a mapped file gives any sequence and its mask without a copy (`sequences`). The schema's
-metadata holds the place of the file (range, number in the range). Spark's own writer commits the
+so that a mapped file gives any sequence and its mask without a copy (`TokenFile.sequence`). The schema's
+metadata holds the place of the file (range, number in the range) and, since streams have no footer,
+where each record batch begins after the schema: sequence k is in batch k // `batch`, found at once. Spark's own writer commits the
 files: each is one row, so a lost executor leaves none behind. Files end in a line feed after the
 stream's end mark, which Arrow readers ignore.
 
 The vocabulary is a file of the tokenizers library. That library encodes each different run of
 non-space characters once; its normaliser and splitter never look across white space, so the ids are
 those of the whole text. Runs in Latin-1 are split here by the vocabulary's pattern and only new words
-among them go to the library's merges.
+among them go to the library's merges. What a worker remembers is bounded in bytes, leaves out runs of
+more than LONG characters and is dropped when its task ends.
 
 Null texts are empty and consist of the end id. Null doc_ids come first. Rows that repeat a doc_id
-stay separate, in the order of their texts. An empty table gives files without sequences and an
+stay separate, in the order of their texts' hashes. An empty table gives files without sequences and an
 empty result; other columns are left out of the files.
 """
 
@@ -47,8 +49,9 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 END = 2
 #: Ids in a sequence, sequences in a record batch, ids in a file at most (but for the last document's).
 LENGTH, BATCH, FILE_IDS = 1024, 256, 8_000_000
-#: Runs of characters that a worker remembers at most.
-CACHE = 300_000
+#: Bytes of runs and words that a worker remembers at most, about; what one takes besides its letters
+#: and ids; and characters of a run that is not remembered.
+CACHE_BYTES, ENTRY, LONG = 48 << 20, 230, 1024
 #: Characters that Python's split() takes for white space and the vocabulary does not.
 ODD = "\x1c\x1d\x1e\x1f"
 
@@ -68,9 +71,19 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = dict(enumerate(byte_letters()))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what texts have left behind."""
         self.known: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
+
+    def keep(self, held: dict[str, bytes], key: str, ids: bytes) -> None:
+        if len(key) <= LONG:
+            held[key] = ids
+            self.held += ENTRY + len(key) + len(ids)
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,7 +94,8 @@ class Encoder:
         if found is None:
             spelt = word if word.isascii() else word.encode("utf-8").decode("latin-1")
             ids = [t.id for t in self.model.tokenize(spelt.translate(self.letters))]
-            found = self.words[word] = np.array(ids, dtype=self.dtype).tobytes()
+            found = np.array(ids, dtype=self.dtype).tobytes()
+            self.keep(self.words, word, found)
         return found
 
     def run(self, run: str) -> bytes:
@@ -96,25 +110,30 @@ class Encoder:
         In Latin-1 the normaliser only lowers letters, one for one, so differently written forms
         share what is remembered; other runs go through the whole library.
         """
-        for held in (self.known, self.plain, self.words):
-            if len(held) > CACHE:
-                held.clear()
-        known, plain, out = self.known, self.plain, []
+        out = []
         for text in texts:
+            if self.held > CACHE_BYTES:
+                self.forget()
+            known, plain = self.known, self.plain
             text = text if isinstance(text, str) else ""
             if any(c in text for c in ODD):
                 out.append(self.library([text])[0])
             elif _latin(text):
-                words = text.lower().split()
-                for w in words:
-                    if w not in plain:
-                        plain[w] = self.run(w)
-                out.append(b"".join(map(plain.__getitem__, words)))
+                ids = []
+                for w in text.lower().split():
+                    found = plain.get(w)
+                    if found is None:
+                        found = self.run(w)
+                        self.keep(plain, w, found)
+                    ids.append(found)
+                out.append(b"".join(ids))
             else:
                 words = text.split()
                 fresh = list({w for w in words if w not in known})
-                known.update(zip(fresh, self.library(fresh)))
-                out.append(b"".join(map(known.__getitem__, words)))
+                now = dict(zip(fresh, self.library(fresh)))
+                out.append(b"".join([known[w] if w in known else now[w] for w in words]))
+                for w, ids in now.items():
+                    self.keep(known, w, ids)
         return out
 
 
@@ -149,18 +168,48 @@ def stream(ids: np.ndarray, sizes: list[int], doc_ids: list[int | None], length:
     ends[last] = True
     per = np.searchsorted(last, np.arange(n + 1, dtype=np.int64) * length)
     docs = pa.array(doc_ids, type=pa.int64())
-    schema = _schema(ids.dtype, length, meta)
+    schema, parts, starts = _schema(ids.dtype, length, {}), [], [0]
+    for at in range(0, n, batch):
+        to = min(n, at + batch)
+        cut = slice(at * length, to * length)
+        fixed = [pa.FixedSizeListArray.from_arrays(pa.array(x[cut]), length) for x in (full, mask, ends)]
+        lists = pa.ListArray.from_arrays(pa.array(per[at:to + 1] - per[at], type=pa.int32()), docs[int(per[at]):int(per[to])])
+        parts.append(pa.record_batch([*fixed, lists], schema=schema))
+        starts.append(starts[-1] + parts[-1].serialize().size)
+    schema = _schema(ids.dtype, length, meta | {"batch": batch, "sequences": n, "starts": ",".join(map(str, starts[:-1]))})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, schema) as out:
-        for at in range(0, n, batch):
-            to = min(n, at + batch)
-            cut = slice(at * length, to * length)
-            fixed = [pa.FixedSizeListArray.from_arrays(pa.array(x[cut]), length) for x in (full, mask, ends)]
-            lists = pa.ListArray.from_arrays(pa.array(per[at:to + 1] - per[at], type=pa.int32()), docs[int(per[at]):int(per[to])])
-            out.write_batch(pa.record_batch([*fixed, lists], schema=schema))
+        for part in parts:
+            out.write_batch(part.replace_schema_metadata(schema.metadata))
     return sink.getvalue().to_pybytes()
 
 
+class TokenFile:
+    """Any sequence of a file by its number; over a memory map or a buffer without a copy."""
+
+    def __init__(self, source: pa.Buffer | bytes | pa.NativeFile):
+        self.source = source if isinstance(source, pa.NativeFile) else pa.BufferReader(source)
+        self.schema = pa.ipc.read_schema(pa.ipc.read_message(self.source))
+        self.begin = self.source.tell()
+        meta = {k.decode(): v.decode() for k, v in self.schema.metadata.items()}
+        self.batch, self.length, self.place = int(meta["batch"]), int(meta["sequences"]), (int(meta["range"]), int(meta["number"]))
+        self.starts = [int(x) for x in meta["starts"].split(",") if x]
+
+    def __len__(self) -> int:
+        return self.length
+
+    def record_batch(self, number: int) -> pa.RecordBatch:
+        self.source.seek(self.begin + self.starts[number])
+        return pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids of sequence k and their mask."""
+        if not 0 <= k < self.length:
+            raise IndexError(k)
+        own = self.record_batch(k // self.batch).slice(k % self.batch, 1)
+        return own.column("ids").flatten().to_numpy(zero_copy_only=True), own.column("mask").flatten()
+
+
 def sequences(source: pa.Buffer | bytes | pa.NativeFile) -> Iterator[pa.RecordBatch]:
     """Record batches of a file; over a memory map or a buffer their lists are views of it."""
     reader = pa.ipc.open_stream(source)
@@ -189,21 +238,24 @@ def write_token_files(docs: DataFrame, out: str, text: str = "text", doc_id: str
             blob = stream(run, sizes, ids, length, batch, {"range": part, "number": number, "length": length})
             return pd.DataFrame({"blob": [blob]})
 
-        for frame in rows:
-            for i, packed in zip(frame["doc_id"].tolist(), enc.encode(frame["text"].tolist())):
-                runs += [packed, tail]
-                sizes.append(len(packed) // enc.dtype.itemsize + 1)
-                ids.append(None if i is None or i != i else int(i))
-                size += sizes[-1]
-                if size >= file_ids:
-                    yield file()
-                    runs, sizes, ids, size, number = [], [], [], 0, number + 1
-        if sizes:
-            yield file()
+        try:
+            for frame in rows:
+                for i, packed in zip(frame["doc_id"].tolist(), enc.encode(frame["text"].tolist())):
+                    runs += [packed, tail]
+                    sizes.append(len(packed) // enc.dtype.itemsize + 1)
+                    ids.append(None if i is None or i != i else int(i))
+                    size += sizes[-1]
+                    if size >= file_ids:
+                        yield file()
+                        runs, sizes, ids, size, number = [], [], [], 0, number + 1
+            if sizes:
+                yield file()
+        finally:
+            enc.forget()
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), source_order().alias("nth"))
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "nth"]
-    dealt = chosen.repartitionByRange(*keys).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text", "nth").select("doc_id", "text")
+    dealt = chosen.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     blobs = dealt.mapInPandas(pack, "blob binary")
     blobs.select(F.col("blob").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(out)
 
@@ -215,7 +267,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
             for blob in frame["content"]:
                 if len(blob) < 8:
                     continue
-                meta = {k.decode(): int(v) for k, v in pa.ipc.open_stream(blob).schema.metadata.items()}
+                place = TokenFile(blob).place
                 at, held = 0, []
                 for part in sequences(blob):
                     ids = fixed_view(part).reshape(-1)
@@ -232,7 +284,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                         ends.append(len(run))
                         at, begun, held = at + len(run), c, []
                     held.append(ids[begun:])
-                    yield pd.DataFrame({"doc_id": pd.array(docs, dtype="Int64"), "range": meta["range"], "number": meta["number"], "local_start": starts, "n_tokens": ends, "ids": texts})
+                    yield pd.DataFrame({"doc_id": pd.array(docs, dtype="Int64"), "range": place[0], "number": place[1], "local_start": starts, "n_tokens": ends, "ids": texts})
 
     files = spark.read.format("binaryFile").load(folder).select("content")
     return files.mapInPandas(unpack, "doc_id long, range int, number int, local_start long, n_tokens long, ids binary")
