@@ -77,10 +77,10 @@ def test_arc_versions():
 def test_warc_round_trip(spark, tmp_path):
     pages = [(4, "http://a/4", "same"), (2, "http://a/2", "same"), (9, "http://a/9", "é\r\n\r\nWARC/1.1\r\n\r\n"), (1, None, None), (3, "http://a b/3", ""), (None, "http://a/n", "same"), (2, "http://a/2", "same"), (7, "http://a/7", "x" * 300_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("type", F.lit("clash"))
-    op9_warc.pages_to_warc(df, f"file://{tmp_path}/warc", records_per_file=3)
+    op9_warc.pages_to_warc(df, f"file://{tmp_path}/warc", file_bytes=200)
     back = op9_warc.read_warc(spark, f"file://{tmp_path}/warc")
     rows = back.where("record_type <> 'warcinfo'").collect()
-    assert len(rows) == len(pages) and all(r["digest_ok"] for r in rows) and len({r["record_id"] for r in rows}) == len(pages) - 1
+    assert len(rows) == len(pages) and all(r["digest_ok"] for r in rows) and len({r["record_id"] for r in rows}) == len(pages)
     by = {}
     for r in rows:
         by.setdefault(r["page_id"], r)
@@ -89,6 +89,8 @@ def test_warc_round_trip(spark, tmp_path):
     assert by[None]["refers_to"] == 2 and (by[1]["record_type"], by[3]["refers_to"], by[3]["payload_bytes"]) == ("response", 1, 0)
     assert by[9]["payload"].decode() == "é\r\n\r\nWARC/1.1\r\n\r\n" and by[7]["payload_bytes"] == 300_000 and by[1]["uri"] == "about:blank"
     assert back.where("record_type = 'warcinfo'").count() >= 1
+    files = [len(f.read_bytes()) for f in (tmp_path / "warc").glob("part-*")]
+    assert len(files) > 3 and sum(n > 2000 for n in files) == 1  # only the long record's
     op9_warc.pages_to_warc(df, f"file://{tmp_path}/large", min_bytes=5)
     assert op9_warc.read_warc(spark, f"file://{tmp_path}/large").where("record_type = 'revisit'").count() == 0
     op9_warc.pages_to_warc(df.limit(0), f"file://{tmp_path}/none")
@@ -123,17 +125,42 @@ def test_token_files(spark, tmp_path):
     assert op10_token_files.read_token_files(spark, f"file://{tmp_path}/none").count() == 0
 
 
-def test_token_files_are_read_without_a_copy(tmp_path):
+def test_sequences_are_found_without_a_copy(tmp_path):
     ids = np.arange(1000, dtype="<u2")
     path = tmp_path / "one"
-    path.write_bytes(op10_token_files.stream(ids, [400, 600], [5, None], 64, 4, {"range": 0}) + b"\n")
+    path.write_bytes(op10_token_files.stream(ids, [400, 600], [5, None], 64, 4, {"range": 0, "number": 3}) + b"\n")
     mapped = pa.memory_map(str(path))
     start, size = mapped.read_buffer(mapped.size()).address, mapped.size()
     mapped.seek(0)
-    seen = []
-    for batch in op10_token_files.sequences(mapped):
-        view = op10_token_files.fixed_view(batch)
-        assert start <= view.__array_interface__["data"][0] < start + size and view.shape[1] == 64
-        mask = batch.column("mask").flatten().to_numpy(zero_copy_only=False)
-        seen.append(view.reshape(-1)[mask])
-    assert np.concatenate(seen).tolist() == ids.tolist()
+    file = op10_token_files.TokenFile(mapped)
+    assert len(file) == 16 and file.place == (0, 3)
+    for k in (15, 0, 7, 3, 8):
+        got, mask = file.sequence(k)
+        assert start <= got.__array_interface__["data"][0] < start + size and start <= mask.buffers()[1].address < start + size
+        want = ids[k * 64:(k + 1) * 64]
+        assert got[:len(want)].tolist() == want.tolist() and mask.to_pylist() == [True] * len(want) + [False] * (64 - len(want))
+    with pytest.raises(IndexError):
+        file.sequence(16)
+    mapped.seek(0)
+    seen = [op10_token_files.fixed_view(b) for b in op10_token_files.sequences(mapped)]
+    assert np.concatenate(seen).reshape(-1)[:1000].tolist() == ids.tolist()
+    empty = op10_token_files.TokenFile(op10_token_files.stream(ids[:0], [], [], 64, 4, {"range": 0, "number": 0}))
+    assert len(empty) == 0
+
+
+def test_workers_forget(monkeypatch):
+    monkeypatch.setattr(op7_bpe, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(op7_bpe, "TRIE", 100)
+    monkeypatch.setattr(op10_token_files, "CACHE_BYTES", 20_000)
+    t, v, e = library(op7_bpe.PATH), op7_bpe.Vocabulary(op7_bpe.PATH), op10_token_files.Encoder(op10_token_files.PATH)
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh漢é") for _ in range(50_000))
+    for n in range(20):
+        xs = [" ".join(f"{rng.choice('abcxyz')}{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(10)] + [long if n == 4 else "", f"a {long[:3000]} b"]
+        assert v.encode_batch(xs) == [packed(w.ids) for w in t.encode_batch(xs, add_special_tokens=False)]
+        e.encode(xs)
+        assert v.held < 400_000 and max(map(len, v.words)) <= op7_bpe.LONG and max(map(len, v.pieces)) <= op7_bpe.LONG
+        assert e.held < 400_000 and not any(len(x) > op10_token_files.LONG for x in [*e.known, *e.plain, *e.words])
+    v.forget()
+    e.forget()
+    assert not v.words and not v.pieces and not e.plain and v.held == e.held == 0

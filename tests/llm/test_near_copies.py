@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from infratrace.llm import near_copies
+from infratrace.llm import near_copies, op6_simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -60,6 +60,21 @@ def test_classes_against_brute_force(spark, texts, hot, block):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_fingerprints_and_bands_together(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = op6_simhash.near_duplicates(df, shingle=5, similarity=0.8).collect()
+    assert [r["component_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == brute(texts)
+    assert all(r["fingerprint"] % 2**64 == op6_simhash.fingerprint(texts[r["doc_id"]], 5) for r in got)
+
+
+def test_links_found_by_fingerprints_alone(spark, texts):
+    prints = [(i, op6_simhash._signed(op6_simhash.fingerprint(t, 5))) for i, t in enumerate(texts)]
+    got = op6_simhash._candidates(spark.createDataFrame(prints, "node long, fp long"), 4, 1000, 1000)
+    close = {(i, j) for i, a in prints for j, b in prints if i < j and (a ^ b).bit_count() <= 4 and (a >= 0) == (b >= 0)}
+    pairs = {(r["a"], r["b"]) for r in got.collect()}
+    assert pairs and all(((prints[a][1] ^ prints[b][1]) & (2**64 - 1)).bit_count() <= 4 for a, b in pairs) and len(close) > 10
+
+
 def test_stage_leaves_one_of_each_class(spark, texts):
     # many of these pairs at 0.8 or more differ in more than four bits of their fingerprints
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)

@@ -27,6 +27,8 @@ def corpus(spark):
     rows += [(2000, None, "en", "s1", None), (2001, "123 456", "en", "s1", 7), (2002, "", None, None, 0)]
     leaky = rows[3][1] + f' token = "{SECRET}" end'
     rows.append((3000, leaky, "en", "s2", len(leaky)))
+    own = " ".join("".join(rng.choice(words["en"]) for _ in range(2)) for _ in range(150))
+    rows.append((3001, f'{own} secret = "{SECRET[:-1]}3" end', "en", "s2", None))
     return spark.createDataFrame(rows, DOCS)
 
 
@@ -43,8 +45,10 @@ def test_stages(spark, corpus):
     assert not any(1000 <= i < 1020 for i in ids["near duplicates"]) and set(range(20)) <= set(ids["near duplicates"])
     texts = {r["doc_id"]: r["text"] for r in out["secrets"].collect()}
     assert sorted(texts) == sorted(ids["near duplicates"])
-    if 3000 in texts:
-        assert SECRET not in texts[3000] and corpus_pipeline.MASK in texts[3000]
+    before = {r["doc_id"]: r["text"] for r in out["near duplicates"].collect()}
+    assert 3000 not in texts and SECRET[:-1] in before[3001]  # 3000 is a near copy of 3
+    assert SECRET[:-1] not in texts[3001] and corpus_pipeline.MASK in texts[3001]
+    assert all(texts[i] == before[i] for i in texts if i != 3001)
     counted = Counter(ids["mixing"])
     assert max(counted.values()) <= 2
     words = out["secrets"].select(F.sum(F.size(F.split("text", " ")))).collect()[0][0]
@@ -69,6 +73,31 @@ def test_repeated_rows_and_empty_table(spark, corpus):
         assert empty.count() == 0, name
 
 
+def test_columns_of_any_name_come_through(spark, corpus):
+    names = ["m", "live", "words", "size", "nth", "key", "row", "score", "lang_pred", "_lang", "fp", "kept", "position", "component"]
+    wide = corpus
+    for i, name in enumerate(names):
+        wide = wide.withColumn(name, F.concat(F.lit(f"{name}-"), F.col("doc_id").cast("string")))
+    docs = wide
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.stash(stage(spark, docs, ""), "wide")
+        rows = docs.select("doc_id", *names).collect()
+        assert rows and all(r[c] == f"{c}-{r['doc_id']}" for r in rows for c in names), name
+    narrow = corpus
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        narrow = common.stash(stage(spark, narrow, ""), "narrow")
+    count = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    assert count(narrow) == count(docs)
+
+
+def test_the_mix_is_written_in_its_order(spark, corpus):
+    docs = corpus.where("doc_id < 120")
+    mixed = corpus_pipeline.mixing(spark, docs, "")
+    assert "rangepartitioning(position" in mixed._jdf.queryExecution().executedPlan().toString()
+    firsts = [r["source"] for r in common.stash(mixed, "mix").limit(40).collect()]
+    assert len(set(firsts)) == 4
+
+
 def test_run_on_the_table(spark, data):
     got = corpus_pipeline.run(spark, data)
     assert got.count() > 0 and "token_ids" in got.columns
