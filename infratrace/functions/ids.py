@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,9 @@ def iso_text(time: Column) -> Column:
     return F.concat(whole, F.when(F.date_format(t, "SSSSSS") != "000000", F.date_format(t, ".SSSSSS")).otherwise(""), F.lit("+00:00"))
 
 
-def manifest_hash(rows: Column) -> Column:
-    """Hash of a group's rows (an array of text or structs) whatever their order."""
-    return sha256_text(F.to_json(F.sort_array(rows)))
+def group_hash(rows: DataFrame, by: list[str], row_hash: Column, name: str) -> DataFrame:
+    """by and a hash over the hex hashes of a group's rows, whatever their order. Hashes are first joined
+    within the 256 values of their first byte, so no row holds a whole group."""
+    part = lambda of, c: sha256_text(F.array_join(F.array_sort(F.collect_list(of)), "|")).alias(c)
+    each = rows.select(*by, row_hash.alias("_h")).groupBy(*by, F.substring("_h", 1, 2).alias("_b")).agg(part("_h", "_p"))
+    return each.groupBy(*by).agg(part(F.concat("_b", "_p"), name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import background, constraints, corpus, rules
+from . import background, constraints, corpus, mining, rules
 
 
 def issue(df: DataFrame, code: Column | str, record: str, detail: Column | None = None) -> DataFrame:
@@ -34,9 +34,22 @@ def counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("code").agg(F.count("*").alias("issues"))
 
 
-def audit_corpus(documents: DataFrame, families: DataFrame, memberships: DataFrame, assertions: DataFrame) -> DataFrame:
-    """Stage 0: documents, families and assertions' documents."""
+def table_counts(tables: dict[str, DataFrame], issues: DataFrame | None = None) -> DataFrame:
+    """kind, name, rows: the rows of each table, and of each issue code."""
+    parts = [df.agg(F.count("*").alias("rows")).select(F.lit("table").alias("kind"), F.lit(name).alias("name"), "rows") for name, df in tables.items()]
+    if issues is not None:
+        parts.append(counts(issues).select(F.lit("issue").alias("kind"), F.col("code").alias("name"), F.col("issues").alias("rows")))
+    return union(parts)
+
+
+def audit_corpus(documents: DataFrame, families: DataFrame, memberships: DataFrame, assertions: DataFrame, protocols: DataFrame | None = None) -> DataFrame:
+    """Stage 0: search protocols (name, version, queries, allowlist, acquisition_mode,
+    source_access_class, search_protocol_id), documents, families and assertions' documents."""
     parts = [invalid_rows(documents, "source_documents", "document_id"), orphans(documents, memberships, "document_id", "document_id", "missing_source_family")]
+    if protocols is not None:
+        again = mining.search_protocols(protocols.withColumnRenamed("search_protocol_id", "_stored"))
+        reason = F.coalesce("reason", F.when(~F.col("_stored").eqNullSafe(F.col("search_protocol_id")), "id_differs"))
+        parts.insert(0, issue(again.withColumn("reason", reason).where("reason is not null"), "invalid_search_protocol", "_stored", F.col("reason")))
     checks = corpus.family_checks(families, memberships, documents)
     parts.append(checks.select("code", F.col("record_id").cast("string").alias("record_id"), F.lit(None).cast("string").alias("detail")))
     parts.append(orphans(assertions, documents, "document_id", "assertion_id", "invalid_assertion_document"))

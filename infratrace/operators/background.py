@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import joined_id, manifest_hash
+from ..functions.ids import group_hash, joined_id, sha256_text
 from ..functions.sizes import broadcast_if_few, is_few
 
 Z = 1.959963984540054
@@ -25,29 +25,43 @@ def lift(support: Column, prevalence: Column) -> Column:
     return support / F.greatest(prevalence, F.lit(EPSILON))
 
 
-def memberships(sets: DataFrame, hosts: DataFrame, services: DataFrame) -> DataFrame:
-    """reference_set_id, observation_id, observable and exclusion_reason for every host and set.
-
-    sets (a few rows that are defined by hand): reference_set_id, cutoff_at, protocol, ports (array),
-    product, window_start, window_end, registered_at; null or empty conditions hold. Services meet
-    the sets on their protocol, port and product in one pass and are reduced to host and set, which
-    is joined to the hosts: a host goes out once for each set, which is the size of the result."""
-    few = broadcast_if_few(sets)
-    match = (
-        (F.col("r.protocol").isNull() | (F.lower("s.protocol") == F.lower("r.protocol")))
-        & (F.coalesce(F.size("r.ports") <= 0, F.lit(True)) | F.array_contains("r.ports", F.col("s.port")))
-        & (F.col("r.product").isNull() | (F.lower(F.coalesce("s.software_product", F.lit(""))) == F.lower("r.product")))
-    )
-    hits = services.alias("s").join(few.alias("r"), match).select("reference_set_id", "observation_id").distinct().withColumn("hit", F.lit(True))
+def _matches(sets: DataFrame, services: DataFrame) -> DataFrame:
+    """reference_set_id, observation_id where a service of the observation has the set's protocol, port
+    and product. An open condition is a value of its own that every service has too, so the three are
+    one equality join whatever the number of sets."""
+    every = "*"
+    p, q = F.coalesce(F.lower("protocol"), F.lit(every)), F.coalesce(F.lower("product"), F.lit(every))
+    ports = F.when(F.coalesce(F.size("ports") > 0, F.lit(False)), F.col("ports")).otherwise(F.array(F.lit(0)))
+    wanted = sets.select("reference_set_id", p.alias("p"), q.alias("q"), F.explode(F.array_distinct(ports)).alias("port"))
+    own = services.select("observation_id", F.lower("protocol").alias("p"), F.lower(F.coalesce("software_product", F.lit(""))).alias("q"), "port").distinct()
+    both = lambda c, any_: F.explode(F.array(F.col(c), F.lit(any_))).alias(c)
+    for column, any_ in (("p", every), ("q", every), ("port", 0)):
+        own = own.select(*[c for c in own.columns if c != column], both(column, any_))
+    return own.join(broadcast_if_few(wanted), ["p", "q", "port"]).select("reference_set_id", "observation_id").distinct()
+
+
+def memberships(sets: DataFrame, hosts: DataFrame, services: DataFrame, excluded: bool = True) -> DataFrame:
+    """reference_set_id, observation_id, observable and exclusion_reason for every host and set, or only
+    for observable ones, which then come from the matches alone.
+
+    sets: reference_set_id, cutoff_at, protocol, ports (array), product, window_start, window_end,
+    registered_at; null or empty conditions hold. The full table has a row for each host and set by
+    definition, so sets (few, defined by hand) go out to the hosts."""
+    hits = _matches(sets, services)
     effective = F.coalesce("h.observed_at", "h.collected_at")
-    told = hosts.alias("h").join(few.alias("r"), F.lit(True)).select("r.*", "h.observation_id", "h.host_observed", "h.collected_at", effective.alias("effective_at"))
-    told = told.join(hits, ["reference_set_id", "observation_id"], "left")
+    own = ["h.observation_id", "h.host_observed", "h.collected_at", effective.alias("effective_at")]
+    if excluded:
+        told = hosts.alias("h").join(broadcast_if_few(sets).alias("r"), F.lit(True)).select("r.*", *own)
+        told = told.join(hits.withColumn("hit", F.lit(True)), ["reference_set_id", "observation_id"], "left")
+    else:
+        told = hosts.alias("h").join(hits, "observation_id").join(broadcast_if_few(sets).alias("r"), "reference_set_id").select("r.*", *own, F.lit(True).alias("hit"))
     reason = (
         F.when((F.col("collected_at") > F.col("cutoff_at")) | (F.col("effective_at") > F.col("cutoff_at")), "after_cutoff").when(~F.col("host_observed"), "not_observable")
         .when(F.col("window_start").isNotNull() & ~F.col("effective_at").between(F.col("window_start"), F.col("window_end")), "time_window_mismatch").when(F.col("hit").isNull(), "stratum_mismatch")
     )
     told = told.withColumn("exclusion_reason", reason)
-    return told.select(joined_id("reference-membership", F.col("reference_set_id"), F.col("observation_id")).alias("membership_id"), "reference_set_id", "observation_id", F.col("exclusion_reason").isNull().alias("observable"), "exclusion_reason", F.col("registered_at").alias("matched_at"))
+    told = told.select(joined_id("reference-membership", F.col("reference_set_id"), F.col("observation_id")).alias("membership_id"), "reference_set_id", "observation_id", F.col("exclusion_reason").isNull().alias("observable"), "exclusion_reason", F.col("registered_at").alias("matched_at"))
+    return told if excluded else told.where("observable")
 
 
 def feature_stats(catalog: DataFrame, observations: DataFrame, sets: DataFrame, members: DataFrame, anchors: DataFrame, manifest: bool = False) -> DataFrame:
@@ -65,7 +79,10 @@ def feature_stats(catalog: DataFrame, observations: DataFrame, sets: DataFrame,
     totals = sample.groupBy("reference_set_id").agg(F.sum("a").alias("anchor_denominator"), F.sum("b").alias("background_denominator"))
     seen = observations.groupBy("feature_id", "observation_id").agg(F.min(F.greatest("available_at", F.coalesce("observed_at", "available_at"))).alias("known_at"))
     hits = seen.join(sample, "observation_id").join(few, "reference_set_id").where("known_at <= cutoff_at")
-    counts = hits.groupBy("feature_id", "reference_set_id").agg(F.sum("a").alias("anchor_numerator"), F.sum("b").alias("background_numerator"), *([manifest_hash(F.collect_list(F.struct("observation_id", "a", "b"))).alias("source_manifest_hash")] if manifest else []))
+    counts = hits.groupBy("feature_id", "reference_set_id").agg(F.sum("a").alias("anchor_numerator"), F.sum("b").alias("background_numerator"))
+    if manifest:
+        row = sha256_text(F.concat_ws("|", "observation_id", F.col("a").cast("string"), F.col("b").cast("string")))
+        counts = counts.join(group_hash(hits, ["feature_id", "reference_set_id"], row, "source_manifest_hash"), ["feature_id", "reference_set_id"])
     totals = F.broadcast(totals) if small else totals  # a row for each set
     every = catalog.select("feature_id").join(few, F.lit(True)).join(totals, "reference_set_id", "left")
     told = every.join(counts, ["feature_id", "reference_set_id"], "left").na.fill(0, ["anchor_numerator", "background_numerator", "anchor_denominator", "background_denominator"])

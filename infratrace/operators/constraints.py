@@ -54,7 +54,7 @@ def table_rules() -> dict[str, dict[str, Column]]:
         "landmarks": {"window_reversed": c("window_end") < c("window_start"), "registered_before_source": c("registered_at") < c("source_available_at")},
         "features": {"value_missing": blank("canonical_value"), "hash_mismatch": c("canonical_value_hash") != F.sha2(c("canonical_value").cast("binary"), 256), "unavailable_with_field": (c("stability") == "unavailable") & c("query_field").isNotNull(), "stable_without_field": (c("stability") == "stable") & c("query_field").isNull()},
         "feature_observations": {"observed_after_available": c("observed_at") > c("available_at")},
-        "entity_epochs": {"interval_reversed": c("valid_to") < c("valid_from"), "observations_missing": F.size("observation_ids") <= 0, "observations_repeated": F.size(F.array_distinct("observation_ids")) != F.size("observation_ids")},
+        "entity_epochs": {"interval_reversed": c("valid_to") < c("valid_from"), "observations_missing": c("observations") <= 0},
         "reference_sets": {"registered_before_cutoff": c("registered_at") < c("cutoff_at"), "manifest_invalid": not_hash("snapshot_manifest_hash"), "runs_missing": F.size("source_query_run_ids") <= 0},
         "reference_memberships": {"reason_on_observable": c("observable") & c("exclusion_reason").isNotNull(), "reason_missing": ~c("observable") & c("exclusion_reason").isNull()},
         "feature_stats": {

@@ -76,3 +76,22 @@ def provenance_gates(sets: DataFrame, members: DataFrame, hosts: DataFrame, runs
     outside = rows.join(used.select("reference_set_id", "query_run_id"), ["reference_set_id", "query_run_id"], "left_anti").select(F.lit("member_outside_runs").alias("code"), F.col("membership_id").alias("record_id"))
     late = rows.join(sets.select("reference_set_id", "cutoff_at"), "reference_set_id").where("observable and greatest(seen, collected_at) > cutoff_at").select(F.lit("member_after_cutoff").alias("code"), F.col("membership_id").alias("record_id"))
     return bad.unionAll(outside).unionAll(late)
+
+
+def feature_observation_gates(observations: DataFrame, hosts: DataFrame) -> DataFrame:
+    """observations (feature_observation_id, observation_id, query_run_id, available_at) with reason:
+    raw_provenance_mismatch (no such observation, or another run's), availability_differs or null."""
+    own = hosts.select("observation_id", F.col("query_run_id").alias("_run"), F.col("collected_at").alias("_collected"))
+    told = observations.join(own, "observation_id", "left")
+    reason = F.when(~F.col("_run").eqNullSafe(F.col("query_run_id")), "raw_provenance_mismatch").when(F.col("available_at") != F.col("_collected"), "availability_differs")
+    return told.withColumn("reason", reason).select(*observations.columns, "reason")
+
+
+def anchor_gates(anchors: DataFrame, sets: DataFrame, hosts: DataFrame, runs: DataFrame) -> DataFrame:
+    """anchors (reference_set_id, observation_id) of statistics with reason: anchor_unknown,
+    anchor_not_observed, anchor_not_authorized (its run is not one of `runs`), anchor_after_cutoff or null."""
+    own = hosts.select("observation_id", "host_observed", "query_run_id", F.coalesce("observed_at", "collected_at").alias("_seen"), F.col("collected_at").alias("_collected"))
+    told = anchors.join(own, "observation_id", "left").join(runs.select("query_run_id", F.lit(True).alias("_allowed")).distinct(), "query_run_id", "left").join(sets.select("reference_set_id", F.col("cutoff_at").alias("_cutoff")), "reference_set_id")
+    c = F.col
+    reason = F.when(c("_collected").isNull(), "anchor_unknown").when(~c("host_observed"), "anchor_not_observed").when(c("_allowed").isNull(), "anchor_not_authorized").when(F.greatest("_seen", "_collected") > c("_cutoff"), "anchor_after_cutoff")
+    return told.withColumn("reason", reason).select(*anchors.columns, "reason")

@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import joined_id
+from ..functions.ids import joined_id, sha256_text
 
 #: Observations of an indicator that are folded as one array; longer histories go row by row.
 FOLD_LIMIT = 5000
+#: Observations that one hash of an epoch's id covers.
+CHUNK = 1000
 
 
 def histories(hosts: DataFrame, identities: DataFrame) -> DataFrame:
@@ -25,17 +27,19 @@ def histories(hosts: DataFrame, identities: DataFrame) -> DataFrame:
 def _folded(rows: DataFrame) -> DataFrame:
     each = F.struct("effective_at", "collected_at", "observation_id", "ids")
     grouped = rows.groupBy("indicator_id").agg(F.array_sort(F.collect_list(each)).alias("h"))
-    # only observations with identities can open an epoch, so the fold keeps what it needs: the epoch
-    # of each opening and the identities so far
-    start = F.struct(F.lit(0).alias("epoch"), F.array().cast("array<string>").alias("held"), F.array().cast("array<int>").alias("epochs"))
+    # the fold keeps what it needs: the places where an epoch opens and the identities so far
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("held"), F.array().cast("array<int>").alias("openings"))
 
     def step(acc, x):
         new = (F.size(x["ids"]) > 0) & (F.size(acc["held"]) > 0) & ~F.arrays_overlap(x["ids"], acc["held"])
-        epoch = acc["epoch"] + new.cast("int")
-        return F.struct(epoch.alias("epoch"), F.when(new, x["ids"]).otherwise(F.array_union(acc["held"], x["ids"])).alias("held"), F.concat(acc["epochs"], F.array(epoch)).alias("epochs"))
+        held = F.when(new, x["ids"]).when(F.size(F.array_except(x["ids"], acc["held"])) == 0, acc["held"]).otherwise(F.array_union(acc["held"], x["ids"]))
+        openings = F.when(new, F.array_append(acc["openings"], acc["at"])).otherwise(acc["openings"])
+        return F.struct((acc["at"] + 1).alias("at"), held.alias("held"), openings.alias("openings"))
 
-    folded = grouped.select("indicator_id", "h", F.aggregate("h", start, step)["epochs"].alias("epochs"))
-    return folded.select("indicator_id", F.inline(F.arrays_zip("h", "epochs"))).select("indicator_id", "h.effective_at", "h.collected_at", "h.observation_id", "h.ids", F.col("epochs").alias("epoch"))
+    folded = grouped.select("indicator_id", "h", F.aggregate("h", start, step)["openings"].alias("openings"))
+    each = folded.select("indicator_id", "openings", F.posexplode("h").alias("at", "h"))
+    epoch = F.size(F.filter("openings", lambda o: o <= F.col("at")))
+    return each.select("indicator_id", "h.effective_at", "h.collected_at", "h.observation_id", "h.ids", epoch.alias("epoch"))
 
 
 def _streamed(rows: DataFrame) -> DataFrame:
@@ -75,15 +79,31 @@ def assign_epochs(rows: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     return _folded(short).select(*columns).unionByName(_streamed(long).select(*columns))
 
 
-def entity_epochs(assigned: DataFrame, resolution_version: str = "v1", open_last: bool = False) -> DataFrame:
-    """One row for each epoch, with bounds, observations in order and identities."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("effective_at", "collected_at", "observation_id"))), lambda x: x["observation_id"])
-    out = assigned.groupBy("indicator_id", "epoch").agg(
-        F.min("effective_at").alias("valid_from"), F.max("effective_at").alias("valid_to"), ordered.alias("observation_ids"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("identity_feature_ids"), F.max("collected_at").alias("available_at"),
-    )
-    out = out.withColumn("entity_epoch_id", joined_id("entity-epoch", F.col("indicator_id"), F.lit(resolution_version), F.array_join("observation_ids", "|"))).withColumn("resolution_version", F.lit(resolution_version))
+def _ordered(assigned: DataFrame) -> DataFrame:
+    order = Window.partitionBy("indicator_id", "epoch").orderBy("effective_at", "collected_at", "observation_id")
+    return assigned.withColumn("nth", F.row_number().over(order))
+
+
+def entity_epochs(assigned: DataFrame, resolution_version: str = "v1", open_last: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """One row for each epoch, with bounds, number of observations and identities.
+
+    Its id is a hash over its observations in order, taken in chunks: the observations of an epoch,
+    however many, are sorted but never gathered in one row. `epoch_members` has them as rows."""
+    key = ["indicator_id", "epoch"]
+    out = assigned.groupBy(*key).agg(F.min("effective_at").alias("valid_from"), F.max("effective_at").alias("valid_to"), F.count("*").alias("observations"), F.max("collected_at").alias("available_at"))
+    each = assigned.select(*key, F.explode("ids").alias("identity")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("identity")).alias("identity_feature_ids"))
+    parts = _ordered(assigned).groupBy(*key, F.floor((F.col("nth") - 1) / chunk).alias("part")).agg(F.array_sort(F.collect_list(F.struct("nth", "observation_id"))).alias("o"))
+    parts = parts.select(*key, "part", sha256_text(F.array_join(F.transform("o", lambda x: x["observation_id"]), "|")).alias("hash"))
+    hashes = parts.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "hash"))), lambda x: x["hash"]), "|").alias("hashes"))
+    out = out.join(hashes, key).join(each, key, "left").withColumn("identity_feature_ids", F.coalesce("identity_feature_ids", F.array().cast("array<string>")))
+    out = out.withColumn("entity_epoch_id", joined_id("entity-epoch", F.col("indicator_id"), F.lit(resolution_version), F.col("hashes"))).withColumn("resolution_version", F.lit(resolution_version)).drop("hashes")
     if open_last:
         last = F.max("epoch").over(Window.partitionBy("indicator_id"))
         out = out.withColumn("valid_to", F.when(F.col("epoch") < last, F.col("valid_to")))
     return out
+
+
+def epoch_members(assigned: DataFrame, epochs: DataFrame) -> DataFrame:
+    """entity_epoch_id, nth and observation_id of every observation, in the order of its epoch."""
+    own = epochs.select("indicator_id", "epoch", "entity_epoch_id")
+    return _ordered(assigned).join(own, ["indicator_id", "epoch"]).select("entity_epoch_id", "nth", "observation_id")

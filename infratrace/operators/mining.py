@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import html as H
 from ..functions import text as T
 from ..functions.ids import joined_id, json_id, sha256_text
 
@@ -27,8 +28,9 @@ PATTERNS = {
 }
 
 
-def mine(docs: DataFrame, scopes: tuple[str, ...] = tuple(PATTERNS), text: str = "text", document_id: str = "document_id", patterns: dict[str, str] | None = None) -> DataFrame:
-    """document_id, scope, pos (of the find within its scope, from 0) and raw_form of every find."""
+def mine(docs: DataFrame, scopes: tuple[str, ...] = tuple(PATTERNS), text: str = "text", document_id: str = "document_id", patterns: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """document_id, scope, pos (of the find within its scope, from 0) and raw_form of every find, and the
+    `keep` columns of its document."""
     use = {**PATTERNS, **(patterns or {})}
 
     def finds(scope: str) -> Column:
@@ -36,7 +38,7 @@ def mine(docs: DataFrame, scopes: tuple[str, ...] = tuple(PATTERNS), text: str =
         return F.transform(hits, lambda v, i: F.struct(F.lit(scope).alias("scope"), i.alias("pos"), v.alias("raw_form")))
 
     found = [finds(s) for s in scopes]
-    return docs.select(F.col(document_id).alias("document_id"), F.explode(F.concat(*found)).alias("f")).select("document_id", "f.*")
+    return docs.select(F.col(document_id).alias("document_id"), *keep, F.explode(F.concat(*found)).alias("f")).select("document_id", "f.*", *keep)
 
 
 def mine_with(docs: DataFrame, extract: Callable[[str], list[tuple]], text: str = "text", document_id: str = "document_id") -> DataFrame:
@@ -50,26 +52,35 @@ def mine_with(docs: DataFrame, extract: Callable[[str], list[tuple]], text: str
     return chosen.mapInPandas(run, "document_id string, pos int, scope string, raw_form string, context string, observed_at string")
 
 
-def verify(candidates: DataFrame, docs: DataFrame, available_at: Column, text: str = "text", ipv6: bool = True) -> DataFrame:
+def verify(candidates: DataFrame, docs: DataFrame, available_at: Column, text: str | None = "text", ipv6: bool = True) -> DataFrame:
     """candidates with value, observed, time_basis and status.
 
     Gates in order: context, form, verbatim in the source, time. The first row of a (document, scope,
     value) that passes is verified, later ones are duplicate.
     candidates: document_id, pos, scope, raw_form and, if there are, context and observed_at (text).
-    docs: document_id, text, published_at.
+    docs: document_id, text, published_at. A document meets the different forms reported for it once, so
+    texts do not multiply; `text` None says that candidates were cut out of their texts, which are then
+    not read.
     """
     have = candidates.columns
     rows = candidates
     for c in ("context", "observed_at"):
         if c not in have:
             rows = rows.withColumn(c, F.lit("unknown" if c == "context" else None).cast("string"))
-    told = rows.join(docs.select("document_id", F.col(text).alias("_text"), F.col("published_at").cast("timestamp").alias("_published")), "document_id", "left")
+    told = rows.join(docs.select("document_id", F.col("published_at").cast("timestamp").alias("_published")), "document_id", "left")
+    if text is None:
+        told = told.withColumn("_found", F.lit(True))
+    else:
+        forms = rows.groupBy("document_id").agg(F.collect_set("raw_form").alias("_forms"))
+        verbatim = docs.select("document_id", F.col(text).alias("_text")).join(forms, "document_id")
+        verbatim = verbatim.select("document_id", F.explode(F.filter("_forms", lambda f: F.contains("_text", f))).alias("raw_form"), F.lit(True).alias("_found")).distinct()
+        told = told.join(verbatim, ["document_id", "raw_form"], "left")
     scope, raw, seen = F.col("scope"), F.col("raw_form"), F.nullif(F.col("observed_at"), F.lit(""))
     told = told.withColumn("value", T.normalize(scope, raw)).withColumn("_observed", F.when(seen.isNull(), F.col("_published")).otherwise(seen.try_cast("timestamp")))
     told = told.withColumn("time_basis", F.when(seen.isNull(), "publication_date_fallback").otherwise("observed_in_report"))
     gate = (
         F.when(~F.coalesce(F.col("context"), F.lit("unknown")).isin(*T.CONTEXTS) | ~T.valid(scope, F.col("value"), ipv6), "format_rejected")
-        .when(~F.coalesce(F.contains("_text", "raw_form"), F.lit(False)), "source_mismatch").when(F.col("_observed").isNull(), "format_rejected")
+        .when(F.col("_found").isNull(), "source_mismatch").when(F.col("_observed").isNull(), "format_rejected")
         .when(F.col("_observed") > available_at.cast("timestamp"), "future_time").otherwise("verified")
     )
     told = told.withColumn("_gate", gate)
@@ -78,6 +89,20 @@ def verify(candidates: DataFrame, docs: DataFrame, available_at: Column, text: s
     return told.withColumn("observed", F.col("_observed")).withColumn("indicator_id", F.when(F.col("status").isin("verified", "duplicate"), joined_id("ioc", scope, F.col("value")))).select(*rows.columns, "value", "observed", "time_basis", "status", "indicator_id")
 
 
+def extract_and_verify(pages: DataFrame, available_at: Column, scopes: tuple[str, ...] = tuple(PATTERNS), html: str = "html", document_id: str = "document_id", ipv6: bool = True, max_chars: int = H.MAX_CHARS) -> DataFrame:
+    """Pages (document_id, published_at and markup) to verified indicators in one pass: readable text,
+    mining, the gates of `verify`, and where each find comes from (document_format, text_extractor,
+    text_sha256, text_chars). Pages that are too long give one row of status document_too_long."""
+    read = H.main_text(pages.select(F.col(document_id).cast("string").alias("document_id"), "published_at", F.col(html).alias("html")), max_chars=max_chars)
+    source = F.struct("published_at", F.lit("html_or_text").alias("document_format"), F.col("extractor").alias("text_extractor"), "text_sha256", "text_chars", "reason").alias("source")
+    found = mine(read.select("document_id", F.when(F.col("reason").isNull(), F.col("text")).alias("text"), source), scopes, keep=("source",))
+    dates = found.select("document_id", "source.published_at").distinct()
+    told = verify(found, dates, available_at, text=None, ipv6=ipv6)
+    long = read.where("reason is not null").select("document_id", source, F.col("reason").alias("status"))
+    kept = ["document_id", "scope", "pos", "raw_form", "value", "observed", "time_basis", "status", "indicator_id", "source.document_format", "source.text_extractor", "source.text_sha256", "source.text_chars"]
+    return told.unionByName(long, allowMissingColumns=True).select(*kept)
+
+
 def funnel(verified: DataFrame, by: list[str]) -> DataFrame:
     """Counts of candidates by outcome."""
     n = lambda s: F.count_if(F.col("status") == s)

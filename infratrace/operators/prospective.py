@@ -80,13 +80,21 @@ def event_gates(events: DataFrame, opportunities: DataFrame, queries: DataFrame,
     return told.withColumn("reason", reason).select(*events.columns, "reason")
 
 
-def candidates(events: DataFrame, key: list[str], event_id: str = "event_id") -> DataFrame:
-    """The first eligible event of each key (query, version, hash, epoch)."""
+def candidates(events: DataFrame, key: list[str], event_id: str = "event_id", discovery: DataFrame | None = None) -> DataFrame:
+    """The first eligible event of each key (query, version, hash, epoch).
+
+    discovery (columns of the key that it has, discovery_feature_id, discovery_source_family_id) gives
+    each candidate the sorted, different features and source families that its query was found by."""
     good = events.where("time_status = 'eligible'")
     rest = [x for x in ("indicator_id",) if x not in key]
     first = F.min_by(F.struct(event_id, "observed_at", *rest), F.struct("observed_at", event_id))
     ident = json_id("candidate", **{k: F.col(k) for k in key})
-    return good.groupBy(*key).agg(first.alias("f")).select(ident.alias("candidate_id"), *key, *[f"f.{x}" for x in rest], F.col("f.observed_at").alias("first_candidate_at"), F.col(f"f.{event_id}").alias("first_observation_event_id"))
+    made = good.groupBy(*key).agg(first.alias("f")).select(ident.alias("candidate_id"), *key, *[f"f.{x}" for x in rest], F.col("f.observed_at").alias("first_candidate_at"), F.col(f"f.{event_id}").alias("first_observation_event_id"))
+    if discovery is None:
+        return made
+    own = [k for k in key if k in discovery.columns]
+    ids = lambda c: F.sort_array(F.collect_set(c)).alias(f"{c}s")
+    return made.join(discovery.groupBy(*own).agg(ids("discovery_feature_id"), ids("discovery_source_family_id")), own, "left")
 
 
 def evidence_gate(evidence: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -131,12 +139,27 @@ def adjudication_check(adjudications: DataFrame, evidence: DataFrame) -> DataFra
     return told.withColumn("reason", reason).drop("_foreign", "_status")
 
 
-def grade_chain(grades: DataFrame) -> DataFrame:
-    """grade events (candidate_id, grade_event_id, previous_grade_event_id, graded_at) with reason:
-    previous_mismatch or null. The chain is in order of time, then id."""
-    order = Window.partitionBy("candidate_id").orderBy("graded_at", "grade_event_id")
-    told = grades.withColumn("_before", F.lag("grade_event_id").over(order))
-    return told.withColumn("reason", F.when(~F.col("_before").eqNullSafe(F.col("previous_grade_event_id")), "previous_mismatch")).drop("_before")
+def grade_chain(grades: DataFrame, adjudications: DataFrame | None = None, position: str | None = None) -> DataFrame:
+    """grade events (candidate_id, grade_event_id, previous_grade_event_id, graded_at) with reason, first
+    that holds: adjudication_foreign (with adjudications: adjudication_id, candidate_id),
+    previous_mismatch, time_backward, or null.
+
+    Events come in order of `position`, a column that says when they were appended, and the one before
+    must be the latest grade so far by time and id; without it in order of time, then id."""
+    told, foreign, backward = grades, F.lit(False), F.lit(False)
+    if adjudications is not None:
+        told = told.join(adjudications.select("adjudication_id", F.col("candidate_id").alias("_owner")), "adjudication_id", "left")
+        foreign = ~F.col("_owner").eqNullSafe(F.col("candidate_id"))
+    order = Window.partitionBy("candidate_id").orderBy(*([position] if position else ["graded_at", "grade_event_id"]))
+    if position:
+        latest = F.max(F.struct("graded_at", "grade_event_id")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        told = told.withColumn("_latest", latest)
+        before, backward = F.col("_latest.grade_event_id"), F.coalesce(F.col("graded_at") < F.col("_latest.graded_at"), F.lit(False))
+    else:
+        told = told.withColumn("_before", F.lag("grade_event_id").over(order))
+        before = F.col("_before")
+    reason = F.when(foreign, "adjudication_foreign").when(~before.eqNullSafe(F.col("previous_grade_event_id")), "previous_mismatch").when(backward, "time_backward")
+    return told.withColumn("reason", reason).select(*grades.columns, "reason")
 
 
 def current_grades(grades: DataFrame) -> DataFrame:

@@ -124,6 +124,19 @@ def design_precheck_gate(prechecks: DataFrame, reviews: DataFrame, page_budget:
     return told.withColumn("reason", reason)
 
 
+def budget_schedules(designs: DataFrame) -> DataFrame:
+    """designs (design_id, interval_hours, starts_at, max_alerts_per_run, max_credits_per_run,
+    max_pages_per_run, tie_break_rule) with schedule_id, the same for the same budget, and reason:
+    interval_not_positive, budget_negative or null."""
+    c = F.col
+    ident = json_id(
+        "query-schedule", design_id=c("design_id"), interval_hours=c("interval_hours"), starts_at=iso_text(c("starts_at")), max_alerts_per_run=c("max_alerts_per_run"),
+        max_credits_per_run=c("max_credits_per_run").cast("string"), max_pages_per_run=c("max_pages_per_run"), tie_break_rule=c("tie_break_rule"),
+    )
+    reason = F.when(c("interval_hours") <= 0, "interval_not_positive").when(F.least("max_alerts_per_run", "max_credits_per_run", "max_pages_per_run") < 0, "budget_negative")
+    return designs.withColumn("schedule_id", ident).withColumn("reason", reason)
+
+
 def freeze_manifests(designs: DataFrame, schedules: DataFrame, prechecks: DataFrame, reviews: DataFrame, frozen_at: Column, valid_from: Column) -> DataFrame:
     """A manifest for each design with a lineage hash over what it rests on, or the reason why not."""
     told = (

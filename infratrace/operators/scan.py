@@ -68,7 +68,8 @@ def normalize(pages: DataFrame, runs: DataFrame, known_ips: DataFrame, history:
     collected_at) as host and service observations.
 
     Hits without an address are skipped. A run on one exact address (class q0_seed) without a hit
-    leaves one negative row. An address that no known_ips (ip, indicator_id) row names is a new
+    leaves one negative row. An address that a run shows again is one observation, that of its first hit.
+    An address that no known_ips (ip, indicator_id) row names is a new
     indicator. history: ip, port, first_seen, last_seen.
     """
     hits = page_hits(pages).select("run_id", "page_number", sha256_text(F.to_json("page")).alias("page_hash"), F.posexplode("hits").alias("hit_pos", "hit"))
@@ -81,7 +82,9 @@ def normalize(pages: DataFrame, runs: DataFrame, known_ips: DataFrame, history:
     ).where(F.coalesce(is_ip(F.col("ip")), F.lit(False)))
     rows = host.join(runs.select("run_id", "query_class", "exact_ip", "collected_at", F.col("indicator_id").alias("seed_id")), "run_id").join(known_ips.select("ip", F.col("indicator_id").alias("known_id")).dropDuplicates(["ip"]), "ip", "left")
     rows = rows.withColumn("indicator_id", F.coalesce("known_id", joined_id("ioc", F.lit("scan"), F.lit("ip"), F.col("ip")))).withColumn("observation_id", joined_id("obs", F.col("run_id"), F.col("ip")))
-    reason = F.when((F.col("query_class") == "q0_seed") & (F.col("ip") != F.col("exact_ip")), "q0_other_ip").when(F.col("observed_at") > F.col("collected_at"), "observed_after_collected")
+    nth = F.row_number().over(Window.partitionBy("run_id", "ip").orderBy("page_number", "hit_pos"))
+    rows = rows.withColumn("_nth", nth)
+    reason = F.when((F.col("query_class") == "q0_seed") & (F.col("ip") != F.col("exact_ip")), "q0_other_ip").when(F.col("observed_at") > F.col("collected_at"), "observed_after_collected").when(F.col("_nth") > 1, "address_repeated")
     rows = rows.withColumn("reason", reason)
     good = rows.where("reason is null")
     columns = ["observation_id", "indicator_id", "observed_at", "collected_at", "observation_time_basis", "host_observed", "negative_reason", "asn", "prefix", "country", "organization", "raw_record_hash", "query_run_id"]

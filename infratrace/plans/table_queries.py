@@ -61,7 +61,7 @@ def hit_distribution(spark: SparkSession, folder: str) -> DataFrame:
 
 def precheck_definitions(spark: SparkSession, folder: str) -> DataFrame:
     roles = F.element_at(F.array(*map(F.lit, ("relay_orb", "staging", "controller", "c2", "scanner"))), (F.col("l_linenumber") % 5 + 1).cast("int"))
-    li = table(spark, folder, "lineitem").where("l_orderkey % 4 = 0")
+    li = table(spark, folder, "lineitem")
     rows = li.select(
         _text("q", "l_orderkey").alias("query_id"), F.lit("h").alias("query_hash"), F.lit("node").alias("node_id"), F.lit("1998-01-01").cast("timestamp_ntz").alias("cutoff_at"), F.lit(2).alias("page_budget"),
         F.concat_ws("-", F.lit("as"), "l_orderkey", "l_linenumber").alias("assertion_id"), F.when(F.col("l_orderkey") % 8 == 0, F.when(F.col("l_linenumber") % 2 == 0, "relay_orb").otherwise("staging")).otherwise(roles).alias("role"),
@@ -72,7 +72,7 @@ def precheck_definitions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def composites(spark: SparkSession, folder: str) -> DataFrame:
-    li = table(spark, folder, "lineitem").where("l_linenumber <= 3 and l_orderkey % 3 <> 0")
+    li = table(spark, folder, "lineitem")
     role = F.when(F.col("l_orderkey") % 2 == 0, F.when(F.col("l_linenumber") == 1, "c2").otherwise("controller")).when(F.col("l_linenumber") == 1, "scanner").otherwise("staging")
     rows = li.select(_text("node", "l_orderkey").alias("node_id"), F.concat_ws("-", F.lit("as"), "l_orderkey", "l_linenumber").alias("assertion_id"), role.alias("role"), F.col("l_shipdate").alias("available_at"))
     windows = table(spark, folder, "orders").select(_text("node", "o_orderkey").alias("node_id"), F.col("o_orderdate").alias("window_start"), (F.col("o_orderdate") + F.expr("interval 90 days")).alias("window_end"))
@@ -87,12 +87,15 @@ def rule_match(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _clauses(spark: SparkSession, folder: str) -> DataFrame:
-    """Rules of brands (required), types (alternatives) and sizes (excluded) of the first parts."""
-    p = table(spark, folder, "part").where("p_partkey <= 24")
-    role = F.when(F.col("p_partkey") % 5 == 0, "exclusion").when(F.col("p_partkey") % 2 == 0, "alternative").otherwise("required")
-    field = F.when(F.col("p_partkey") % 5 == 0, "size").when(F.col("p_partkey") % 2 == 0, "type").otherwise("brand")
-    value = F.when(F.col("p_partkey") % 5 == 0, F.col("p_size").cast("string")).when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.col("p_brand"))
-    return p.select(F.concat(F.lit("rule-"), (F.col("p_partkey") % 12).cast("string")).alias("design_id"), F.concat(F.lit("c-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("clause_id"), role.alias("logical_role"), field.alias("query_field"), value.alias("canonical_value"))
+    """A rule for each brand: the brand is required, one of the types of its large parts must be there,
+    and a size that its number of parts picks is excluded."""
+    p = table(spark, folder, "part")
+    rule = F.concat(F.lit("rule-"), "p_brand").alias("design_id")
+    clause = lambda role, field, value: (F.concat_ws("-", F.lit("c"), F.lit(field), value).alias("clause_id"), F.lit(role).alias("logical_role"), F.lit(field).alias("query_field"), value.alias("canonical_value"))
+    required = p.select(rule, *clause("required", "brand", F.col("p_brand"))).distinct()
+    alternative = p.where("p_size >= 45").select(rule, *clause("alternative", "type", F.col("p_type"))).distinct()
+    size = (F.col("n") % 50 + 1).cast("string")
+    return required.unionAll(alternative).unionAll(p.groupBy("p_brand").agg(F.count("*").alias("n")).select(rule, *clause("exclusion", "size", size)))
 
 
 def rule_render(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,13 +203,14 @@ def public_manifest(spark: SparkSession, folder: str) -> DataFrame:
 def screening(spark: SparkSession, folder: str) -> DataFrame:
     c, o = table(spark, folder, "customer"), table(spark, folder, "orders")
     cands = c.select(_text("cand", "c_custkey").alias("candidate_id"))
-    decisions = o.where("o_orderkey % 40 = 0").select(F.concat(F.lit("cand-"), (F.col("o_custkey") + F.when(F.col("o_orderkey") % 400 == 0, 10_000_000).otherwise(0)).cast("string")).alias("candidate_id"), F.when(F.col("o_orderstatus") == "F", "include").otherwise("exclude").alias("decision"))
+    # orders of customers are decisions on them; every fifth customer's are on a candidate that is not there
+    decisions = o.select(F.concat(F.lit("cand-"), (F.col("o_custkey") + F.when(F.col("o_custkey") % 5 == 0, 10_000_000).otherwise(0)).cast("string")).alias("candidate_id"), F.when(F.col("o_orderstatus") == "F", "include").otherwise("exclude").alias("decision"))
     return mining.apply_screening(cands, decisions).groupBy("reason", "included").agg(F.count("*").alias("candidates"))
 
 
 def review_gate(spark: SparkSession, folder: str) -> DataFrame:
     o, c = table(spark, folder, "orders"), table(spark, folder, "customer")
-    reviews = o.where("o_orderkey % 5 = 0").select("o_orderkey", F.col("o_custkey").alias("subject_id"), F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("rejected").alias("decision"), F.col("o_orderdate").alias("reviewed_at"))
+    reviews = o.select("o_orderkey", F.col("o_custkey").alias("subject_id"), F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("rejected").alias("decision"), F.col("o_orderdate").alias("reviewed_at"))
     subjects = c.where("c_custkey % 13 <> 0").select(F.col("c_custkey").alias("subject_id"), F.lit("1994-01-01").cast("timestamp_ntz").alias("assessed_at"), (F.col("c_acctbal") > 0).alias("good"))
     return corpus.review_gate(reviews, subjects, "subject_id", F.col("good")).select("o_orderkey", "reason")
 
@@ -223,8 +227,9 @@ _LOG = f"""
   from (select *, l_orderkey + l_linenumber as n from lines) where n % 37 <> 0)"""
 _CLAUSES = """
 clauses as (
-  select 'rule-' || (p_partkey % 12) as design_id, 'c-' || lpad(p_partkey::varchar, 6, '0') as clause_id, case when p_partkey % 5 = 0 then 'exclusion' when p_partkey % 2 = 0 then 'alternative' else 'required' end as role,
-         case when p_partkey % 5 = 0 then 'size' when p_partkey % 2 = 0 then 'type' else 'brand' end as field, case when p_partkey % 5 = 0 then p_size::varchar when p_partkey % 2 = 0 then p_type else p_brand end as value from part where p_partkey <= 24)"""
+  select distinct 'rule-' || p_brand as design_id, 'c-brand-' || p_brand as clause_id, 'required' as role, 'brand' as field, p_brand as value from part
+  union all select distinct 'rule-' || p_brand, 'c-type-' || p_type, 'alternative', 'type', p_type from part where p_size >= 45
+  union all select 'rule-' || p_brand, 'c-size-' || (count(*) % 50 + 1), 'exclusion', 'size', (count(*) % 50 + 1)::varchar from part group by p_brand)"""
 _BATCH = """
 o as (select o_orderkey as k, o_custkey as c, o_orderdate as t from orders),
 stored as (select * from o where k % 3 <> 0),
@@ -249,7 +254,7 @@ select 'pre-' || k as precheck_id, reason = 'eligible_q2_source' as eligible, re
     "precheck_definitions": """
 with rows as (
   select l_orderkey as k, 'as-' || l_orderkey || '-' || l_linenumber as a, case when l_orderkey % 8 = 0 then case when l_linenumber % 2 = 0 then 'relay_orb' else 'staging' end else ['relay_orb', 'staging', 'controller', 'c2', 'scanner'][l_linenumber % 5 + 1] end as role,
-         case when l_tax > 0.04 then 'domain' else 'cert' end as scope, l_shipdate as t, l_returnflag as f from lineitem where l_orderkey % 4 = 0),
+         case when l_tax > 0.04 then 'domain' else 'cert' end as scope, l_shipdate as t, l_returnflag as f from lineitem),
 each as (select k, list_sort(list(a)) as ids, list_sort(list(distinct role)) as roles, count(distinct scope) as n, min(scope) as scope, bool_or(f = 'R') as restricted, max(t) as t from rows group by k),
 told as (select *, len(list_filter(roles, lambda r: r not in ('relay_orb', 'staging'))) = 0 or len(list_filter(roles, lambda r: r not in ('controller', 'c2'))) = 0 or roles = ['scanner'] as fine from each)
 select 'precheck-' || sha256('q-' || k || '|h|node|1998-01-01T00:00:00+00:00|2|' || array_to_string(ids, '|'))[1:20] as precheck_id, 'q-' || k as query_id, array_to_string(roles, ',') as roles, case when n = 1 then scope else 'composite' end as scope,
@@ -257,7 +262,7 @@ select 'precheck-' || sha256('q-' || k || '|h|node|1998-01-01T00:00:00+00:00|2|'
     "composites": """
 with rows as (
   select l_orderkey as k, 'as-' || l_orderkey || '-' || l_linenumber as a, case when l_orderkey % 2 = 0 then case when l_linenumber = 1 then 'c2' else 'controller' end when l_linenumber = 1 then 'scanner' else 'staging' end as role, l_shipdate as t, o_orderdate as ws, o_orderdate + interval 90 day as we
-  from lineitem join orders on o_orderkey = l_orderkey where l_linenumber <= 3 and l_orderkey % 3 <> 0),
+  from lineitem join orders on o_orderkey = l_orderkey),
 each as (select k, ws, we, list_sort(list(distinct a)) as ids, count(*) as n, list_sort(list(distinct role)) as roles, max(t) as t, bool_and(t between ws and we) as inside from rows group by 1, 2, 3),
 told as (select *, case when n < 2 then 'too_few_assertions' when not inside then 'outside_window' when not (roles in (['c2'], ['controller'], ['c2', 'controller'], ['scanner'], ['staging'])) then 'incompatible_roles' when len(ids) <> n then 'duplicate_assertions' end as reason from each)
 select case when reason is null then 'cti-composite-' || sha256('node-' || k || '|' || strftime(ws, '%Y-%m-%dT%H:%M:%S+00:00') || '|' || strftime(we, '%Y-%m-%dT%H:%M:%S+00:00') || '|' || array_to_string(ids, '|'))[1:20] end as composite_id, 'node-' || k as node_id, array_to_string(roles, ',') as roles, t as available_at, reason from told""",
@@ -310,11 +315,11 @@ select array_to_string(list_filter([case when event_id % 3 = 0 and event_id % 2
 select position, document_id, case when reason is null then publisher end as publisher, case when reason is null then 'h' end as content_sha256, case when reason is null then 'public' end as source_access_class, reason from (
   select s_suppkey as position, 'doc-' || s_suppkey as document_id, s_name as publisher, case when s_suppkey % 7 = 0 then 'missing' when s_nationkey % 2 <> 0 then 'restricted' end as reason from supplier where s_suppkey % 2 = 0)""",
     "screening": """
-with d as (select 'cand-' || (o_custkey + case when o_orderkey % 400 = 0 then 10000000 else 0 end) as id, min(case when o_orderstatus = 'F' then 'include' else 'exclude' end) as decision, count(*) as n from orders where o_orderkey % 40 = 0 group by 1),
+with d as (select 'cand-' || (o_custkey + case when o_custkey % 5 = 0 then 10000000 else 0 end) as id, min(case when o_orderstatus = 'F' then 'include' else 'exclude' end) as decision, count(*) as n from orders group by 1),
 told as (select case when c.c_custkey is null then 'unknown_candidate' when n > 1 then 'conflicting_decisions' when decision is null then 'undecided' end as reason, decision from (select c_custkey, 'cand-' || c_custkey as id from customer) c full join d using (id))
 select reason, coalesce(reason is null and decision = 'include', false) as included, count(*) as candidates from told group by 1, 2""",
     "review_gate": """
-with r as (select *, count(*) over (partition by o_custkey) as n from orders where o_orderkey % 5 = 0)
+with r as (select *, count(*) over (partition by o_custkey) as n from orders)
 select o_orderkey, case when o_custkey % 13 = 0 then 'unknown_subject' when o_orderdate < timestamp '1994-01-01' then 'review_predates_subject' when n > 1 then 'reviewed_twice' when o_orderstatus = 'F' and c_acctbal <= 0 then 'subject_does_not_qualify' end as reason
 from r left join customer on c_custkey = o_custkey""",
 }

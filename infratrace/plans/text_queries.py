@@ -170,6 +170,16 @@ def html_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_text(table(spark, folder, "pages").select("page_id", "html"))
 
 
+def extract_and_verify(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages to verified indicators; every sixth page says where it was reported, others hold addresses."""
+    p, k = table(spark, folder, "pages"), F.col("page_id")
+    address = F.concat_ws(".", F.lit("9"), (k % 300).cast("string"), (k % 7).cast("string"), (k % 90).cast("string"))
+    note = F.when(k % 6 == 0, F.concat(F.lit("<p>See "), F.replace(address, F.lit("."), F.lit("[.]")), F.lit("</p>"))).otherwise(F.concat(F.lit("<p>Seen at "), address, F.lit(" and "), address, F.lit(" by op"), k.cast("string"), F.lit("@relay.example.org today</p>")))
+    pages = p.select(k.alias("document_id"), F.replace("html", F.lit("</article>"), F.concat(note, F.lit("</article>"))).alias("html"), F.when(k % 5 != 0, F.lit("2025-05-01").cast("timestamp_ntz")).alias("published_at"))
+    told = mining.extract_and_verify(pages, F.lit(AVAILABLE).cast("timestamp"), ("ip", "email"), ipv6=False)
+    return told.select("document_id", "scope", "pos", "raw_form", "value", "status", "indicator_id", "document_format", "text_extractor", "text_sha256", "text_chars")
+
+
 def independent_sources(spark: SparkSession, folder: str) -> DataFrame:
     d = _docs(spark, folder)
     claims = table(spark, folder, "documents").select("lang", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"))
@@ -213,15 +223,47 @@ _EMAIL = r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 _IP = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 _IP_OK = r"regexp_full_match(raw_form, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])')"
 
+#: The pages' one article: pieces between tags, with the entities that pages use.
+_TEXT_SQL = r"""
+pieces as (
+  select page_id, list_filter(list_transform(string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>'),
+    lambda t: regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^\s+|\s+$', '', 'g')), lambda t: t <> '') as shown from pages_in),
+texts as (select page_id, array_to_string(shown, chr(10)) as text from pieces)"""
+_BLOCKED = rf"""case when domain = '' then 'empty_domain' when not contains(domain, '.') then 'single_label_domain'
+  when not regexp_full_match(domain, '[a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?(\.[a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?)*') then 'invalid_domain_syntax'
+  when list_contains({list(T.BROAD_EXACT)}, domain) or len(list_filter(['{_BROAD}'], lambda s: domain = s or suffix(domain, '.' || s))) > 0 then 'broad_or_reference_domain'
+  when list_contains(['{_FILES}'], string_split(domain, '.')[-1]) then 'filelike_domain' when list_has_any(['{_MALWARE}'], string_split(domain, '.')) then 'malware_label_domain' else '' end"""
+
 QUERIES = {
     "mine_ipv4": _mined("ip"), "mine_email": _mined("email"), "mine_sha1": _mined("hash_sha1"), "mine_domain": mine_domain,
     "refang_defang_roundtrip": refang_defang_roundtrip, "verify_funnel": verify_funnel, "indicator_ids": indicator_ids, "mention_ids": mention_ids,
     "url_canonical": url_canonical, "allowlist_filter": allowlist_filter, "domain_block_reason": domain_block_reason, "search_dedupe_rank": search_dedupe_rank,
-    "publication_precision": publication_precision, "html_main_text": html_main_text, "independent_sources": independent_sources, "error_classes": error_classes,
+    "publication_precision": publication_precision, "html_main_text": html_main_text, "extract_and_verify": extract_and_verify, "independent_sources": independent_sources, "error_classes": error_classes,
     "pivot_plan": pivot_plan, "leakage_filter": leakage_filter, "manifest_ids": manifest_ids,
 }
 
 ORACLES = {
+    "html_main_text": rf"""
+with pages_in as (select * from pages), {_TEXT_SQL}
+select page_id, text, 'html_main' as extractor, len(text)::int as text_chars, sha256(text) as text_sha256, case when len(text) > 2000000 then 'document_too_long' end as reason from texts""",
+    "extract_and_verify": rf"""
+with noted as (select *, '9.' || (page_id % 300) || '.' || (page_id % 7) || '.' || (page_id % 90) as a from pages),
+pages_in as (
+  select page_id, replace(html, '</article>', case when page_id % 6 = 0 then '<p>See ' || replace(a, '.', '[.]') || '</p>' else '<p>Seen at ' || a || ' and ' || a || ' by op' || page_id || '@relay.example.org today</p>' end || '</article>') as html from noted),
+{_TEXT_SQL},
+hits as (
+  select page_id, text, 'ip' as scope, unnest(regexp_extract_all(' ' || regexp_replace(text, '([^0-9.])', '\1\1', 'g') || ' ', '[^0-9.]((?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}})[^0-9.]', 1)) as raw_form, generate_subscripts(regexp_extract_all(' ' || regexp_replace(text, '([^0-9.])', '\1\1', 'g') || ' ', '[^0-9.]((?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}})[^0-9.]', 1), 1) - 1 as pos from texts
+  union all select page_id, text, 'email', unnest(regexp_extract_all(text, '{_EMAIL}')), generate_subscripts(regexp_extract_all(text, '{_EMAIL}'), 1) - 1 from texts),
+judged as (select *, case when scope = 'email' or {_IP_OK} then case when page_id % 5 = 0 then 'format_rejected' else 'verified' end else 'format_rejected' end as gate from hits),
+told as (select *, case when gate = 'verified' and row_number() over (partition by page_id, scope, raw_form order by pos) > 1 then 'duplicate' else gate end as status from judged)
+select page_id::varchar as document_id, scope, pos::int as pos, raw_form, raw_form as value, status, case when status in ('verified', 'duplicate') then 'ioc-' || sha256(scope || '|' || raw_form)[1:20] end as indicator_id,
+  'html_or_text' as document_format, 'html_main' as text_extractor, sha256(text) as text_sha256, len(text)::int as text_chars from told""",
+    "mine_domain": rf"""
+with apart as (select page_id, ' ' || regexp_replace(html, '([^@\w.\-])', '\1\1', 'g') || ' ' as t from pages),
+hits as (select page_id, regexp_extract_all(t, '(?i)[^@\w.\-]((?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z][a-z0-9-]{{1,62}})[^\w@\-]', 1) as h from apart),
+each as (select page_id, unnest(h) as raw_form, generate_subscripts(h, 1) - 1 as pos from hits),
+told as (select *, lower(raw_form) as domain from each)
+select page_id as document_id, 'domain' as scope, pos::int as pos, raw_form, domain as value, len(domain) between 4 and 253 as is_valid, {_BLOCKED} as block_reason from told""",
     "mine_ipv4": _mined_sql("ip", _IP, ("[^0-9.]", "[^0-9.]"), _IP_OK, "raw_form"),
     "mine_email": _mined_sql("email", _EMAIL, ("", ""), "true", "regexp_extract(raw_form, '^(.*)@', 1) || '@' || lower(regexp_extract(raw_form, '@([^@]*)$', 1))"),
     "mine_sha1": _mined_sql("hash_sha1", "[0-9a-fA-F]{40}", ("[^0-9a-fA-F]", "[^0-9a-fA-F]"), "true"),

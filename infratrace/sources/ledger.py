@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import sha256_text
 
 
+#: Partitions of a batch that are looked up by name.
+FEW_PARTITIONS = 256
+
+
 def payload_hash(columns: list[str]) -> Column:
     return sha256_text(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}))
 
@@ -36,16 +45,38 @@ def classify(batch: DataFrame, stored: DataFrame, key: list[str], earliest: str
 
 def append(batch: DataFrame, path: str, key: list[str], earliest: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Append the new rows of batch to the Parquet table at path; returns action, rows. Replays insert
-    nothing; conflicts are refused and counted."""
+    nothing; conflicts are refused and counted.
+
+    Only stored rows whose key the batch has are hashed; where `partition_by` is part of the key and the
+    batch names no more than FEW_PARTITIONS, only these are read."""
     spark = batch.sparkSession
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-    stored = spark.read.schema(batch.schema).parquet(path) if there else spark.createDataFrame([], batch.schema)
-    told = classify(batch, stored, key, earliest).checkpoint()
+    stored = spark.createDataFrame([], batch.schema)
+    if there:
+        every = spark.read.schema(batch.schema).parquet(path)
+        if partition_by and set(partition_by) <= set(key):
+            named = batch.select(*partition_by).distinct().limit(FEW_PARTITIONS + 1).collect()
+            if len(named) <= FEW_PARTITIONS:
+                every = every.where(reduce(or_, [reduce(and_, [F.col(c).eqNullSafe(F.lit(r[c])) for c in partition_by]) for r in named], F.lit(False)))
+        wanted = batch.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(key)]).distinct()
+        stored = every.join(wanted, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(key)], "left_semi")
+    told = _cut(classify(batch, stored, key, earliest))
     told.where("action = 'insert'").select(*batch.columns).write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
     return told.groupBy("action").agg(F.count("*").alias("rows"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder of the session; on one machine without one, in its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="infratrace-"))
+    return df.checkpoint()
+
+
 def latest(events: DataFrame, key: list[str], time: str, tie: str) -> DataFrame:
     """Current state of an event log: the last event of each key."""
     rest = [c for c in events.columns if c not in key]

@@ -90,8 +90,11 @@ def test_epochs_against_replay_folded_and_streamed(spark):
 def test_epoch_case_and_open_end(spark):
     h = hosts(spark, [("obs-a", "ioc-1", 0, None), ("obs-b", "ioc-1", 1, None), ("obs-c", "ioc-1", 2, None)])
     ids = spark.createDataFrame([("obs-a", "a"), ("obs-b", "a"), ("obs-c", "c")], "observation_id string, identity string")
-    made = epochs.entity_epochs(epochs.assign_epochs(epochs.histories(h, ids)), open_last=True).orderBy("epoch").collect()
-    assert [m["observation_ids"] for m in made] == [["obs-a", "obs-b"], ["obs-c"]]
+    assigned = epochs.assign_epochs(epochs.histories(h, ids))
+    table = epochs.entity_epochs(assigned, open_last=True)
+    made = table.orderBy("epoch").collect()
+    members = epochs.epoch_members(assigned, table).orderBy("nth").collect()
+    assert [[r["observation_id"] for r in members if r["entity_epoch_id"] == m["entity_epoch_id"]] for m in made] == [["obs-a", "obs-b"], ["obs-c"]]
     assert [m["valid_to"] for m in made] == [day(1), None]
 
 
