@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import event_queries, scan_queries, table_queries, text_queries
+from .plans import event_queries, gate_queries, scan_queries, table_queries, text_queries
 
-QUERIES = {**event_queries.QUERIES, **text_queries.QUERIES, **table_queries.QUERIES, **scan_queries.QUERIES}
-ORACLES = {**event_queries.ORACLES, **text_queries.ORACLES, **table_queries.ORACLES, **scan_queries.ORACLES}
+MODULES = (event_queries, text_queries, table_queries, scan_queries, gate_queries)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
