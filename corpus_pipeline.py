@@ -72,13 +72,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each copy that the mix takes, in the order of the mix; where it takes the beginning of a text,
-    these words."""
+    """Each copy that the mix takes; where it takes the beginning of a text, these words. Texts move once,
+    to their keys, and are not moved again into the order of the mix."""
     queued = common.stash(op2_mixing.queue(docs, {"key": _key(docs)}), "queue")
-    taken = op2_mixing.by_copy(op2_mixing.mix(queued)).join(queued.select("nth", "size"), "nth").select("kept.key", "words", "size", "position")
+    taken = op2_mixing.by_copy(op2_mixing.mix(queued)).join(queued.select("nth", "size"), "nth").select("kept.key", "words", "size")
     taken = common.stash(taken, "mix")
+    common.discard(queued)
     texts = _rows(docs).dropDuplicates(["key"])
-    told = texts.join(taken, "key").repartitionByRange("position").sortWithinPartitions("position")
+    told = texts.join(taken, "key")
     whole = F.col("words") >= F.col("size")
     text = F.when(whole, F.col("text")).otherwise(op2_mixing.first_words(F.col("text"), F.col("words")))
     return told.select(_with_text(docs.columns, text, ~whole)).select("row.*")
