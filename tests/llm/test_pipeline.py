@@ -90,14 +90,6 @@ def test_columns_of_any_name_come_through(spark, corpus):
     assert count(narrow) == count(docs)
 
 
-def test_the_mix_is_written_in_its_order(spark, corpus):
-    docs = corpus.where("doc_id < 120")
-    mixed = corpus_pipeline.mixing(spark, docs, "")
-    assert "rangepartitioning(position" in mixed._jdf.queryExecution().executedPlan().toString()
-    firsts = [r["source"] for r in common.stash(mixed, "mix").limit(40).collect()]
-    assert len(set(firsts)) == 4
-
-
 def test_run_on_the_table(spark, data):
     got = corpus_pipeline.run(spark, data)
     assert got.count() > 0 and "token_ids" in got.columns
