@@ -21,6 +21,32 @@ FUNCTIONS = {
 }
 
 
+def _replaced(value: str, steps) -> str:
+    for pattern, into in steps:
+        value = f"regexp_replace({value}, r'{pattern}', '{into}')"
+    return value
+
+
+_STRIPPED = r"regexp_replace(v, r'(?U)^\s+|\s+$', '')"
+_HEX = {"ja3": "32", "hash_md5": "32", "hash_sha1": "40", "hash_sha256": "64", "spki": "64"}
+_FORMS = {
+    "ip": text.IPV4, "email": text.EMAIL, "mutex": text.MUTEX, "filepath": text.FILEPATH, "jarm": "(?i)^[0-9a-z]{62}$", "cert": "(?i)^([0-9a-f]{40}|[0-9a-f]{64})$", "ja4": "(?i)^[a-z0-9_]{10,128}$",
+    "ssh_key": r"^ssh-(?:rsa|ed25519) [A-Za-z0-9+/=]{20,}$",
+} | {scope: f"^[0-9a-fA-F]{{{n}}}$" for scope, n in _HEX.items()}
+#: Functions that name others come after them.
+FUNCTIONS |= {
+    "refang(v string)": _replaced(_STRIPPED, text.REFANG * 3),
+    "is_defanged(v string)": f"refang(v) <> {_STRIPPED}",
+    "normalize_indicator(scope string, v string)": r"""case when scope in ('hash_md5', 'hash_sha1', 'hash_sha256', 'ja3', 'jarm') then lower(refang(v)) when scope = 'cert' then lower(replace(refang(v), ':', ''))
+      when scope = 'domain' then lower(regexp_replace(refang(v), r'\.+$', '')) when scope = 'email' then concat(regexp_extract(refang(v), '^(.*@)', 1), lower(regexp_extract(refang(v), '([^@]*)$', 1)))
+      when scope = 'url' then concat(regexp_extract(refang(v), r'^([A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?)', 1), lower(regexp_extract(refang(v), r'^(?:[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?)([^/?#@]*)', 1)), regexp_replace(refang(v), r'^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*', ''))
+      else refang(v) end""",
+    "valid_indicator(scope string, v string)": "coalesce(v <> '' and case " + " ".join(f"when scope = '{scope}' then v rlike r'{form}'" for scope, form in _FORMS.items()) + f" when scope = 'domain' then v rlike r'{text.DOMAIN}' and not v rlike r'{text.IPV4}' else false end, false)",
+    "publication_precision(v string)": r"""case when v is null or trim(v) = '' then 'unknown' when trim(v) rlike r'^\d{4}-\d{2}-\d{2}$' then 'date' when trim(v) rlike r'^\d{4}-\d{2}$' then 'month' when trim(v) rlike r'^\d{4}$' then 'year'
+      when trim(v) rlike r'^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})$' and try_cast(trim(v) as timestamp) is not null then 'exact_timestamp' else 'unknown' end""",
+}
+
+
 def register(spark: SparkSession) -> None:
     """Make the functions known to spark.sql in this session."""
     for signature, body in FUNCTIONS.items():

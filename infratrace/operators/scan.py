@@ -107,7 +107,8 @@ def normalize(pages: DataFrame, runs: DataFrame, known_ips: DataFrame, history:
     ).where("port between 1 and 65535").withColumn("service_observation_id", joined_id("svc", F.col("observation_id"), F.col("port"), F.col("transport"))).withColumn("extractor_version", F.lit(extractor_version)).dropDuplicates(["service_observation_id"])
     if history is not None:
         span = history.groupBy("ip", "port").agg(F.min("first_seen").alias("history_from"), F.max("last_seen").alias("history_to"))
-        days = F.floor((F.unix_micros("history_to") - F.unix_micros("history_from")) / 86_400_000_000)
+        micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+        days = F.floor((micros("history_to") - micros("history_from")) / 86_400_000_000)
         services = services.join(span, ["ip", "port"], "left").withColumn("history_days", days)
     new = good.where("known_id is null").select("indicator_id", F.col("ip").alias("normalized_value"), F.when(F.col("ip").contains(":"), "other").otherwise("ipv4").alias("indicator_type"), F.lit("restricted").alias("sensitivity")).dropDuplicates(["indicator_id"])
     return Normalized(hosts.unionByName(nothing), services.drop("ip"), new, rows.where("reason is not null").select("run_id", "ip", "reason"))

@@ -120,10 +120,8 @@ def _stats(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     sets = _sets(spark, folder)
     seen = features.observed_features(hosts, services)
     catalog, observations = features.feature_catalog(seen), seen.select("feature_id", "observation_id", "observed_at", "available_at")
-    of_user = F.substring_index("indicator_id", "-", -1).cast("long")
-    anchors = hosts.where("host_observed").where(of_user % 10 == 3).join(broadcast_if_few(sets.select("reference_set_id", "cutoff_at")), F.col("collected_at") <= F.col("cutoff_at")).select("reference_set_id", "observation_id")
     members = background.memberships(sets, hosts, services, excluded=False)
-    return background.feature_stats(catalog, observations, sets, members, anchors), catalog
+    return background.feature_stats(catalog, observations, sets, members, _anchors(hosts, sets)), catalog
 
 
 _NUMBERS = ["anchor_numerator", "anchor_denominator", "background_numerator", "background_denominator"]
@@ -205,6 +203,31 @@ def audit_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit_candidates(made, told.where("cast(substring_index(observation_id, '-', -1) as long) % 3 <> 0"))  # the others are the fault
 
 
+def audit_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Issues by code of stored sets, statistics and assessments, some of which were edited: every
+    membership of a 101st observation, the counts in one set, the verdicts in another; all of the third
+    set's features are accepted."""
+    hosts, services = event_observations(spark, folder)
+    sets, seen = _sets(spark, folder), features.observed_features(hosts, services)
+    catalog, observations = features.feature_catalog(seen), seen.select("feature_id", "observation_id", "observed_at", "available_at")
+    anchors = _anchors(hosts, sets)
+    members = background.memberships(sets, hosts, services)
+    stats = background.feature_stats(catalog, observations, sets, members, anchors)
+    judged = background.assess(stats, catalog).withColumn("assessment_id", F.concat_ws("|", "feature_id", "reference_set_id"))
+    edited = F.substring_index("observation_id", "-", -1).cast("long") % 101 == 0
+    in_set = lambda name: F.col("reference_set_id") == name
+    stored = members.withColumn("exclusion_reason", F.when(edited, "edited").otherwise(F.col("exclusion_reason")))
+    counted = stats.withColumn("anchor_numerator", F.col("anchor_numerator") + F.when(in_set("set-any"), 1).otherwise(0))
+    told = judged.withColumn("status", F.when(in_set("set-https"), "edited").otherwise(F.col("status")))
+    accepted = judged.where(in_set("set-relaybox")).select("assessment_id", F.lit("accepted").alias("decision"))
+    return audit.counts(audit.audit_features(catalog, observations, sets, stored, anchors, counted, told, accepted, hosts, services))
+
+
+def _anchors(hosts: DataFrame, sets: DataFrame) -> DataFrame:
+    of_user = F.substring_index("indicator_id", "-", -1).cast("long")
+    return hosts.where("host_observed").where(of_user % 10 == 3).join(broadcast_if_few(sets.select("reference_set_id", "cutoff_at")), F.col("collected_at") <= F.col("cutoff_at")).select("reference_set_id", "observation_id")
+
+
 _CLAUSES = [("rule-a", "c1", "required", "host.services.service_name", "https"), ("rule-a", "c2", "alternative", "host.services.software.product", "relaybox-1"), ("rule-a", "c3", "alternative", "host.services.software.product", "relaybox-2"), ("rule-a", "c4", "exclusion", "host.services.port", "8443"),
             ("rule-b", "c5", "required", "host.services.jarm.fingerprint", "jarm-1"), ("rule-b", "c6", "required", "host.autonomous_system.asn", "64501")]
 
@@ -217,7 +240,7 @@ def rule_match_hosts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     host_service_join, orphan_services, fingerprint_catalog, portset_fingerprint, fingerprint_edges, shared_pairs, timeline_order, continuity_status, entity_epochs, epoch_intervals, features_unpivot, feature_first_available,
-    reference_memberships, feature_stats_wilson, feature_eligibility, due_opportunities, prospective_events, candidates_first_seen, evidence_gate, adjudication_status, status_transitions, audit_candidates, rule_match_hosts,
+    reference_memberships, feature_stats_wilson, feature_eligibility, due_opportunities, prospective_events, candidates_first_seen, evidence_gate, adjudication_status, status_transitions, audit_candidates, audit_features, rule_match_hosts,
 )}
 
 _FPS = """
@@ -396,3 +419,9 @@ ORACLES["rule_match_hosts"] = f"""
 with {VIEWS}
 select distinct 'rule-a' as design_id, observation_id from services_v s join hosts_v h using (observation_id) where h.host_observed and protocol = 'https' and software_product in ('relaybox-1', 'relaybox-2') and port <> 8443
 union all select distinct 'rule-b', observation_id from services_v join hosts_v using (observation_id) where host_observed and jarm = 'jarm-1' and asn = 64501"""
+
+ORACLES["audit_features"] = f"""
+select 'non_reproducible_reference_sets' as code, count(*) as issues from ({ORACLES['reference_memberships']}) where cast(split_part(observation_id, '-', 2) as bigint) % 101 = 0
+union all select 'non_reproducible_feature_stat_snapshots', count(*) from ({ORACLES['feature_stats_wilson']}) where reference_set_id = 'set-any'
+union all select 'non_reproducible_feature_eligibility_assessments', count(*) from ({ORACLES['feature_eligibility']}) where reference_set_id = 'set-https'
+union all select 'accepted_feature_not_eligible', count(*) from ({ORACLES['feature_eligibility']}) where reference_set_id = 'set-relaybox' and status <> 'candidate'"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from functools import reduce
 from operator import and_, or_
 
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import sha256_text
+from .shared import shared_folder
 
 
 #: Partitions of a batch that are looked up by name.
@@ -67,13 +66,10 @@ def append(batch: DataFrame, path: str, key: list[str], earliest: str | None = N
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder of the session; on one machine without one, in its own."""
+    """df checkpointed in the shared folder of the session."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="infratrace-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
