@@ -68,6 +68,17 @@ def shared_infrastructure(members: DataFrame, max_members: int | None = None, sa
     return pairs.select(joined_id("rel", F.col("left_id"), F.col("right_id"), kind, F.col("fingerprint_id")).alias("relation_id"), "left_id", "right_id", kind.alias("relation_type"), "fingerprint_id", F.greatest("la", "ra").alias("available_at"), F.greatest("lv", "rv").alias("valid_from")), hot
 
 
+def shared_with_first(members: DataFrame, hot: DataFrame) -> DataFrame:
+    """The members of hot fingerprints, each with the first of them by id: a row a member in place of
+    all pairs, from which every pair follows. Columns as of shared_infrastructure's pairs."""
+    rows = members.join(hot.select("fingerprint_id"), "fingerprint_id", "left_semi")
+    first = rows.groupBy("fingerprint_id").agg(F.min_by(F.struct("indicator_id", "available_at", "valid_from"), "indicator_id").alias("f"))
+    told = rows.join(first, "fingerprint_id").where(F.col("indicator_id") != F.col("f.indicator_id"))
+    kind = F.concat(F.lit("shares_"), F.col("fingerprint_type"))
+    left = F.col("f.indicator_id")
+    return told.select(joined_id("rel", left, F.col("indicator_id"), kind, F.col("fingerprint_id")).alias("relation_id"), left.alias("left_id"), F.col("indicator_id").alias("right_id"), kind.alias("relation_type"), "fingerprint_id", F.greatest("available_at", "f.available_at").alias("available_at"), F.greatest("valid_from", "f.valid_from").alias("valid_from"))
+
+
 def normalized_hash(value: Column) -> Column:
     text = canonical(value)
     return F.when(text.isNotNull(), sha256_text(text))

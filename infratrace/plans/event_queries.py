@@ -51,10 +51,17 @@ def fingerprint_edges(spark: SparkSession, folder: str) -> DataFrame:
     return edges.groupBy("fingerprint_type", "of_indicator").agg(F.count("*").alias("edges"), F.count_distinct("src_id").alias("sources"), F.min("available_at").alias("first_available_at"))
 
 
+#: Indicators of a fingerprint up to which all pairs are listed.
+MOST_MEMBERS = 500
+
+
 def shared_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of indicators that share a fingerprint; where more than MOST_MEMBERS share one, such as
+    a vendor's default, each with the first of them."""
     _, edges = graph.fingerprint_graph(*event_observations(spark, folder))
-    pairs, _ = graph.shared_infrastructure(graph.earliest_members(edges))
-    return pairs.select("relation_id", "left_id", "right_id", "relation_type", "fingerprint_id", "available_at")
+    members = graph.earliest_members(edges)
+    pairs, hot = graph.shared_infrastructure(members, max_members=MOST_MEMBERS)
+    return pairs.unionByName(graph.shared_with_first(members, hot)).select("relation_id", "left_id", "right_id", "relation_type", "fingerprint_id", "available_at")
 
 
 def _landmarks(hosts: DataFrame) -> DataFrame:
@@ -329,9 +336,9 @@ edges as (select distinct fingerprint_type, fingerprint_id, src_id, of_indicator
   select *, service_observation_id as src_id, false as of_indicator from allseen union all select *, indicator_id, true from allseen) group by all)
 select fingerprint_type, of_indicator, count(*) as edges, count(distinct src_id) as sources, min(t) as first_available_at from edges group by 1, 2""",
     "shared_pairs": f"""
-with {VIEWS}, {_FPS}, members as (select fingerprint_id, fingerprint_type, indicator_id, min(collected_at) as t from seen group by all)
+with {VIEWS}, {_FPS}, members as (select *, count(*) over f as n, min(indicator_id) over f as first from (select fingerprint_id, fingerprint_type, indicator_id, min(collected_at) as t from seen group by all) window f as (partition by fingerprint_id))
 select 'rel-' || sha256(a.indicator_id || '|' || b.indicator_id || '|shares_' || a.fingerprint_type || '|' || a.fingerprint_id)[1:20] as relation_id, a.indicator_id as left_id, b.indicator_id as right_id, 'shares_' || a.fingerprint_type as relation_type,
-       a.fingerprint_id, greatest(a.t, b.t) as available_at from members a join members b on a.fingerprint_id = b.fingerprint_id and a.indicator_id < b.indicator_id""",
+       a.fingerprint_id, greatest(a.t, b.t) as available_at from members a join members b on a.fingerprint_id = b.fingerprint_id and a.indicator_id < b.indicator_id where a.n <= {MOST_MEMBERS} or a.indicator_id = a.first""",
     "timeline_order": f"""
 with {VIEWS}, {_TIMELINE}, fp as (
   select observation_id, array_to_string(list_sort(list_distinct(list('fp-' || sha256(t || '|' || v)[1:20]))), ',') as fingerprints from (

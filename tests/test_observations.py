@@ -163,5 +163,9 @@ def test_shared_infrastructure_hot_key(spark):
     for salt_members in (2000, 30):
         pairs, _ = graph.shared_infrastructure(members, salt_members=salt_members)
         assert pairs.count() == pairs.distinct().count() == 400 * 399 // 2
+    rows, hot = graph.shared_infrastructure(members, max_members=100)
+    star = graph.shared_with_first(members, hot)
+    held = members.join(hot, "fingerprint_id").count() - hot.count()
+    assert rows.count() + star.count() == held and star.where("left_id >= right_id").count() == 0
     none, hot = graph.shared_infrastructure(members, max_members=100)
     assert none.count() == 0 and hot.collect()[0]["members"] == 400
