@@ -147,3 +147,47 @@ def test_embedding_recall_on_the_table(spark, data):
     cos = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
     want = int((cos >= 0.95).sum()) - len(x)
     assert want > 0 and 0.9 * want <= got <= want
+
+
+def partners(rng, n, dim, mean, cosine):
+    """Unit vectors with that cosine to each other in the mean, and one more for each at `cosine` to it."""
+    common = np.zeros(dim)
+    common[0] = 1
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(np.sqrt(mean) * common + np.sqrt(1 - mean) * unit(rng.normal(size=(n, dim))))
+    aside = rng.normal(size=(n, dim))
+    aside = unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    return np.concatenate((x, cosine * x + np.sqrt(1 - cosine**2) * aside))
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.7, 0.85])
+def test_embedding_recall_with_a_common_direction(mean):
+    """The codes alone: of pairs just above the threshold nine in ten and more meet, whatever the vectors
+    have in common, and far fewer than all pairs do."""
+    rng = np.random.default_rng(11)
+    n, dim = 3000, 64
+    x = partners(rng, n, dim, mean, 0.952)
+    coder = op8_embeddings.Coder(dim, 2 * n, 0.95, x[rng.permutation(2 * n)[:2000]])
+    values, known = coder.code(x)
+    known = known.view(np.uint64)
+    met = lambda a, b: ((np.bitwise_count(values[a] ^ values[b]) <= 1).any(axis=1)) & (np.bitwise_count(known[a] ^ known[b]) <= coder.reach)
+    assert met(np.arange(n), np.arange(n, 2 * n)).mean() >= 0.93
+    a, b = rng.integers(0, 2 * n, (2, 100_000))
+    assert met(a, b)[a != b].mean() < (0.05 if mean < 0.8 else 0.4)
+
+
+def test_shapes_grow_with_the_table():
+    bits = [op8_embeddings.shape(n, 0.1)[0] for n in (10**3, 10**5, 10**7, 10**9)]
+    assert bits == sorted(set(bits))
+    work = [t * (b + 1) * (1 + n / 2**b) for n in (10**5, 10**9) for b, t in [op8_embeddings.shape(n, 0.1)]]
+    assert work[1] < 20 * work[0]  # a vector's lookups, for ten thousand times the vectors
+
+
+def test_large_buckets_give_the_same(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + rng.normal(scale=0.03, size=(150, 16)) for c in rng.normal(size=(3, 16))])
+    rows = [(i, [float(v) for v in e], 0) for i, e in enumerate(x)]
+    got = [sorted(map(tuple, op8_embeddings.near_duplicates(embed(spark, rows, "double"), hot=hot, block=block).collect())) for hot, block in ((10**9, 1024), (16, 20))]
+    cos = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    want = int((cos >= 0.95).sum()) - len(x)
+    assert got[0] == got[1] and 0.98 * want <= sum(r[1] for r in got[0]) <= want
