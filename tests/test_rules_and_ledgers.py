@@ -254,3 +254,20 @@ def test_source_families_and_constraints(spark):
     pairs = spark.createDataFrame([("q0_seed", "rq1")], "query_class string, question string")
     q = spark.createDataFrame([("q0_seed", "rq1"), ("q0_seed", "rq2")], "query_class string, question string")
     assert {r["question"]: r["supported"] for r in constraints.supported_questions(q, pairs).collect()} == {"rq1": True, "rq2": False}
+
+
+def test_group_hash_is_blind_to_order(spark):
+    from infratrace.functions.ids import group_hash, sha256_text
+
+    rows = [(k % 3, f"row-{k}") for k in range(900)]
+    of = lambda r: {x["g"]: x["h"] for x in group_hash(spark.createDataFrame(r, "g int, row string").repartition(5), ["g"], sha256_text(F.col("row")), "h").collect()}
+    one, two = of(rows), of(rows[::-1])
+    assert one == two and len(set(one.values())) == 3 and of(rows[:-1])[2] != one[2]
+
+
+def test_append_reads_the_named_partitions(spark, tmp_path):
+    path = f"file://{tmp_path}/parted"
+    run = lambda rows: {r["action"]: r["rows"] for r in ledger.append(spark.createDataFrame(rows, "day string, id int, v int"), path, ["day", "id"], partition_by=["day"]).collect()}
+    assert run([("a", 1, 1), ("a", 2, 1), (None, 3, 1)]) == {"insert": 3}
+    assert run([("a", 1, 1), ("a", 2, 9), ("b", 1, 1), (None, 3, 1)]) == {"noop": 2, "conflict": 1, "insert": 1}
+    assert spark.read.parquet(path).count() == 4

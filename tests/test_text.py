@@ -94,3 +94,25 @@ def test_readable_text(spark):
     rows = [(1, page), (2, "<p>all <b>of</b> it"), (3, "just text"), (4, ""), (5, None)]
     got = {r["id"]: (r["text"], r["extractor"]) for r in html.main_text(spark.createDataFrame(rows, "id int, html string")).collect()}
     assert got == {1: ("Main  text", "html_main"), 2: ("all\nof\nit", "html_all"), 3: ("just text", "html_all"), 4: ("", "raw"), 5: ("", "raw")}
+
+
+def test_readable_text_of_odd_pages():
+    cases = {
+        "<p>a</p><template><main></template><p>b</p>": ("a\nb", "html_all"),  # a main element that is hidden is none
+        "<main><svg><article>x</article></svg>y</main>z": ("y", "html_main"),
+        "</main></script><p>a</p>": ("a", "html_all"),  # nothing open, nothing closed
+        "<article>one<main>two</main>three</article>four": ("one\ntwo\nthree", "html_main"),
+        "<script>only()</script>": ("<script>only()</script>", "raw"),
+        "<p> a  b </p>\n<p>\tc</p>": ("a  b\nc", "html_all"),
+        "<noscript>x": ("<noscript>x", "raw"),
+        None: ("", "raw"),
+    }
+    assert {k: html.readable(k) for k in cases} == cases
+
+
+def test_pages_that_are_too_long(spark):
+    from infratrace.operators import mining
+
+    pages = spark.createDataFrame([(1, "<p>see 9.8.7.6 and 9.8.7.6</p>", None), (2, "<p>" + "x" * 300 + "</p>", None)], "document_id int, html string, published_at timestamp")
+    got = mining.extract_and_verify(pages, F.lit("2026-01-01").cast("timestamp"), ("ip",), ipv6=False, max_chars=200).collect()
+    assert sorted((r["document_id"], r["status"], r["text_extractor"]) for r in got) == [("1", "format_rejected", "html_all"), ("1", "format_rejected", "html_all"), ("2", "document_too_long", "html_all")]
