@@ -19,8 +19,8 @@ stream's end mark, which Arrow readers ignore.
 The vocabulary is a file of the tokenizers library. That library encodes each different run of
 non-space characters once; its normaliser and splitter never look across white space, so the ids are
 those of the whole text. Runs in Latin-1 are split here by the vocabulary's pattern and only new words
-among them go to the library's merges. What a worker remembers is bounded in bytes, leaves out runs of
-more than LONG characters and is dropped when its task ends.
+among them go to the library's merges. What a worker remembers is bounded in bytes, the less recent half
+going first; it leaves out runs of more than LONG characters and is dropped when the task ends.
 
 Null texts are empty and consist of the end id. Null doc_ids come first. Rows that repeat a doc_id
 stay separate, in the order of their texts' hashes. An empty table gives files without sequences and an
@@ -30,7 +30,7 @@ empty result; other columns are left out of the files.
 from __future__ import annotations
 
 import os
-import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,9 +49,9 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 END = 2
 #: Ids in a sequence, sequences in a record batch, ids in a file at most (but for the last document's).
 LENGTH, BATCH, FILE_IDS = 1024, 256, 8_000_000
-#: Bytes of runs and words that a worker remembers at most, about; what one takes besides its letters
-#: and ids; and characters of a run that is not remembered.
-CACHE_BYTES, ENTRY, LONG = 48 << 20, 230, 1024
+#: Bytes of runs and words that a worker remembers within a task, about, and as much of what it had
+#: before; what one takes besides its letters and ids; and characters of a run that is not remembered.
+CACHE_BYTES, ENTRY, LONG = 64 << 20, 200, 1024
 #: Characters that Python's split() takes for white space and the vocabulary does not.
 ODD = "\x1c\x1d\x1e\x1f"
 
@@ -70,16 +70,21 @@ class Encoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.letters = dict(enumerate(byte_letters()))
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.forget()
 
     def forget(self) -> None:
         """Drop what texts have left behind."""
-        self.known: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # runs that go through the whole library
+        self.plain: dict[str, bytes] = {}  # Latin-1 runs and the words they are cut into, which are runs of their own
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.held = 0
 
+    def renew(self) -> None:
+        self.older = self.known, self.plain
+        self.known, self.plain, self.held = {}, {}, 0
+
     def keep(self, held: dict[str, bytes], key: str, ids: bytes) -> None:
         if len(key) <= LONG:
             held[key] = ids
@@ -90,19 +95,20 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """Ids of what the splitter yields: the library's merges alone."""
-        found = self.words.get(word)
-        if found is None:
-            spelt = word if word.isascii() else word.encode("utf-8").decode("latin-1")
-            ids = [t.id for t in self.model.tokenize(spelt.translate(self.letters))]
-            found = np.array(ids, dtype=self.dtype).tobytes()
-            self.keep(self.words, word, found)
-        return found
+        spelt = word if word.isascii() else word.encode("utf-8").decode("latin-1")
+        return array(self.code, [t.id for t in self.model.tokenize(spelt.translate(self.letters))]).tobytes()
 
     def run(self, run: str) -> bytes:
         """Ids of a lower-case run of Latin-1 characters other than spaces."""
-        if "<|" in run:  # may hold a special token
-            return self.library([run])[0]
-        return b"".join(map(self.word, SPLIT.findall(run)))
+        found = self.older[1].get(run)
+        if found is None:
+            if "<|" in run:  # may hold a special token
+                found = self.library([run])[0]
+            else:
+                words = SPLIT.findall(run)
+                found = self.word(run) if len(words) == 1 else b"".join([self.plain.get(w) or self.run(w) for w in words])
+        self.keep(self.plain, run, found)
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each whole text.
@@ -113,24 +119,24 @@ class Encoder:
         out = []
         for text in texts:
             if self.held > CACHE_BYTES:
-                self.forget()
-            known, plain = self.known, self.plain
+                self.renew()
+            known, plain, older = self.known, self.plain, self.older[0]
             text = text if isinstance(text, str) else ""
             if any(c in text for c in ODD):
                 out.append(self.library([text])[0])
             elif _latin(text):
-                ids = []
-                for w in text.lower().split():
-                    found = plain.get(w)
-                    if found is None:
-                        found = self.run(w)
-                        self.keep(plain, w, found)
-                    ids.append(found)
-                out.append(b"".join(ids))
+                words = text.lower().split()
+                long = {}
+                for w in set(words).difference(plain):
+                    ids = self.run(w)
+                    if len(w) > LONG:
+                        long[w] = ids
+                out.append(b"".join([long[w] if w in long else plain[w] for w in words] if long else map(plain.__getitem__, words)))
             else:
                 words = text.split()
-                fresh = list({w for w in words if w not in known})
-                now = dict(zip(fresh, self.library(fresh)))
+                now = {w: older[w] for w in words if w in older}
+                fresh = list({w for w in words if w not in known and w not in now})
+                now.update(zip(fresh, self.library(fresh)))
                 out.append(b"".join([known[w] if w in known else now[w] for w in words]))
                 for w, ids in now.items():
                     self.keep(known, w, ids)
