@@ -86,6 +86,18 @@ def mention_ids(spark: SparkSession, folder: str) -> DataFrame:
     return made.mentions.select("mention_id", "indicator_id", "document_id", "source_family_id").join(a, "mention_id")
 
 
+#: The key of the query below, which holds no secret; real ones are set where the workers start.
+QUERY_KEY = ("INFRATRACE_QUERY_KEY", "a" * 32)
+
+
+def public_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Indicators by a pseudonym that only the key's holder can make."""
+    spark.sparkContext.environment.setdefault(*QUERY_KEY)
+    when = F.lit(AVAILABLE).cast("timestamp_ntz")
+    made = mining.indicator_tables(_verified(spark, folder), _docs(spark, folder), when, when, mining.public_id_udf(QUERY_KEY[0]))
+    return made.indicators.select("indicator_id", "public_id")
+
+
 _VERIFIED_SQL = r"""
 docs as (
   select 'doc-' || doc_id as document_id, doc_id, text, 'family-' || source as source_family_id,
@@ -236,7 +248,7 @@ _BLOCKED = rf"""case when domain = '' then 'empty_domain' when not contains(doma
 
 QUERIES = {
     "mine_ipv4": _mined("ip"), "mine_email": _mined("email"), "mine_sha1": _mined("hash_sha1"), "mine_domain": mine_domain,
-    "refang_defang_roundtrip": refang_defang_roundtrip, "verify_funnel": verify_funnel, "indicator_ids": indicator_ids, "mention_ids": mention_ids,
+    "refang_defang_roundtrip": refang_defang_roundtrip, "verify_funnel": verify_funnel, "indicator_ids": indicator_ids, "mention_ids": mention_ids, "public_ids": public_ids,
     "url_canonical": url_canonical, "allowlist_filter": allowlist_filter, "domain_block_reason": domain_block_reason, "search_dedupe_rank": search_dedupe_rank,
     "publication_precision": publication_precision, "html_main_text": html_main_text, "extract_and_verify": extract_and_verify, "independent_sources": independent_sources, "error_classes": error_classes,
     "pivot_plan": pivot_plan, "leakage_filter": leakage_filter, "manifest_ids": manifest_ids,
@@ -275,6 +287,10 @@ with {_VERIFIED_SQL}
 select document_id, count(*) as candidates, count(*) filter (status = 'verified') as verified, count(*) filter (status = 'format_rejected') as format_rejected, count(*) filter (status = 'source_mismatch') as source_mismatch,
        count(*) filter (status = 'future_time') as future_time, count(*) filter (status = 'duplicate') as duplicates from verified group by document_id""",
     "indicator_ids": f"with {_VERIFIED_SQL} select distinct indicator_id, case scope when 'ip' then 'ipv4' else 'other' end as indicator_type, value as normalized_value from mentions",
+    "public_ids": rf"""
+with {_VERIFIED_SQL}
+select distinct indicator_id, 'pub-' || sha256(encode(repeat('=', 32) || repeat('\', 32)) || unhex(sha256(repeat('W', 32) || repeat('6', 32) || scope || '|' || value)))[1:24] as public_id
+from mentions""",
     "mention_ids": f"with {_VERIFIED_SQL} select distinct mention_id, indicator_id, document_id, source_family_id, 'assert-' || sha256(mention_id || '|' || role || '|' || evidence)[1:20] as assertion_id, role from mentions",
     "url_canonical": f"with pages_in as (select * from pages), {_CANONICAL_SQL} select page_id, canonical from canon",
     "allowlist_filter": f"""
