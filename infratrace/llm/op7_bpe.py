@@ -12,8 +12,8 @@ The vocabulary is a file of the tokenizers library (byte-level BPE without added
 by `path` on every executor. Its added tokens are cut out of the text first, as that library does.
 
 Null texts are empty: no ids, decoded to an empty text. Texts of any length are encoded whole. What a
-worker remembers between batches is bounded in bytes, and the older half goes when its task ends; words
-of more than LONG characters are walked by themselves and not remembered. Rows and other columns stay as they are,
+worker remembers between batches is bounded in bytes and dropped when its task ends; words of more than
+LONG characters are walked by themselves and not remembered. Rows and other columns stay as they are,
 repeated rows included.
 """
 
@@ -88,6 +88,7 @@ class Vocabulary:
             if i not in special and (len(self.token[i]) == 1 or made and self.stay_whole(made[1], made[2], made[0])):
                 self.id_of[self.token[i]] = i
         self.suffixes()
+        del self.id_of  # the states hold it now
         self.split = regex.compile(SPLIT)
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}  # what follows a space, with that space
@@ -95,9 +96,10 @@ class Vocabulary:
         self.held = 0
         self.whole.clear()
 
-    def settle(self) -> None:
-        """Drop the older of what texts have left behind."""
-        self.older = {}, {}
+    def forget(self) -> None:
+        """Drop what texts have left behind; the vocabulary stays."""
+        self.words, self.pieces, self.older, self.held = {}, {}, ({}, {}), 0
+        self.whole.clear()
 
     def suffixes(self) -> None:
         """States that know which tokens end where a text has been read to, longest first."""
@@ -326,14 +328,14 @@ def _encoded(v: Vocabulary, texts: pd.Series) -> list[bytes]:
 
 
 def _with_vocabulary(path: str, work):
-    """An iterator function over batches whose worker keeps only CACHE_BYTES of words when it ends."""
+    """An iterator function over batches whose worker forgets what it remembered when it ends."""
     def run(batches: Iterator[pd.Series]) -> Iterator:
         v = vocabulary(path)
         try:
             for batch in batches:
                 yield work(v, batch)
         finally:
-            v.settle()
+            v.forget()
     return run
 
 

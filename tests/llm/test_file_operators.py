@@ -161,6 +161,6 @@ def test_workers_forget(monkeypatch):
         e.encode(xs)
         assert v.held < 400_000 and max(map(len, v.words)) <= op7_bpe.LONG and max(map(len, v.pieces)) <= op7_bpe.LONG
         assert e.held < 400_000 and not any(len(x) > op10_token_files.LONG for x in [*e.known, *e.plain])
-    v.settle()
+    v.forget()
     e.forget()
-    assert v.older == ({}, {}) and not e.plain and e.held == 0
+    assert not v.words and not v.pieces and not e.plain and v.held == e.held == 0
