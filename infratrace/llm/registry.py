@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality, op2_mixing, op3_sharding, op4_language, op5_secrets, op6_simhash, op7_bpe, op8_embeddings, op9_warc, op10_token_files
+from . import op1_quality, op2_mixing, op3_sharding, op4_language, op5_secrets, op6_simhash, op7_bpe, op8_embeddings, op9_warc, op10_token_files, op12_prefix_trie
 
 QUERIES = {
     "op1_quality": op1_quality.op1_quality,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_embeddings": op8_embeddings.op8_embeddings,
     "op9_warc": op9_warc.op9_warc,
     "op10_token_files": op10_token_files.op10_token_files,
+    "op12_prefix_trie": op12_prefix_trie.op12_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality": op1_quality.ORACLE,
     "op2_mixing": op2_mixing.ORACLE,
     "op3_sharding": op3_sharding.ORACLE,
+    "op12_prefix_trie": op12_prefix_trie.ORACLE,
 }
