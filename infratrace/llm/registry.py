@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality, op2_mixing, op3_sharding, op4_language, op5_secrets, op6_simhash, op7_bpe, op8_embeddings, op9_warc, op10_token_files, op12_prefix_trie
+from . import op1_quality, op2_mixing, op3_sharding, op4_language, op5_secrets, op6_simhash, op7_bpe, op8_embeddings, op9_warc, op10_token_files, op12_prefix_trie, op13_hard_negatives
 
 QUERIES = {
     "op1_quality": op1_quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": op9_warc.op9_warc,
     "op10_token_files": op10_token_files.op10_token_files,
     "op12_prefix_trie": op12_prefix_trie.op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives.op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op2_mixing": op2_mixing.ORACLE,
     "op3_sharding": op3_sharding.ORACLE,
     "op12_prefix_trie": op12_prefix_trie.ORACLE,
+    "op13_hard_negatives": op13_hard_negatives.ORACLE,
 }
