@@ -200,8 +200,8 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = classes.join(nodes, "node", "left_semi").select("digest", "node")
-        # copies fall together before they move, so a text that everyone has is sent once a task
-        texts = docs.select(digest.alias("digest"), F.col(text).alias("text")).dropDuplicates(["digest"])
+        # only texts that are asked for are read on; copies fall together before they move
+        texts = docs.select(digest.alias("digest"), F.col(text).alias("text")).join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
         return texts.join(wanted, "digest").select("node", _shingles(shingle)(F.col("text")).alias("hashes"))
 
     edges = links(filed, more(classes.select("node", "fp")) if more else None, classes.select("node", "size"), sets_of, similarity, hot, block)
