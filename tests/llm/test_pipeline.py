@@ -89,3 +89,26 @@ def test_run_on_the_table(spark, data):
     got = corpus_pipeline.run(spark, data)
     assert got.count() > 0 and "token_ids" in got.columns
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_maps_at_any_depth_come_through(spark, corpus):
+    some = corpus.where("doc_id % 3 = 0 and doc_id < 1000")
+    # rows of one doc_id and text that differ in a map, or in where a null stands, only
+    twice = some.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    entry = lambda c: F.create_map(F.lit("copy"), c, F.lit("none"), F.lit(None).cast("int"))
+    wide = (
+        twice.withColumn("top", entry(F.col("copy"))).withColumn("listed", F.array(entry(F.col("copy")), F.lit(None)))
+        .withColumn("inside", F.struct(entry(F.col("copy")).alias("m"))).withColumn("nulls", F.struct(F.when(F.col("copy") == 1, 1).alias("a"), F.when(F.col("copy") == 2, 1).alias("b"))).drop("copy")
+    )
+    assert len({r[0] for r in wide.select(corpus_pipeline._key(wide)).collect()}) == wide.count()
+    turned = wide.select(corpus_pipeline._key(wide).alias("k")).intersect(
+        wide.withColumn("top", F.map_from_entries(F.reverse(F.map_entries("top")))).select(corpus_pipeline._key(wide).alias("k")))
+    assert turned.count() == wide.count()  # the order of a map's entries says nothing
+    mixed = corpus_pipeline.mixing(spark, common.stash(wide, "wide"), "").collect()
+    assert {r["top"]["copy"] for r in mixed} == {1, 2}
+    assert all(r["top"]["copy"] == r["listed"][0]["copy"] == r["inside"]["m"]["copy"] == (1 if r["nulls"]["a"] else 2) for r in mixed)
+    docs = wide
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.stash(stage(spark, docs, ""), "maps")
+        got = docs.select("top", "listed", "inside").collect()
+        assert got and all(r["top"]["copy"] == r["listed"][0]["copy"] == r["inside"]["m"]["copy"] for r in got), name
