@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import sha256_text
+from . import index
 from .shared import shared_folder
 
 
@@ -42,26 +43,31 @@ def classify(batch: DataFrame, stored: DataFrame, key: list[str], earliest: str
     return told.withColumn("action", action).select(*batch.columns, "action")
 
 
-def append(batch: DataFrame, path: str, key: list[str], earliest: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
+def append(batch: DataFrame, path: str, key: list[str], earliest: str | None = None, partition_by: list[str] | None = None, indexed: bool = True) -> DataFrame:
     """Append the new rows of batch to the Parquet table at path; returns action, rows. Replays insert
     nothing; conflicts are refused and counted.
 
-    Only stored rows whose key the batch has are hashed; where `partition_by` is part of the key and the
-    batch names no more than FEW_PARTITIONS, only these are read."""
-    spark = batch.sparkSession
+    Of the stored rows only those are hashed whose key the batch has, and they are looked for only in files
+    that the table's index (sources/index.py) says may hold one; new files are indexed after the
+    append. Where `partition_by` is part of the key and the batch names no more than FEW_PARTITIONS, only
+    these are read."""
+    spark, schema = batch.sparkSession, batch.schema
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-    stored = spark.createDataFrame([], batch.schema)
+    stored = spark.createDataFrame([], schema)
     if there:
-        every = spark.read.schema(batch.schema).parquet(path)
+        keys = _cut(batch.select(*key).distinct())
+        every = index.read_files(spark, path, schema, index.files_for(keys, path, schema, key)) if indexed else spark.read.schema(schema).parquet(path)
         if partition_by and set(partition_by) <= set(key):
-            named = batch.select(*partition_by).distinct().limit(FEW_PARTITIONS + 1).collect()
+            named = keys.select(*partition_by).distinct().limit(FEW_PARTITIONS + 1).collect()
             if len(named) <= FEW_PARTITIONS:
                 every = every.where(reduce(or_, [reduce(and_, [F.col(c).eqNullSafe(F.lit(r[c])) for c in partition_by]) for r in named], F.lit(False)))
-        wanted = batch.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(key)]).distinct()
+        wanted = keys.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(key)])
         stored = every.join(wanted, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(key)], "left_semi")
     told = _cut(classify(batch, stored, key, earliest))
     told.where("action = 'insert'").select(*batch.columns).write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
+    if indexed:
+        index.refresh(spark, path, schema, key)
     return told.groupBy("action").agg(F.count("*").alias("rows"))
 
 
