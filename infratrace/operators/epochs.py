@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import joined_id, sha256_text
+from ..sources.shared import stash
 
-#: Observations of an indicator that are folded as one array; longer histories go row by row.
+#: Observations of an indicator that are folded as one array; longer histories are scanned in chunks.
 FOLD_LIMIT = 5000
+#: Observations of a chunk of long histories.
+CHUNK_ROWS = 200_000
 #: Observations that one hash of an epoch's id covers.
 CHUNK = 1000
 
@@ -42,46 +45,149 @@ def _folded(rows: DataFrame) -> DataFrame:
     return each.select("indicator_id", "h.effective_at", "h.collected_at", "h.observation_id", "h.ids", epoch.alias("epoch"))
 
 
-def _streamed(rows: DataFrame) -> DataFrame:
-    """Long histories: sorted within partitions and read once, holding one indicator's identities."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, epoch, held = None, 0, set()
-        for frame in frames:
-            out = []
-            for who, ids in zip(frame["indicator_id"], frame["ids"]):
-                ids = set(ids)
-                if who != at:
-                    at, epoch, held = who, 0, set()
-                if ids and held and ids.isdisjoint(held):
-                    epoch, held = epoch + 1, ids
+ORDER = ["indicator_id", "effective_at", "collected_at", "observation_id"]
+
+#: Rows of a chunk: an observation, or what the carry must know at the end of an indicator's part of a chunk.
+OBSERVED, LAST, ALL = range(3)
+
+
+def _fold_chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order with chunk, seq, the epoch as if each chunk were the beginning (local) and whether the
+    chunk has met none of the identities before (fresh). An indicator's part of a chunk ends with two rows
+    more: the identities of its last local epoch and of all of it."""
+    from pyspark import TaskContext
+
+    chunk, seq = TaskContext.get().partitionId(), 0
+    at, local, held, met = None, 0, set(), set()
+
+    def ends() -> pd.DataFrame:
+        none = {"effective_at": pd.NaT, "collected_at": pd.NaT, "observation_id": None}
+        return pd.DataFrame({"indicator_id": [at, at], **none, "ids": [sorted(held), sorted(met)], "chunk": chunk, "seq": [seq, seq + 1], "local": local, "fresh": False, "kind": [LAST, ALL]})
+
+    for frame in frames:
+        out, starts = [], 0
+        for k, (who, ids) in enumerate(zip(frame["indicator_id"], frame["ids"])):
+            if who != at:
+                if at is not None:
+                    if k > starts:
+                        yield frame.iloc[starts:k].assign(**_columns(out), chunk=chunk, kind=OBSERVED)
+                    yield ends()
+                    seq, out, starts = seq + 2, [], k
+                at, local, held, met = who, 0, set(), set()
+            ids = set(ids)
+            fresh = bool(ids) and ids.isdisjoint(met)
+            if ids and held and ids.isdisjoint(held):
+                local, held = local + 1, ids
+            else:
+                held = held | ids
+            met |= ids
+            out.append((seq, local, fresh))
+            seq += 1
+        if len(frame) > starts:
+            yield frame.iloc[starts:].assign(**_columns(out), chunk=chunk, kind=OBSERVED)
+    if at is not None:
+        yield ends()
+
+
+def _columns(out: list[tuple]) -> dict[str, list]:
+    return {name: [x[i] for x in out] for i, name in enumerate(("seq", "local", "fresh"))}
+
+
+def _carry(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What holds where each part of a chunk begins: the epoch, and from which row on the local epochs count,
+    by how much more. Rows: fresh observations and ends, by indicator, chunk and seq."""
+    at, epoch, held = None, 0, set()
+    chunk, opened, last, out = None, None, set(), []
+    for frame in frames:
+        for who, k, seq, local, kind, ids in frame[["indicator_id", "chunk", "seq", "local", "kind", "ids"]].itertuples(index=False):
+            if who != at:
+                at, epoch, held, chunk = who, 0, set(), None
+            if k != chunk:
+                chunk, opened = k, None
+            ids = set(ids)
+            if kind == OBSERVED:
+                # what overlaps `held`, or an observation of the chunk before it, opens nothing
+                if opened is None and ids.isdisjoint(held):
+                    opened = seq, local, 1 if held else 0
+            elif kind == LAST:
+                last, ended = ids, local
+            else:
+                first, own, new = opened or (None, 0, 0)
+                out.append((at, chunk, epoch, first, new - own))
+                if opened is None:
+                    held = held | ids
                 else:
-                    held |= ids
-                out.append(epoch)
-            yield frame.assign(epoch=out)
+                    epoch, held = epoch + new + ended - own, last
+        if len(out) > 10_000:
+            yield _carried(out)
+            out = []
+    yield _carried(out)
+
+
+def _carried(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=["indicator_id", "chunk", "before", "from_seq", "more"]).astype({"from_seq": "Int64"})
+
 
-    order = ["indicator_id", "effective_at", "collected_at", "observation_id"]
-    chosen = rows.select(*order, "ids")
+def _chunks(rows: DataFrame, chunk_rows: int) -> DataFrame:
+    """rows sorted by ranges into chunks, each folded by itself."""
+    chosen = rows.select(*ORDER, "ids")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chosen.count() // chunk_rows))
     types = ", ".join(f"{c} {t}" for c, t in chosen.dtypes)
-    return chosen.repartition("indicator_id").sortWithinPartitions(*order).mapInPandas(run, f"{types}, epoch int")
+    folded = chosen.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER).mapInPandas(_fold_chunk, f"{types}, chunk int, seq long, local int, fresh boolean, kind int")
+    return stash(folded, "chunks")
 
 
-def assign_epochs(rows: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def _scanned(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Long histories as a segmented scan: sorted into chunks by ranges, so that one indicator spreads over
+    many; each chunk is folded by itself, a carry over the chunks' summaries tells what is open where a
+    chunk begins, and the two are joined.
+
+    This is exact: until the epoch that is open at its beginning ends, a chunk opens no epoch; it ends at the
+    chunk's first fresh observation that has none of its identities; and from a fresh observation
+    on a chunk's own fold is right, since that one opens an epoch whatever came before it in the chunk. The
+    carry reads only fresh observations and two rows for each part."""
+    folded = _chunks(rows, chunk_rows)
+    told = folded.where((F.col("kind") != OBSERVED) | F.col("fresh")).select("indicator_id", "chunk", "seq", "local", "kind", "ids")
+    carry = told.repartition("indicator_id").sortWithinPartitions("indicator_id", "chunk", "seq").mapInPandas(_carry, "indicator_id string, chunk int, before int, from_seq long, more int")
+    placed = folded.where(F.col("kind") == OBSERVED).join(carry, ["indicator_id", "chunk"])
+    own = F.coalesce(F.col("seq") >= F.col("from_seq"), F.lit(False))
+    epoch = F.col("before") + F.when(own, F.col("local") + F.col("more")).otherwise(F.lit(0))
+    return placed.select(*ORDER, "ids", epoch.cast("int").alias("epoch"))
+
+
+def assign_epochs(rows: DataFrame, fold_limit: int = FOLD_LIMIT, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """histories() with epoch: a new one begins only where an observation has identities, the epoch has
     some too, and they have none in common; else its identities join the epoch's.
 
-    Short histories are folded in the JVM; those above `fold_limit` are streamed in order, so no task
-    gathers one in memory. The streamed part's input is empty unless there are such histories."""
+    Short histories are folded in the JVM; those above `fold_limit` are scanned in chunks, so no task
+    gathers or reads one of them whole. rows are written once (`stash`): they are read more than once."""
+    rows = stash(rows, "histories")
     sizes = rows.groupBy("indicator_id").agg(F.count("*").alias("n")).where(F.col("n") > fold_limit).select("indicator_id")
-    columns = ["indicator_id", "effective_at", "collected_at", "observation_id", "ids", "epoch"]
+    columns = [*ORDER, "ids", "epoch"]
     if sizes.isEmpty():
         return _folded(rows).select(*columns)
     short, long = rows.join(sizes, "indicator_id", "left_anti"), rows.join(sizes, "indicator_id", "left_semi")
-    return _folded(short).select(*columns).unionByName(_streamed(long).select(*columns))
-
-
-def _ordered(assigned: DataFrame) -> DataFrame:
-    order = Window.partitionBy("indicator_id", "epoch").orderBy("effective_at", "collected_at", "observation_id")
-    return assigned.withColumn("nth", F.row_number().over(order))
+    return _folded(short).select(*columns).unionByName(_scanned(long, chunk_rows).select(*columns))
+
+
+def _ordered(assigned: DataFrame, limit: int = CHUNK_ROWS) -> DataFrame:
+    """assigned with nth within its epoch. Epochs above `limit` rows are numbered within ranges and the ranges'
+    sums are added, so no task sorts one of them."""
+    key, order = ["indicator_id", "epoch"], ["effective_at", "collected_at", "observation_id"]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long")
+    sizes = assigned.groupBy(*key).count()
+    large = stash(sizes.where(F.col("count") > limit), "large_epochs")
+    if large.isEmpty():
+        return assigned.withColumn("nth", nth)
+    parts = -(-large.agg(F.sum("count")).first()[0] // limit)
+    many = assigned.join(large.select(*key), key, "left_semi").repartitionByRange(parts, *key, *order)
+    many = stash(many.withColumn("_range", F.spark_partition_id()), "ranges")
+    held = many.groupBy(*key, "_range").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(*key, "_range").orderBy(*order))
+    numbered = many.withColumn("nth", inside).join(held.withColumn("_before", before).drop("count"), [*key, "_range"])
+    numbered = numbered.withColumn("nth", F.col("nth") + F.col("_before")).select(*assigned.columns, "nth")
+    return assigned.join(large.select(*key), key, "left_anti").withColumn("nth", nth).unionByName(numbered)
 
 
 def entity_epochs(assigned: DataFrame, resolution_version: str = "v1", open_last: bool = False, chunk: int = CHUNK) -> DataFrame:
@@ -89,7 +195,7 @@ def entity_epochs(assigned: DataFrame, resolution_version: str = "v1", open_last
 
     Its id is a hash over its observations in order, taken in chunks: the observations of an epoch,
     however many, are sorted but never gathered in one row. `epoch_members` has them as rows."""
-    key = ["indicator_id", "epoch"]
+    key, assigned = ["indicator_id", "epoch"], stash(assigned, "assigned")
     out = assigned.groupBy(*key).agg(F.min("effective_at").alias("valid_from"), F.max("effective_at").alias("valid_to"), F.count("*").alias("observations"), F.max("collected_at").alias("available_at"))
     each = assigned.select(*key, F.explode("ids").alias("identity")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("identity")).alias("identity_feature_ids"))
     parts = _ordered(assigned).groupBy(*key, F.floor((F.col("nth") - 1) / chunk).alias("part")).agg(F.array_sort(F.collect_list(F.struct("nth", "observation_id"))).alias("o"))

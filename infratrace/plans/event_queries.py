@@ -91,6 +91,14 @@ def entity_epochs(spark: SparkSession, folder: str) -> DataFrame:
     return _assigned(spark, folder).select("indicator_id", "observation_id", "epoch")
 
 
+def hot_epochs(spark: SparkSession, folder: str) -> DataFrame:
+    """All addresses of a network as one indicator, folded in chunks of 500 observations."""
+    hosts, services = event_observations(spark, folder)
+    one = hosts.withColumn("indicator_id", F.concat(F.lit("net-"), (F.col("asn") % 3).cast("string")))
+    made = epochs.histories(one, services.select("observation_id", F.col("cert_sha256").alias("identity")))
+    return epochs.assign_epochs(made, 0, 500).select("indicator_id", "observation_id", "epoch")
+
+
 def epoch_intervals(spark: SparkSession, folder: str) -> DataFrame:
     made = epochs.entity_epochs(_assigned(spark, folder))
     return made.select("entity_epoch_id", "indicator_id", "epoch", "valid_from", "valid_to", "available_at", F.col("observations").cast("int").alias("observations"), F.array_join("identity_feature_ids", ",").alias("identities"))
@@ -246,7 +254,7 @@ def rule_match_hosts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    host_service_join, orphan_services, fingerprint_catalog, portset_fingerprint, fingerprint_edges, shared_pairs, timeline_order, continuity_status, entity_epochs, epoch_intervals, features_unpivot, feature_first_available,
+    host_service_join, orphan_services, fingerprint_catalog, portset_fingerprint, fingerprint_edges, shared_pairs, timeline_order, continuity_status, entity_epochs, hot_epochs, epoch_intervals, features_unpivot, feature_first_available,
     reference_memberships, feature_stats_wilson, feature_eligibility, due_opportunities, prospective_events, candidates_first_seen, evidence_gate, adjudication_status, status_transitions, audit_candidates, audit_features, rule_match_hosts,
 )}
 
@@ -357,6 +365,7 @@ told as (select b.*, coalesce(stable, []) as stable, case when len(coalesce(stab
 select landmark_id, case when historical = 0 then 'unknown' when len(stable) > 0 then 'continuous' when len(conflicting) > 0 then 'reassigned' else 'probable' end as status, current_response, historical::bigint as historical_positive_count, missing_scan_count, last_positive_at,
        array_to_string(stable, ',') as stable, array_to_string(conflicting, ',') as conflicting from told""",
     "entity_epochs": f"with recursive {VIEWS}, {_EPOCHS} select ind as indicator_id, obs as observation_id, ep as epoch from r",
+    "hot_epochs": f"with recursive {VIEWS}, {_EPOCHS.replace('h.indicator_id ind', "'net-' || (h.asn % 3) ind")} select ind as indicator_id, obs as observation_id, ep as epoch from r",
     "epoch_intervals": f"""
 with recursive {VIEWS}, {_EPOCHS}
 select 'entity-epoch-' || sha256(indicator_id || '|v1|' || array_to_string(list_transform(range(0, (len(obs_ids) + 999) // 1000), lambda i: sha256(array_to_string(obs_ids[i * 1000 + 1:(i + 1) * 1000], '|'))), '|'))[1:20] as entity_epoch_id, indicator_id, epoch, valid_from, valid_to, available_at, observations::int as observations, identities from made""",

@@ -83,8 +83,34 @@ def test_epochs_against_replay_folded_and_streamed(spark):
     rows = [(f"ioc-{rng.randint(0, 6)}", T0 + timedelta(hours=rng.randint(0, 200)), f"o{i:04d}", sorted({f"c{rng.randint(0, 4)}" for _ in range(rng.randint(0, 2))})) for i in range(600)]
     df = spark.createDataFrame([(w, t, t, o, i) for w, t, o, i in rows], "indicator_id string, effective_at timestamp, collected_at timestamp, observation_id string, ids array<string>")
     want = replay_epochs(rows)
-    for limit in (10_000, 60, 0):
-        assert {r["observation_id"]: r["epoch"] for r in epochs.assign_epochs(df, limit).collect()} == want
+    for limit, chunk in ((10_000, 100), (60, 100), (0, 7)):
+        assert {r["observation_id"]: r["epoch"] for r in epochs.assign_epochs(df, limit, chunk).collect()} == want
+
+
+def test_one_long_history_over_many_chunks(spark):
+    """Identities that come, go and come back, in runs of many lengths, with observations that have none."""
+    rng = random.Random(8)
+    rows, held = [], ["a"]
+    for i in range(1500):
+        if rng.random() < 0.05:
+            held = rng.sample("abcdefghij", rng.randint(1, 3))
+        ids = rng.sample(held, rng.randint(0, len(held))) if rng.random() < 0.7 else []
+        rows.append(("ioc-1", T0 + timedelta(minutes=i // 3), f"o{i:05d}", sorted(ids)))
+    df = spark.createDataFrame([(w, t, t, o, i) for w, t, o, i in rows], "indicator_id string, effective_at timestamp, collected_at timestamp, observation_id string, ids array<string>")
+    want = replay_epochs(rows)
+    assert max(want.values()) > 20
+    made = epochs.assign_epochs(df, 0, 20)
+    assert {r["observation_id"]: r["epoch"] for r in made.collect()} == want
+    assert epochs._chunks(df, 20).select("chunk").distinct().count() > 50
+    plain, ranged = epochs._ordered(made), epochs._ordered(made, 15)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, ranged.select(plain.columns).collect()))
+
+
+def test_histories_without_identities_or_rows(spark):
+    schema = "indicator_id string, effective_at timestamp, collected_at timestamp, observation_id string, ids array<string>"
+    none = spark.createDataFrame([(f"i{k % 2}", T0, T0, f"o{k}", []) for k in range(9)], schema)
+    assert {r["epoch"] for r in epochs.assign_epochs(none, 0, 2).collect()} == {0}
+    assert epochs.assign_epochs(none.limit(0), 0, 2).count() == 0
 
 
 def test_epoch_case_and_open_end(spark):
