@@ -50,7 +50,7 @@ THETA, THETA_ROOT, DISCOUNTS, SWEEPS = 1.0, 1.0, (0.05, 0.95), 2
 #: Customers up to which tables are drawn from the exact conditional.
 EXACT = 48
 #: Tokens of a batch, but for its last document.
-BATCH = 4_000_000
+BATCH = 1_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 MESSAGE = "batch long, part int, data binary, sums array<double>"
@@ -175,8 +175,12 @@ class Batch:
 
     def pairs(self, inverse: bool = False):
         """The different pairs (context << 32 | word) in order and, for each token, its pair."""
-        before = np.concatenate((np.zeros(1, np.uint64), self.tokens[:-1]))
-        return np.unique(before << np.uint64(32) | self.tokens, return_inverse=inverse)
+        each = self.tokens.copy()
+        each[1:] |= self.tokens[:-1] << np.uint64(32)
+        if inverse:
+            return np.unique(each, return_inverse=True)
+        each.sort()  # sooner done than by np.unique, which hashes first
+        return each[np.concatenate((np.ones(1, bool), each[1:] != each[:-1]))]
 
     def keys(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each pair its key, and the numbers of context and word."""
@@ -184,8 +188,8 @@ class Batch:
         return mixed(self.words[u] ^ mixed(self.words[w])), u, w
 
 
-def make_batches(parts: int, limit: int):
-    """Documents (doc_id, held, text) to batches (part null) and their messages to pairs' parts."""
+def make_batches(limit: int):
+    """Documents (doc_id, held, text) to batches."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -195,24 +199,18 @@ def make_batches(parts: int, limit: int):
         def done() -> pd.DataFrame:
             nonlocal ids, held, lengths, pieces, numbers, size, made
             words = np.array([xxhash.xxh64_intdigest(b"")] + [xxhash.xxh64_intdigest(w) for w in numbers], dtype=np.uint64)
-            null = np.array([i is None or i != i for i in ids])
-            batch = Batch(np.array([0 if n else int(i) for i, n in zip(ids, null)], dtype=np.int64), null, np.array(held, dtype=bool), np.array(lengths, dtype=np.int64), np.concatenate(pieces), words)
-            pairs, of = batch.pairs(inverse=True)
-            counts = np.bincount(of[batch.trains], minlength=len(pairs))
-            keys = batch.keys(pairs)[0]
-            name = task << 24 | made
-            rows = [(name, None, pack(batch.ids, null, batch.held, batch.lengths, batch.tokens, words), None)]
-            for part, own in by_part(keys, parts):
-                rows.append((name, part, pack(keys[own], counts[own]), None))
+            null = np.array([i is None for i in ids])
+            data = pack(np.array([i or 0 for i in ids], dtype=np.int64), null, np.array(held, dtype=bool), np.array(lengths, dtype=np.int64), np.concatenate(pieces), words)
+            rows = [(task << 24 | made, None, data, None)]
             ids, held, lengths, pieces, numbers, size, made = [], [], [], [], Numbers(), 0, made + 1
-            return pd.DataFrame(rows, columns=COLUMNS).astype({"part": "Int32"})
+            return _rows(rows)
 
         for frame in frames:
             for i, h, text in zip(frame["doc_id"].astype(object), frame["held"], frame["text"]):
                 tokens = text.encode().lower().split() if text else []
                 piece = np.zeros(len(tokens) + 1, dtype=np.uint32)
                 piece[:-1] = np.fromiter(map(numbers.__getitem__, tokens), np.uint32, len(tokens))
-                ids.append(None if pd.isna(i) else i)
+                ids.append(None if pd.isna(i) else int(i))
                 held.append(h)
                 lengths.append(len(piece))
                 pieces.append(piece)
@@ -251,6 +249,20 @@ def _rows(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=COLUMNS).astype({"batch": "Int64", "part": "Int32"})
 
 
+def pair_messages(parts: int):
+    """Each batch's different pairs, with their training tokens, to the pairs' parts."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, data in zip(frame["batch"], frame["data"]):
+                batch = Batch(*unpack(data))
+                pairs, of = batch.pairs(inverse=True)
+                counts = np.bincount(of[batch.trains], minlength=len(pairs))
+                keys = batch.keys(pairs)[0]
+                yield _rows([(name, part, pack(keys[own], counts[own]), None) for part, own in by_part(keys, parts)])
+
+    return run
+
+
 def count_pairs(key: tuple, messages: pd.DataFrame) -> pd.DataFrame:
     """Each pair's customers in the corpus, and whether this batch counts its tables; sums: pairs with one and
     with two customers."""
@@ -276,17 +288,24 @@ def word_messages(name: int, batch: Batch, u: np.ndarray, w: np.ndarray, t: np.n
     return [(name, part, pack(batch.words[own], n[own], below[own], above[own]), None) for part, own in by_part(batch.words, parts)]
 
 
-def first_state(parts: int):
-    """Batches with their pairs' customers; their words' tokens and, with one table a dish, tables."""
+def with_pairs(parts: int):
+    """A batch and, in a row of its own (part -1), its pairs' customers and which it counts."""
     def run(key: tuple, own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(own):
             return _rows([])
         batch = Batch(*unpack(own["data"].iloc[0]))
-        pairs = batch.pairs()
-        keys, u, w = batch.keys(pairs)
-        c, mine = gathered(answers, keys, parts)
-        rows = [(key[0], None, own["data"].iloc[0], None), (key[0], -1, pack(c, mine), None)]
-        return _rows(rows + word_messages(key[0], batch, u, w, np.minimum(c, 1) * mine, parts))
+        c, mine = gathered(answers, batch.keys(batch.pairs())[0], parts)
+        return _rows([(key[0], None, own["data"].iloc[0], None), (key[0], -1, pack(c, mine), None)])
+
+    return run
+
+
+def first_words(parts: int):
+    """A batch's words with one table a dish."""
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        batch, (c, mine) = _stored(own)
+        _, u, w = batch.keys(batch.pairs())
+        return _rows(word_messages(key[0], batch, u, w, np.minimum(c, 1) * mine, parts))
 
     return run
 
@@ -374,11 +393,10 @@ def score(parts: int, states: list[State]):
 # -- the job ------------------------------------------------------------------------------------
 
 def bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
-    """df as a table in the shared folder, bucketed by batch, with what stays and what is sent apart: later
-    groups by batch do not move what stays."""
+    """df as a table in the shared folder, bucketed by batch: later groups by batch do not move it."""
     path = shared_path(df.sparkSession, name)
     title = path.rsplit("/", 1)[1].replace("-", "_")
-    df.withColumn("sent", F.coalesce(F.col("part") >= 0, F.lit(False))).write.partitionBy("sent").bucketBy(buckets, "batch").option("path", path).saveAsTable(title)
+    df.write.bucketBy(buckets, "batch").option("path", path).saveAsTable(title)
     out = df.sparkSession.table(title)
     out._stashed, out._title = path, title
     return out
@@ -399,13 +417,13 @@ def scores(docs: DataFrame, sweeps: int = SWEEPS, batch: int = BATCH, parts: int
     bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    read = bucketed(rows.mapInPandas(make_batches(parts, batch), MESSAGE), "batches", parts)
-    counted = stash(read.where("sent").groupBy("part").applyInPandas(count_pairs, MESSAGE), "pairs")
+    read = bucketed(rows.mapInPandas(make_batches(batch), MESSAGE), "batches", parts)
+    counted = stash(read.mapInPandas(pair_messages(parts), MESSAGE).groupBy("part").applyInPandas(count_pairs, MESSAGE), "pairs")
     d = _discount(*_sums(counted, 2))
-    kept = bucketed(_by_batch(read, counted, first_state(parts), MESSAGE), "state", parts)
+    kept = bucketed(_by_batch(read, counted, with_pairs(parts), MESSAGE), "state", parts)
     spark.sql(f"DROP TABLE {read._title}")
     discard(read, counted)
-    words = [stash(kept.where("sent").groupBy("part").applyInPandas(add_words(0, None), MESSAGE), "words")]
+    words = [stash(kept.groupBy("batch").applyInPandas(first_words(parts), MESSAGE).groupBy("part").applyInPandas(add_words(0, None), MESSAGE), "words")]
     n, v, k, t, *few = _sums(words[0], 6)
     d0 = _discount(*few)
     states = [State(n, v, k, t, d, d0)]
@@ -421,7 +439,7 @@ def scores(docs: DataFrame, sweeps: int = SWEEPS, batch: int = BATCH, parts: int
 
 
 def _by_batch(kept: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
-    return kept.where("NOT sent").groupBy("batch").cogroup(answers.where("batch IS NOT NULL").groupBy("batch")).applyInPandas(run, schema)
+    return kept.groupBy("batch").cogroup(answers.where("batch IS NOT NULL").groupBy("batch")).applyInPandas(run, schema)
 
 
 def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
