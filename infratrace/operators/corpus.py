@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Registers of a sketch, as a power of two, and the relative standard error that follows.
+SKETCH = 12
+ERROR = 1.04 / 2 ** (SKETCH / 2)
+
+
 def independent_sources(claims: DataFrame, memberships: DataFrame, by: list[str]) -> DataFrame:
     """by, documents, independent_sources (different families) and documents without a family.
     claims: by and document_id; memberships: document_id, source_family_id."""
@@ -13,6 +18,20 @@ def independent_sources(claims: DataFrame, memberships: DataFrame, by: list[str]
     return told.groupBy(*by).agg(F.count_distinct("document_id").alias("documents"), F.count_distinct("source_family_id").alias("independent_sources"), F.count_if(F.col("source_family_id").isNull()).alias("without_family"))
 
 
+def family_sketches(claims: DataFrame, memberships: DataFrame, by: list[str], period: list[str], size: int = SKETCH) -> DataFrame:
+    """A sketch (HyperLogLog, 2**size registers) of the families of each `by` and period, to be stored: a later
+    period adds rows and the earlier ones are not read again. claims: by, period and document_id."""
+    told = claims.join(memberships.select("document_id", "source_family_id"), "document_id").where("source_family_id is not null")
+    return told.groupBy(*by, *period).agg(F.hll_sketch_agg("source_family_id", size).alias("families"), F.count("*").alias("claims"))
+
+
+def estimated_sources(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """by, claims and the estimated number of different families over all periods of `family_sketches`, with its
+    relative standard error (of sketches of SKETCH registers)."""
+    merged = sketches.groupBy(*by).agg(F.hll_union_agg("families").alias("f"), F.sum("claims").alias("claims"))
+    return merged.select(*by, "claims", F.hll_sketch_estimate("f").alias("estimated_sources"), F.lit(ERROR).alias("relative_error"))
+
+
 def family_checks(families: DataFrame, memberships: DataFrame, documents: DataFrame) -> DataFrame:
     """code, record_id: a document in two families, a family of unknown or foreign canonical document,
     a membership of an unknown document or family."""

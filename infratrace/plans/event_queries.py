@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import joined_id
 from ..functions.sizes import broadcast_if_few
-from ..operators import audit, background, epochs, features, graph, prospective, rules, timeline
+from ..operators import asof, audit, background, epochs, features, graph, prospective, rules, timeline
 from ..sources.readers import VIEWS, event_observations, table
 
 T0, CUTOFF, AS_OF = "2024-01-01 00:00:00", "2024-01-15 00:00:00", "2024-02-15 00:00:00"
@@ -91,6 +91,23 @@ def entity_epochs(spark: SparkSession, folder: str) -> DataFrame:
     return _assigned(spark, folder).select("indicator_id", "observation_id", "epoch")
 
 
+def _purchases(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    e = table(spark, folder, "events").withColumn("k", F.expr(key))
+    seen, bought = e.where("event_type = 'view'").select("k", "event_id", "ts"), e.where("event_type = 'purchase'").select("k", "event_id", "ts", "value")
+    told = asof.as_of(seen, bought, ["k"], "ts", "ts", "event_id")
+    return told.select("event_id", F.col("record.event_id").alias("purchase_id"), F.col("record.ts").alias("purchased_at"), F.col("record.value").alias("value"))
+
+
+def latest_before(spark: SparkSession, folder: str) -> DataFrame:
+    """Each view with its user's latest purchase at that time."""
+    return _purchases(spark, folder, "user_id")
+
+
+def latest_before_hot(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where two keys hold everything."""
+    return _purchases(spark, folder, "user_id % 2")
+
+
 def hot_epochs(spark: SparkSession, folder: str) -> DataFrame:
     """All addresses of a network as one indicator, folded in chunks of 500 observations."""
     hosts, services = event_observations(spark, folder)
@@ -254,7 +271,7 @@ def rule_match_hosts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    host_service_join, orphan_services, fingerprint_catalog, portset_fingerprint, fingerprint_edges, shared_pairs, timeline_order, continuity_status, entity_epochs, hot_epochs, epoch_intervals, features_unpivot, feature_first_available,
+    host_service_join, orphan_services, fingerprint_catalog, portset_fingerprint, fingerprint_edges, shared_pairs, timeline_order, continuity_status, entity_epochs, hot_epochs, latest_before, latest_before_hot, epoch_intervals, features_unpivot, feature_first_available,
     reference_memberships, feature_stats_wilson, feature_eligibility, due_opportunities, prospective_events, candidates_first_seen, evidence_gate, adjudication_status, status_transitions, audit_candidates, audit_features, rule_match_hosts,
 )}
 
@@ -307,6 +324,10 @@ def _wilson_sql(n: str, d: str, sign: str) -> str:
     return f"case when {d} = 0 then {'0.0' if sign == '-' else '1.0'}::double else {'greatest(0.0::double, ' if sign == '-' else 'least(1.0::double, '}{inner}) end"
 
 
+_AS_OF = """
+with e as (select *, {key} as k from events),
+b as (select k, ts, arg_max(event_id, event_id) as event_id, arg_max(value, event_id) as value from e where event_type = 'purchase' group by k, ts)
+select v.event_id, b.event_id as purchase_id, b.ts as purchased_at, b.value from (select * from e where event_type = 'view') v asof left join b on v.k = b.k and v.ts >= b.ts"""
 _EPOCHS = """
 ids as (
   select h.indicator_id ind, coalesce(h.observed_at, h.collected_at) eff, h.collected_at col, h.observation_id obs, list_sort(list_distinct(list(s.cert_sha256) filter (where s.cert_sha256 is not null))) fps
@@ -365,6 +386,8 @@ told as (select b.*, coalesce(stable, []) as stable, case when len(coalesce(stab
 select landmark_id, case when historical = 0 then 'unknown' when len(stable) > 0 then 'continuous' when len(conflicting) > 0 then 'reassigned' else 'probable' end as status, current_response, historical::bigint as historical_positive_count, missing_scan_count, last_positive_at,
        array_to_string(stable, ',') as stable, array_to_string(conflicting, ',') as conflicting from told""",
     "entity_epochs": f"with recursive {VIEWS}, {_EPOCHS} select ind as indicator_id, obs as observation_id, ep as epoch from r",
+    "latest_before": _AS_OF.format(key="user_id"),
+    "latest_before_hot": _AS_OF.format(key="user_id % 2"),
     "hot_epochs": f"with recursive {VIEWS}, {_EPOCHS.replace('h.indicator_id ind', "'net-' || (h.asn % 3) ind")} select ind as indicator_id, obs as observation_id, ep as epoch from r",
     "epoch_intervals": f"""
 with recursive {VIEWS}, {_EPOCHS}

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..operators import mining, scan
-from ..sources import ledger, readers
+from ..sources import index, ledger, readers
 from ..sources.readers import VIEWS, event_observations, table
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, stash
 from ..streaming import prospective as streaming
 from . import event_queries, scan_queries, table_queries
 from .gate_queries import O, case, view
@@ -120,6 +120,31 @@ def ledger_append(spark: SparkSession, folder: str) -> DataFrame:
     return steps[0].unionByName(steps[1]).unionByName(steps[2])
 
 
+@register(f"with {table_queries._BATCH} select k as o_orderkey, c as o_custkey from stored union all select k, any_value(c) from batch b where k not in (select k from stored) group by k having count(distinct (c, t)) = 1")
+def ledger_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What such a table holds in the end."""
+    batch, stored = table_queries._batches(spark, folder)
+    path = shared_path(spark, "ledger")
+    for rows in (stored, batch, stored):
+        ledger.append(rows, path, ["o_orderkey"])
+    return spark.read.schema(stored.schema).parquet(path).select("o_orderkey", "o_custkey")
+
+
+@register("select y as year, case when y % 2 = 0 then 1 else 0 end as files from (select distinct year(o_orderdate) as y from orders)")
+def ledger_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that an append would open: a year of orders stands in a file, of odd years only keys that no file has
+    are asked for."""
+    o, path = table(spark, folder, "orders").select("o_orderdate", "o_orderkey"), shared_path(spark, "years")
+    years = sorted(r[0] for r in o.select(F.year("o_orderdate")).distinct().collect())
+    for y in years:
+        ledger.append(o.where(F.year("o_orderdate") == y).coalesce(1), path, ["o_orderdate", "o_orderkey"])
+    key, told = ["o_orderdate", "o_orderkey"], []
+    for y in years:
+        keys = o.where(F.year("o_orderdate") == y).withColumn("o_orderkey", F.col("o_orderkey") * (1 if y % 2 == 0 else -1))
+        told.append((y, len(index.files_for(keys, path, o.schema, key))))
+    return spark.createDataFrame(told, "year int, files int")
+
+
 # -- streams ------------------------------------------------------------------------------------------
 
 def _as_stream(spark: SparkSession, parts: list[DataFrame], name: str, files: int | None = None) -> DataFrame:
@@ -154,7 +179,7 @@ _EVENTS_SQL = "(select o_orderkey as event_id, o_custkey % 70 as entity_epoch_id
 @register(f"""
 with first as (select part, entity_epoch_id, min_by(event_id, (observed_at, event_id)) as e, min(observed_at) as t from {_EVENTS_SQL} where eligible and entity_epoch_id % 3 <> part group by 1, 2)
 select entity_epoch_id, e as first_observation_event_id, t as first_candidate_at from first a where part = 1 or not exists (select 1 from first b where b.part = 1 and b.entity_epoch_id = a.entity_epoch_id)""")
-def stream_candidates(spark: SparkSession, folder: str) -> DataFrame:
+def stream_candidates(spark: SparkSession, folder: str, hold_back: bool = False) -> DataFrame:
     """Events in two deliveries: what the first names stays, however early the second's events are."""
     o = table(spark, folder, "orders")
     events = o.select(F.col("o_orderkey").alias("event_id"), (F.col("o_custkey") % 70).alias("entity_epoch_id"), F.concat(F.lit("i-"), F.col("o_custkey").cast("string")).alias("indicator_id"), F.col("o_orderdate").alias("observed_at"), F.when(F.col("o_orderkey") % 4 == 0, "unresolved").otherwise("eligible").alias("time_status"), (F.col("o_orderkey") % 2).alias("part")).where("entity_epoch_id % 3 <> part")
@@ -162,32 +187,102 @@ def stream_candidates(spark: SparkSession, folder: str) -> DataFrame:
     for part in (1, 0):
         events.where(F.col("part") == part).drop("part").write.mode("append").parquet(source)
         stream = streaming.stream_table(spark, source, events.drop("part").schema)
-        streaming.run_to_end(streaming.first_candidates(stream, path, ["entity_epoch_id"], offsets))
+        with _rocks(spark):
+            streaming.run_to_end(streaming.first_candidates(stream, path, ["entity_epoch_id"], offsets, hold_back))
     return spark.read.parquet(path).select("entity_epoch_id", "first_observation_event_id", "first_candidate_at")
 
 
+class _rocks:
+    """State of the kind that timers and maps need."""
+
+    KEY, KIND = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+    def __init__(self, spark: SparkSession):
+        self.conf, self.before = spark.conf, spark.conf.get(self.KEY)
+
+    def __enter__(self):
+        self.conf.set(self.KEY, self.KIND)
+
+    def __exit__(self, *_):
+        self.conf.set(self.KEY, self.before)
+
+
+def _to_end(spark: SparkSession, told: DataFrame, name: str) -> DataFrame:
+    """What a stream says, as a table."""
+    path = shared_path(spark, name)
+    with _rocks(spark):
+        streaming.run_to_end(told.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", shared_path(spark, "offsets")))
+    return spark.read.schema(told.schema).parquet(path)
+
+
 def stream_epochs(spark: SparkSession, folder: str) -> DataFrame:
     """Histories out of order as a stream; what the batch form finds in order."""
     from ..operators import epochs
 
     hosts, services = event_observations(spark, folder)
-    rows = epochs.histories(hosts, services.select("observation_id", F.col("cert_sha256").alias("identity"))).select("indicator_id", F.col("effective_at").cast("timestamp").alias("effective_at"), "observation_id", "ids")
-    end = rows.limit(1).select(F.lit("end").alias("indicator_id"), F.lit("2100-01-01").cast("timestamp").alias("effective_at"), F.lit("end").alias("observation_id"), F.array().cast("array<string>").alias("ids"))
-    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rocks)
-    try:
-        path = shared_path(spark, "epochs")
-        told = streaming.streaming_epochs(_as_stream(spark, [rows.repartition(4, "observation_id"), end], "histories"), "1 hour")
-        streaming.run_to_end(told.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", shared_path(spark, "offsets")))
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(told.schema).parquet(path).where("indicator_id <> 'end'").select("indicator_id", "observation_id", "epoch", "late")
+    rows = epochs.histories(hosts, services.select("observation_id", F.col("cert_sha256").alias("identity"))).select("indicator_id", F.col("effective_at").cast("timestamp").alias("effective_at"), F.col("collected_at").cast("timestamp").alias("collected_at"), "observation_id", "ids")
+    end = rows.limit(1).select(F.lit("end").alias("indicator_id"), F.lit("2100-01-01").cast("timestamp").alias("effective_at"), F.lit("2100-01-01").cast("timestamp").alias("collected_at"), F.lit("end").alias("observation_id"), F.array().cast("array<string>").alias("ids"))
+    told = streaming.streaming_epochs(_as_stream(spark, [rows.repartition(4, "observation_id"), end], "histories"), "1 hour")
+    return _to_end(spark, told, "epochs").where("indicator_id <> 'end'").select("indicator_id", "observation_id", "epoch", "late")
 
 
 QUERIES["stream_epochs"] = stream_epochs
 ORACLES["stream_epochs"] = f"select *, false as late from ({event_queries.ORACLES['entity_epochs']})"
 
+_SLOTS = "(select concat('slot-', cast(o_orderkey as string)) as opportunity_id, cast(o_orderdate as timestamp) as due_at, cast(o_orderdate as timestamp) + interval 7 day as window_end, o_orderkey as k from orders)"
+_RUNS = "(select concat('slot-', cast(o_orderkey as string)) as opportunity_id, cast(o_orderdate as timestamp) + (o_custkey % 11) * interval 1 day as executed_at, case when o_orderkey % 5 = 0 then 'failed' else 'complete' end as status from orders where o_orderkey % 3 <> 0)"
+
+
+@register(f"""
+with late as (select r.opportunity_id, 'late' as status, r.executed_at as at from {_RUNS} r join {_SLOTS} s using (opportunity_id) where executed_at >= window_end),
+missed as (select opportunity_id, 'missed' as status, window_end as at from {_SLOTS} s where not exists (select 1 from {_RUNS} r where r.opportunity_id = s.opportunity_id and status = 'complete' and executed_at < window_end))
+select * from late union all select * from missed""")
+def stream_slots(spark: SparkSession, folder: str) -> DataFrame:
+    """Slots of orders that no complete execution met, by timers, and executions after their window."""
+    spark_sql = lambda text: spark.sql(f"select * from {text.replace('from orders', 'from {orders}')}", orders=table(spark, folder, "orders"))
+    slots, runs = spark_sql(_SLOTS).select("opportunity_id", "due_at", "window_end"), spark_sql(_RUNS)
+    end = slots.limit(1).select(F.lit("end").alias("opportunity_id"), F.lit("2100-01-01").cast("timestamp_ntz").alias("due_at"), F.lit("2100-01-02").cast("timestamp_ntz").alias("window_end"))
+    # each in one delivery, before what ends all windows
+    told = streaming.streaming_slots(_as_stream(spark, [slots, end], "slots"), _as_stream(spark, [runs], "runs"))
+    out = _to_end(spark, told, "missed").where("opportunity_id <> 'end'")
+    return out.select("opportunity_id", "status", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
+@register(ORACLES["stream_candidates"])
+def stream_new_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """As stream_candidates, with events of known keys held back before the table."""
+    return stream_candidates(spark, folder, True)
+
+
+def _stream_pages(spark: SparkSession, folder: str) -> str:
+    """Page files in two deliveries, the first of them twice, through the stream; where its tables are."""
+    made, runs, known = scan_queries.pages(spark, folder)
+    source, root, offsets = shared_path(spark, "pages"), shared_path(spark, "observed"), shared_path(spark, "offsets")
+    half = F.pmod(F.xxhash64("run_id"), F.lit(2))
+    runs, known = stash(runs, "runs"), stash(known, "known")
+    texts = stash(made.select(F.col("run_id").alias("run"), F.col("page_number").alias("number"), F.to_json("page").alias("value"), half.alias("part")), "texts")
+    for part in (0, 1, 0):
+        # files are named by run and number; many stand in one folder
+        texts.where(F.col("part") == part).drop("part").repartition(8).write.mode("append").partitionBy("run", "number").text(source)
+        pages = readers.scan_pages(spark, source, "part-*", r"run=([^/]+)/", r"number=(\d+)/", stream=True)
+        told = streaming.normalize_stream(pages, runs, known, F.lit("2024-01-15").cast("timestamp"))
+        streaming.run_to_end(streaming.write_observations(told, root, offsets))
+    return root
+
+
+@register(f"select s.*, case when not host_observed then null when observed_at < timestamp '2024-01-15' then 'pre_freeze' else 'eligible' end as time_status from ({scan_queries.ORACLES['scan_hosts']}) s")
+def stream_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    """Page files as a stream to host observations and the times of their records."""
+    hosts = spark.read.parquet(f"{_stream_pages(spark, folder)}/hosts")
+    return hosts.select("observation_id", "indicator_id", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), "host_observed", "negative_reason", "asn", "query_run_id", "time_status")
+
+
+@register(scan_queries.ORACLES["scan_services"])
+def stream_services(spark: SparkSession, folder: str) -> DataFrame:
+    services = spark.read.parquet(f"{_stream_pages(spark, folder)}/services")
+    return services.select("service_observation_id", "observation_id", "port", "transport", "protocol", "jarm", "cert_sha256", "software_vendor", "software_product")
+
+
 case(
     "late_executions", lambda runs_t: streaming.label_executions(runs_t).select("k", "opportunity_status"),
     " select k, case when execution = 'failed' then 'failed' when execution like 'partial%' then 'partial' when executed_at >= window_end then 'late' else 'complete' end as opportunity_status from runs_t",

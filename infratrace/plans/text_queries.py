@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.ids import joined_id, sha256_text
 from ..operators import constraints, corpus, mining, pivots
 from ..sources.readers import table
+from ..sources.shared import stash
 
 AVAILABLE = "2026-06-01 00:00:00"
 
@@ -24,7 +25,7 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
 def _mined(scope: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         found = mining.mine(_docs(spark, folder), (scope,))
-        return found.withColumn("value", T.normalize(F.col("scope"), F.col("raw_form"))).withColumn("is_valid", T.valid(F.col("scope"), F.col("value"), ipv6=False))
+        return found.withColumn("value", T.normalize(F.col("scope"), F.col("raw_form"))).withColumn("is_valid", T.valid(F.col("scope"), F.col("value")))
     return query
 
 
@@ -32,7 +33,7 @@ def mine_domain(spark: SparkSession, folder: str) -> DataFrame:
     """Domains named anywhere in raw pages, with the reason not to search for them."""
     pages = table(spark, folder, "pages").select(F.col("page_id").alias("document_id"), F.col("html").alias("text"))
     found = mining.mine(pages, ("domain",))
-    found = found.withColumn("value", T.normalize(F.col("scope"), F.col("raw_form"))).withColumn("is_valid", T.valid(F.col("scope"), F.col("value"), ipv6=False))
+    found = found.withColumn("value", T.normalize(F.col("scope"), F.col("raw_form"))).withColumn("is_valid", T.valid(F.col("scope"), F.col("value")))
     return found.withColumn("block_reason", T.domain_block_reason(F.col("value")))
 
 
@@ -66,7 +67,7 @@ def _candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _verified(spark: SparkSession, folder: str) -> DataFrame:
-    return mining.verify(_candidates(spark, folder), _docs(spark, folder), F.lit(AVAILABLE).cast("timestamp"), ipv6=False)
+    return mining.verify(_candidates(spark, folder), _docs(spark, folder), F.lit(AVAILABLE).cast("timestamp"))
 
 
 def verify_funnel(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,7 +189,7 @@ def extract_and_verify(spark: SparkSession, folder: str) -> DataFrame:
     address = F.concat_ws(".", F.lit("9"), (k % 300).cast("string"), (k % 7).cast("string"), (k % 90).cast("string"))
     note = F.when(k % 6 == 0, F.concat(F.lit("<p>See "), F.replace(address, F.lit("."), F.lit("[.]")), F.lit("</p>"))).otherwise(F.concat(F.lit("<p>Seen at "), address, F.lit(" and "), address, F.lit(" by op"), k.cast("string"), F.lit("@relay.example.org today</p>")))
     pages = p.select(k.alias("document_id"), F.replace("html", F.lit("</article>"), F.concat(note, F.lit("</article>"))).alias("html"), F.when(k % 5 != 0, F.lit("2025-05-01").cast("timestamp_ntz")).alias("published_at"))
-    told = mining.extract_and_verify(pages, F.lit(AVAILABLE).cast("timestamp"), ("ip", "email"), ipv6=False)
+    told = mining.extract_and_verify(pages, F.lit(AVAILABLE).cast("timestamp"), ("ip", "email"))
     return told.select("document_id", "scope", "pos", "raw_form", "value", "status", "indicator_id", "document_format", "text_extractor", "text_sha256", "text_chars")
 
 
@@ -198,6 +199,28 @@ def independent_sources(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.independent_sources(claims, d.where("doc_id % 17 <> 0"), ["lang"])
 
 
+def estimated_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Different customers of each nation, counted and estimated from stored sketches of years, and whether the
+    estimate is within four standard errors."""
+    o, c = table(spark, folder, "orders"), table(spark, folder, "customer")
+    rows = o.join(c.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    claims = rows.select("c_nationkey", F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("document_id"))
+    members = o.select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("source_family_id"))
+    sketches = stash(corpus.family_sketches(claims, members, ["c_nationkey"], ["year"]), "sketches")
+    told = corpus.estimated_sources(sketches, ["c_nationkey"]).join(corpus.independent_sources(claims, members, ["c_nationkey"]), "c_nationkey")
+    near = F.abs(F.col("estimated_sources") - F.col("independent_sources")) <= 4 * F.col("relative_error") * F.col("independent_sources") + 1
+    return told.select("c_nationkey", "claims", "independent_sources", near.alias("is_near"))
+
+
+def address_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses of many forms made from customers: which are some, and which are globally routable."""
+    k, x = F.col("c_custkey"), F.hex("c_custkey")
+    forms = [F.concat(F.lit("2600:"), x, F.lit("::1")), F.concat(F.lit("2001:db8::"), x), F.concat(F.lit("::ffff:8.8."), (k % 256).cast("string"), F.lit(".9")), F.concat(F.lit("::ffff:10.0."), (k % 300).cast("string"), F.lit(".9")),
+             F.concat(F.lit("fe80::"), x, F.lit("%eth0")), F.concat(F.lit("2600::"), x, F.lit("::1")), F.concat(F.lit("2600:1:2:3:4:5:6:"), x), F.concat(F.lit("8.8."), (k % 300).cast("string"), F.lit(".7"))]
+    value = F.element_at(F.array(*forms), (k % 8 + 1).cast("int"))
+    return table(spark, folder, "customer").select("c_custkey", value.alias("value")).select("c_custkey", "value", T.is_ip(F.col("value")).alias("is_ip"), T.ip_is_global(F.col("value")).alias("is_global"))
+
+
 def error_classes(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").where("event_type = 'error'")
     k = F.col("event_id") % 7
@@ -210,7 +233,7 @@ def error_classes(spark: SparkSession, folder: str) -> DataFrame:
 def pivot_plan(spark: SparkSession, folder: str) -> DataFrame:
     v = _verified(spark, folder).where("status = 'verified'")
     rows = v.select("document_id", "indicator_id", "scope", "value", T.context_role(F.col("context")).alias("role"), F.col("observed").alias("available_at"))
-    return pivots.plan_pivots(rows, F.lit("2025-12-31").cast("timestamp"), ipv6=False).select("document_id", "indicator_id", "scope", "value", "query_class", "pivot_type", "status", "reason", "query_text")
+    return pivots.plan_pivots(rows, F.lit("2025-12-31").cast("timestamp")).select("document_id", "indicator_id", "scope", "value", "query_class", "pivot_type", "status", "reason", "query_text")
 
 
 _BROAD = "', '".join(T.BROAD_SUFFIXES)
@@ -250,7 +273,7 @@ QUERIES = {
     "mine_ipv4": _mined("ip"), "mine_email": _mined("email"), "mine_sha1": _mined("hash_sha1"), "mine_domain": mine_domain,
     "refang_defang_roundtrip": refang_defang_roundtrip, "verify_funnel": verify_funnel, "indicator_ids": indicator_ids, "mention_ids": mention_ids, "public_ids": public_ids,
     "url_canonical": url_canonical, "allowlist_filter": allowlist_filter, "domain_block_reason": domain_block_reason, "search_dedupe_rank": search_dedupe_rank,
-    "publication_precision": publication_precision, "html_main_text": html_main_text, "extract_and_verify": extract_and_verify, "independent_sources": independent_sources, "error_classes": error_classes,
+    "publication_precision": publication_precision, "html_main_text": html_main_text, "extract_and_verify": extract_and_verify, "independent_sources": independent_sources, "estimated_sources": estimated_sources, "address_forms": address_forms, "error_classes": error_classes,
     "pivot_plan": pivot_plan, "leakage_filter": leakage_filter, "manifest_ids": manifest_ids,
 }
 
@@ -320,6 +343,14 @@ select o_orderkey, raw, case when trim(raw) = '' then 'unknown' when regexp_full
     "independent_sources": """
 select lang, count(distinct doc_id) as documents, count(distinct case when doc_id % 17 <> 0 then source end) as independent_sources, count(*) filter (doc_id % 17 = 0 or source is null) as without_family
 from documents group by lang""",
+    "estimated_sources": """
+select c_nationkey, count(*) as claims, count(distinct o_custkey) as independent_sources, true as is_near from orders join customer on c_custkey = o_custkey group by 1""",
+    "address_forms": """
+select c_custkey, value, form in (0, 1, 2, 4, 6) or (form in (3, 7) and c_custkey % 300 <= 255) as is_ip,
+       case when form in (0, 2, 6) then true when form in (1, 4) then false when form = 3 and c_custkey % 300 <= 255 then false when form = 7 and c_custkey % 300 <= 255 then true end as is_global
+from (select c_custkey, c_custkey % 8 as form, case c_custkey % 8 when 0 then '2600:' || h || '::1' when 1 then '2001:db8::' || h when 2 then '::ffff:8.8.' || c_custkey % 256 || '.9' when 3 then '::ffff:10.0.' || c_custkey % 300 || '.9'
+        when 4 then 'fe80::' || h || '%eth0' when 5 then '2600::' || h || '::1' when 6 then '2600:1:2:3:4:5:6:' || h else '8.8.' || c_custkey % 300 || '.7' end as value
+      from (select c_custkey, upper(printf('%x', c_custkey)) as h from customer))""",
     "error_classes": """
 select category, http_status, category <> 'ssl_cert_verify_failed' and (http_status in ('429','500','502','503','504') or category in ('api_timeout','network_error','api_rate_limited','api_504_gateway_timeout','api_5xx_error')) as retryable, count(*) as errors
 from (select case event_id % 7 when 0 then 'ssl_cert_verify_failed' when 1 then 'api_rate_limited' when 2 then 'api_504_gateway_timeout' when 3 then 'api_5xx_error' when 4 then 'api_timeout' when 5 then 'scan_api_error' else 'network_error' end as category,

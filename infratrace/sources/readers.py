@@ -10,10 +10,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def scan_pages(spark: SparkSession, folder: str, glob: str = "page-*.json", run: str = r"([^/]+)/[^/]+$", number: str = r"page-0*(\d+)\.json$") -> DataFrame:
+def scan_pages(spark: SparkSession, folder: str, glob: str = "page-*.json", run: str = r"([^/]+)/[^/]+$", number: str = r"page-0*(\d+)\.json$", stream: bool = False, files_per_trigger: int | None = None) -> DataFrame:
     """Raw result pages, one JSON document a file: path, run_id, page_number, page (variant). The run and
-    the number are groups of patterns over the path: the folder and the file's name by default."""
-    raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.input_file_name().alias("path"), F.try_parse_json("value").alias("page"))
+    the number are groups of patterns over the path: the folder and the file's name by default. As a stream
+    if asked, by so many files at a time."""
+    options = {"wholetext": True, "recursiveFileLookup": True, "pathGlobFilter": glob, **({"maxFilesPerTrigger": files_per_trigger} if files_per_trigger else {})}
+    raw = (spark.readStream if stream else spark.read).format("text").schema("value string").options(**options).load(folder)
+    raw = raw.select(F.input_file_name().alias("path"), F.try_parse_json("value").alias("page"))
     return raw.select("path", F.regexp_extract("path", run, 1).alias("run_id"), F.regexp_extract("path", number, 1).try_cast("int").alias("page_number"), "page")
 
 

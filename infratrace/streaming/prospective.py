@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.text import is_ip
+from ..operators import scan
 from ..operators.prospective import candidates, execution_status, time_status
 from ..sources import ledger
 
@@ -31,6 +33,49 @@ def label_executions(executions: DataFrame) -> DataFrame:
     return executions.withColumn("opportunity_status", execution_status(F.col("execution"), F.col("executed_at"), F.col("window_end")))
 
 
+def normalize_stream(pages: DataFrame, runs: DataFrame, known_ips: DataFrame, valid_from: Column) -> DataFrame:
+    """A stream of scan pages (run_id, page_number, page) as observations, a row for each hit: what
+    `scan.normalize` and `prospective_events` say, without state. runs and known_ips are tables.
+
+    services is an array of the hit's service observations; time_status is that of the earliest record,
+    unresolved where one lacks its time; record_time_statuses has each record's. A run on one
+    address whose only page shows none gives the negative row. reason is as for pages at rest, but for an address
+    that a run shows again: `write_observations` keeps the first."""
+    host = scan.placed(scan.host_rows(pages), runs, known_ips)
+    fields = lambda s: F.struct(*[c.alias(n) for n, c in scan.service_fields(s, F.col("observation_id"), F.col("observed_at")).items()])
+    good = scan.observed_hosts(host).withColumn("services", F.filter(F.transform("services", fields), lambda s: s["port"].between(1, 65535)))
+    names = F.transform("services", lambda s: s["service_observation_id"])
+    good = good.withColumn("services", F.filter("services", lambda s, i: F.array_position(names, s["service_observation_id"]) == i + 1))
+    own = F.struct(F.col("observation_id").alias("key"), time_status(F.col("observed_at"), valid_from).alias("value"))
+    others = F.transform("services", lambda s: F.struct(s["service_observation_id"].alias("key"), time_status(s["observed_at"], valid_from).alias("value")))
+    gap = F.col("observed_at").isNull() | F.exists("services", lambda s: s["observed_at"].isNull())
+    first = F.least("observed_at", F.array_min(F.transform("services", lambda s: s["observed_at"])))
+    good = good.withColumn("record_time_statuses", F.map_from_entries(F.array_sort(F.concat(F.array(own), others)))).withColumn("time_status", time_status(F.when(~gap, first), valid_from))
+    columns = [*scan.HOST_COLUMNS, "page_number", "hit_pos", "reason", "services", "record_time_statuses", "time_status"]
+    address = lambda h: F.coalesce(is_ip(F.coalesce(*[F.try_variant_get(h, f"{p}.ip", "string") for p in scan.HOST])), F.lit(False))
+    empty = scan.page_hits(pages).where(F.col("page_number") == 1).where(F.col("next_token").isNull() & ~F.exists("hits", address))
+    silent = empty.select("run_id").join(runs.where("query_class = 'q0_seed'"), "run_id")
+    none = scan.not_found(silent).withColumn("page_number", F.lit(1)).withColumn("hit_pos", F.lit(0))
+    return good.select(*columns).unionByName(none.select(*scan.HOST_COLUMNS, "page_number", "hit_pos"), allowMissingColumns=True)
+
+
+def write_observations(observations: DataFrame, root: str, checkpoint: str):
+    """normalize_stream into the ledgers <root>/hosts and <root>/services and the table <root>/refused. Of an
+    address that a run shows more than once in a batch the first hit is taken; what a ledger has stays."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        good = batch.where("reason IS NULL").groupBy("observation_id").agg(F.min_by(F.struct(*[c for c in batch.columns if c != "observation_id"]), F.struct("page_number", "hit_pos")).alias("r"))
+        good = good.select("observation_id", "r.*")
+        hosts = good.select(*scan.HOST_COLUMNS, "time_status", F.to_json("record_time_statuses").alias("record_time_statuses"))
+        ledger.append(hosts, f"{root}/hosts", ["observation_id"])
+        ledger.append(good.select("observation_id", F.explode("services").alias("s")).select("observation_id", "s.*"), f"{root}/services", ["service_observation_id"])
+        # a batch that is written again replaces itself
+        batch.where("reason IS NOT NULL").select("query_run_id", "observation_id", "reason").write.mode("overwrite").parquet(f"{root}/refused/batch={number}")
+        batch.unpersist()
+
+    return observations.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def to_ledger(stream: DataFrame, path: str, key: list[str], checkpoint: str, earliest: str | None = None):
     """Append a stream to an immutable table; a batch that is seen again inserts nothing."""
     def write(batch: DataFrame, _: int) -> None:
@@ -39,75 +84,203 @@ def to_ledger(stream: DataFrame, path: str, key: list[str], checkpoint: str, ear
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def first_candidates(events: DataFrame, path: str, key: list[str], checkpoint: str):
+class NewKeys(StatefulProcessor):
+    """The earliest row of each key in the first batch that has the key; later rows of it are held back as long
+    as the state remembers it. Nothing is dropped for being late."""
+
+    def __init__(self, columns: list[str], order: list[str], remember_ms: int | None):
+        self.columns, self.order, self.remember_ms = columns, order, remember_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", ttlDurationMs=self.remember_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        if self.seen.exists():
+            return
+        best = None
+        for frame in rows:
+            some = frame if best is None else pd.concat((best, frame))
+            best = some.sort_values(self.order, kind="stable").head(1)
+        self.seen.update((True,))
+        yield best[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def new_keys(rows: DataFrame, key: list[str], order: list[str], remember: str | None = None) -> DataFrame:
+    """A stream with one row for each key: the earliest (by order) of the batch that first has it.
+
+    With `remember` a key's state goes after that time and the key may come out again, so what follows must bear
+    replays, as ledgers do. Clocks make such a query run on and on: it is for triggers at intervals, not for
+    runs over what is available now."""
+    processor = NewKeys(rows.columns, order, int(pd.Timedelta(remember).total_seconds() * 1000) if remember else None)
+    return rows.groupBy(*key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=rows.schema, outputMode="Append", timeMode="ProcessingTime" if remember else "None")
+
+
+def first_candidates(events: DataFrame, path: str, key: list[str], checkpoint: str, hold_back: bool = False, remember: str | None = None):
     """First candidates of a stream of events: a batch's firsts are appended unless the table has the
-    candidate; what is there is never overwritten, however late an earlier event comes."""
+    candidate; what is there is never overwritten, however late an earlier event comes.
+
+    With `hold_back`, events of keys that came before are held back by state (see `new_keys`), so that they do not
+    reach the table's index; the table stays the truth and is the same either way."""
+    if hold_back:
+        events = new_keys(events.where("time_status = 'eligible'"), key, ["observed_at", "event_id"], remember)
+
     def write(batch: DataFrame, _: int) -> None:
         ledger.append(candidates(batch, key), path, ["candidate_id"])
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+class SlotProcessor(StatefulProcessor):
+    """One slot: missed once the watermark has passed its window and no complete execution came in it. Executions
+    that end at or after the window are late. What is held goes `grace_ms` after the window; executions
+    later than that are of an unknown slot."""
+
+    def __init__(self, grace_ms: int):
+        self.grace_ms = grace_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slot = handle.getValueState("slot", "window_end timestamp, hit boolean, told boolean")
+        self.early = handle.getListState("early", "executed_at timestamp, status string")  # before their slot
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        end, hit, told = self.slot.get() if self.slot.exists() else (None, False, False)
+        runs = [tuple(r) for r in self.early.get()] if self.early.exists() else []
+        for frame in rows:
+            for at, until, status in zip(frame["executed_at"], frame["window_end"], frame["status"]):
+                if not pd.isna(until) and end is None:
+                    end = until.to_pydatetime()
+                elif not pd.isna(at):
+                    runs.append((at.to_pydatetime(), status))
+        if end is None:
+            self.early.put(runs)
+            return
+        self.early.clear()
+        out = []
+        for at, status in runs:
+            late = pd.Timestamp(at) >= pd.Timestamp(end)
+            hit = hit or status == "complete" and not late
+            if late:
+                out.append((key[0], "late", pd.Timestamp(at)))
+        self.slot.update((end, hit, told))
+        close = pd.Timestamp(end).ceil("ms").value // 1_000_000
+        if not told:
+            self.handle.registerTimer(close)
+        self.handle.registerTimer(close + self.grace_ms)
+        if out:
+            yield pd.DataFrame(out, columns=["opportunity_id", "status", "at"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if not self.slot.exists():
+            return
+        end, hit, told = self.slot.get()
+        close = pd.Timestamp(end).ceil("ms").value // 1_000_000
+        if not told and timerValues.getCurrentWatermarkInMs() >= close:
+            self.slot.update((end, hit, True))
+            if not hit:
+                yield pd.DataFrame([(key[0], "missed", pd.Timestamp(end))], columns=["opportunity_id", "status", "at"])
+        if timerValues.getCurrentWatermarkInMs() >= close + self.grace_ms:
+            self.slot.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def streaming_slots(opportunities: DataFrame, executions: DataFrame, delay: str = "1 hour", grace: str = "7 days") -> DataFrame:
+    """opportunity_id, status, at from streams of opportunities (opportunity_id, due_at, window_end) and
+    executions (opportunity_id, executed_at, status): `missed` (at the window's end) from a timer of the slot, `late`
+    for each execution after it."""
+    t = lambda c: F.col(c).cast("timestamp")
+    null = lambda kind: F.lit(None).cast(kind)
+    one = opportunities.select("opportunity_id", t("due_at").alias("seen_at"), t("window_end").alias("window_end"), null("timestamp").alias("executed_at"), null("string").alias("status"))
+    two = executions.select("opportunity_id", t("executed_at").alias("seen_at"), null("timestamp").alias("window_end"), t("executed_at").alias("executed_at"), "status")
+    rows = one.withWatermark("seen_at", delay).unionByName(two.withWatermark("seen_at", delay))
+    processor = SlotProcessor(int(pd.Timedelta(grace).total_seconds() * 1000))
+    return rows.groupBy("opportunity_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType="opportunity_id string, status string, at timestamp", outputMode="Append", timeMode="EventTime")
+
+
 class EpochProcessor(StatefulProcessor):
     """Epochs of one indicator from rows out of order.
 
-    Rows wait until the watermark has passed them and are then taken in order of time; a timer at the
-    earliest of them takes them where the indicator has no further row. A row older than that is still
-    given to the epoch open at the time, marked late.
+    Rows wait in buckets of time until the watermark has passed their bucket and are then taken in order of
+    (effective_at, collected_at, observation_id). What a batch brings for a bucket is one new entry of a map, so a
+    batch costs what it brings; a timer at the bucket's end reads that bucket only. Rows behind
+    the watermark do not get here: Spark holds them back. Should one of a bucket that was taken before come, it goes
+    to the epoch open at the time, marked late.
     """
 
+    def __init__(self, bucket_ms: int):
+        self.bucket_ms = bucket_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "effective_at timestamp, observation_id string, ids array<string>")
-        self.open = handle.getValueState("open", "epoch int, held array<string>, upto timestamp")
+        self.waiting = handle.getMapState("waiting", "bucket long, nth int", "rows array<struct<effective_at timestamp, collected_at timestamp, observation_id string, ids array<string>>>")
+        self.pieces = handle.getMapState("pieces", "bucket long", "n int")
+        self.open = handle.getValueState("open", "epoch int, held array<string>, taken long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # state rows hold plain tuples
-        new = [(t.to_pydatetime(), o, list(i)) for f in rows for t, o, i in zip(f["effective_at"], f["observation_id"], f["ids"])]
-        yield from self._take(key, new, timerValues)
+        epoch, _, taken = self.open.get() if self.open.exists() else (0, [], None)
+        new: dict[int, list] = {}
+        late = []
+        for f in rows:
+            for t, c, o, ids in zip(f["effective_at"], f["collected_at"], f["observation_id"], f["ids"]):
+                bucket = t.value // (self.bucket_ms * 1_000_000)
+                if taken is not None and bucket <= taken:
+                    late.append((key[0], o, t, epoch, True))
+                else:
+                    new.setdefault(bucket, []).append((t.to_pydatetime(), None if pd.isna(c) else c.to_pydatetime(), o, list(ids)))
+        for bucket, own in new.items():
+            n = self.pieces.getValue((bucket,))[0] if self.pieces.containsKey((bucket,)) else 0
+            self.waiting.updateValue((bucket, n), (own,))
+            self.pieces.updateValue((bucket,), (n + 1,))
+            if not n:
+                self.handle.registerTimer((bucket + 1) * self.bucket_ms)
+        if late:
+            yield pd.DataFrame(late, columns=EPOCHS)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield from self._take(key, [], timerValues)
-
-    def _take(self, key: Any, new: list, timerValues: Any) -> Iterator[pd.DataFrame]:
-        mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        every = sorted([(pd.Timestamp(t), o, list(i)) for t, o, i in held] + [(pd.Timestamp(t), o, i) for t, o, i in new], key=lambda x: (x[0], x[1]))
-        ready, wait = [r for r in every if r[0] <= mark], [r for r in every if r[0] > mark]
-        yield from self._emit(key, ready)
-        if wait:
-            self.waiting.put([(t.to_pydatetime(), o, i) for t, o, i in wait])
-            self.handle.registerTimer(wait[0][0].ceil("ms").value // 1_000_000)
-        else:
-            self.waiting.clear()
-
-    def _emit(self, key: Any, ready: list) -> Iterator[pd.DataFrame]:
-        if not ready:
-            return
-        epoch, held, upto = self.open.get() if self.open.exists() else (0, [], None)
-        held, upto, out = set(held), None if upto is None else pd.Timestamp(upto), []
-        for t, o, ids in ready:
-            late = upto is not None and t < upto
+        # timers of a key may come in any order: all buckets that are over are taken, the oldest first
+        over = timerValues.getCurrentWatermarkInMs() // self.bucket_ms
+        for bucket in sorted(k[0] for k in self.pieces.keys() if k[0] < over):
+            rows = []
+            for n in range(self.pieces.getValue((bucket,))[0]):
+                rows += [tuple(r) for r in self.waiting.getValue((bucket, n))[0]]
+                self.waiting.removeKey((bucket, n))
+            self.pieces.removeKey((bucket,))
+            yield from self._take(key, bucket, rows)
+
+    def _take(self, key: Any, bucket: int, rows: list) -> Iterator[pd.DataFrame]:
+        epoch, held, _ = self.open.get() if self.open.exists() else (0, [], None)
+        held, out = set(held), []
+        for t, _, o, ids in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1], r[2])):
             ids = set(ids)
-            if not late and ids and held and ids.isdisjoint(held):
+            if ids and held and ids.isdisjoint(held):
                 epoch, held = epoch + 1, ids
-            elif not late:
+            else:
                 held |= ids
-            upto = t if upto is None else max(upto, t)
-            out.append((key[0], o, t, epoch, late))
-        self.open.update((epoch, sorted(held), upto.to_pydatetime()))
-        yield pd.DataFrame(out, columns=["indicator_id", "observation_id", "effective_at", "epoch", "late"])
+            out.append((key[0], o, pd.Timestamp(t), epoch, False))
+        self.open.update((epoch, sorted(held), bucket))
+        yield pd.DataFrame(out, columns=EPOCHS)
 
     def close(self) -> None:
         pass
 
 
-def streaming_epochs(histories: DataFrame, delay: str = "1 hour") -> DataFrame:
+EPOCHS = ["indicator_id", "observation_id", "effective_at", "epoch", "late"]
+
+
+def streaming_epochs(histories: DataFrame, delay: str = "1 hour", bucket: str = "1 hour") -> DataFrame:
     """indicator_id, observation_id, effective_at, epoch, late from a stream of histories
-    (indicator_id, observation_id, effective_at, ids)."""
-    rows = histories.select("indicator_id", "observation_id", F.col("effective_at").cast("timestamp").alias("effective_at"), "ids").withWatermark("effective_at", delay)
+    (indicator_id, observation_id, effective_at, ids and, if there is, collected_at). Rows later than `delay` are
+    left out, as in every query with a watermark: a ledger (`to_ledger`) beside this one keeps them."""
+    known = F.col("collected_at") if "collected_at" in histories.columns else F.col("effective_at")
+    rows = histories.select("indicator_id", "observation_id", F.col("effective_at").cast("timestamp").alias("effective_at"), known.cast("timestamp").alias("collected_at"), "ids").withWatermark("effective_at", delay)
     schema = "indicator_id string, observation_id string, effective_at timestamp, epoch int, late boolean"
-    return rows.groupBy("indicator_id").transformWithStateInPandas(statefulProcessor=EpochProcessor(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    processor = EpochProcessor(int(pd.Timedelta(bucket).total_seconds() * 1000))
+    return rows.groupBy("indicator_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def run_to_end(writer, start: Callable | None = None) -> None:

@@ -72,3 +72,86 @@ def test_times_and_late_executions_are_labelled(spark):
     assert [r["time_status"] for r in streaming.classify_times(h, F.lit(T0)).collect()] == ["eligible", "unresolved"]
     e = spark.createDataFrame([("complete", T0 + timedelta(days=2), T0)], "execution string, executed_at timestamp, window_end timestamp")
     assert [r["opportunity_status"] for r in streaming.label_executions(e).collect()] == ["late"]
+
+
+def _to_memory(spark, told, name, check):
+    told.writeStream.format("memory").queryName(name).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).collect()
+
+
+def test_epochs_take_ties_by_collection(spark, tmp_path):
+    schema = "indicator_id string, effective_at timestamp, collected_at timestamp, observation_id string, ids array<string>"
+    hour = lambda k: T0 + timedelta(hours=k)
+    first = [("i", hour(5), hour(9), "a", ["x"]), ("i", hour(5), hour(7), "b", ["y"]), ("i", hour(5), hour(8), "c", ["y", "x"])]
+    deliveries = [first, [("i", hour(60), hour(60), "d", ["z"])], [("i", hour(61), hour(61), "e", [])], [("i", hour(4), hour(61), "late", ["q"])], [("end", hour(900), hour(900), "x", [])], [("end", hour(901), hour(901), "y", [])]]
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/h")
+    told = streaming.streaming_epochs(streaming.stream_table(spark, f"{tmp_path}/h", schema, 1), "2 hours", "3 hours")
+    got = {r["observation_id"]: (r["epoch"], r["late"]) for r in _to_memory(spark, told, "ties_out", f"{tmp_path}/check")}
+    # by collection b, c, a: one epoch; by name a would end before b
+    assert {k: got[k] for k in "abcde"} == {"b": (0, False), "c": (0, False), "a": (0, False), "d": (1, False), "e": (1, False)}
+    assert "late" not in got  # behind the watermark
+
+
+def test_slots_are_missed_by_timer(spark, tmp_path):
+    day = lambda k: T0 + timedelta(days=k)
+    slots = [(f"s{k}", day(k), day(k + 7)) for k in range(5)] + [("end", day(400), day(401))]
+    runs = [("s0", day(1), "complete"), ("s1", day(2), "failed"), ("s2", day(12), "complete"), ("s3", day(4), "partial"), ("s3", day(5), "complete"), ("nobody", day(1), "complete")]
+    spark.createDataFrame(slots, "opportunity_id string, due_at timestamp, window_end timestamp").coalesce(1).write.parquet(f"{tmp_path}/slots")
+    spark.createDataFrame(runs, "opportunity_id string, executed_at timestamp, status string").coalesce(1).write.parquet(f"{tmp_path}/runs")
+    read = lambda name, schema: streaming.stream_table(spark, f"{tmp_path}/{name}", schema)
+    told = streaming.streaming_slots(read("slots", "opportunity_id string, due_at timestamp, window_end timestamp"), read("runs", "opportunity_id string, executed_at timestamp, status string"))
+    got = sorted((r["opportunity_id"], r["status"], r["at"]) for r in _to_memory(spark, told, "slots_out", f"{tmp_path}/check") if r["opportunity_id"] != "end")
+    assert got == [("s1", "missed", day(8)), ("s2", "late", day(12)), ("s2", "missed", day(9)), ("s4", "missed", day(11))]
+
+
+def test_keys_that_came_before_are_held_back(spark, tmp_path):
+    event = lambda e, k, hours: (e, "i", T0 + timedelta(hours=hours), "eligible", "q", k)
+    batches = [[event("e2", "x", 5), event("e1", "x", 4), event("e3", "y", 9)], [event("e0", "x", 0), event("e4", "y", 1)], [event("e5", "z", -900)]]
+    for rows in batches:
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    read = lambda: streaming.stream_table(spark, f"{tmp_path}/events", EVENT, 1)
+    passed = _to_memory(spark, streaming.new_keys(read(), ["entity_epoch_id"], ["observed_at", "event_id"]), "new_out", f"{tmp_path}/c0")
+    assert sorted(r["event_id"] for r in passed) == ["e1", "e3", "e5"]  # three of six; the late e5 stays
+    for k, hold in enumerate((False, True)):
+        streaming.run_to_end(streaming.first_candidates(read(), f"file://{tmp_path}/t{k}", ["entity_epoch_id"], f"{tmp_path}/d{k}", hold))
+    tables = [sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t{k}").collect())) for k in range(2)]
+    assert tables[0] == tables[1] and len(tables[0]) == 3
+
+
+def test_page_files_as_a_stream(spark, tmp_path):
+    from infratrace.sources import readers
+
+    def page(run, number, text):
+        folder = tmp_path / "pages" / run
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"page-{number:03d}.json").write_text(text)
+
+    hit = '{"host":{"ip":"%s","last_updated_at":"2026-01-0%dT00:00:00Z","services":[{"port":443,"protocol":"HTTPS","observed_at":"2026-01-05T00:00:00Z"},{"port":443},{"port":"22"},{"port":70000}]}}'
+    page("r1", 1, '{"result":{"hits":[%s,%s,{"host":{}}]}}' % (hit % ("8.8.8.8", 2), hit % ("8.8.8.8", 3)))
+    page("r2", 1, '{"result":{"result":{"hits":[]}}}')
+    page("r3", 1, '{"hits":[%s]}' % (hit % ("9.9.9.9", 4)))
+    page("r4", 1, "no json")
+    run = "run_id string, query_class string, exact_ip string, indicator_id string, collected_at timestamp"
+    runs = spark.createDataFrame([("r1", "q1", None, None, T0 + timedelta(days=9)), ("r2", "q0_seed", "1.1.1.1", "ioc-1", T0), ("r3", "q0_seed", "1.1.1.2", "ioc-2", T0 + timedelta(days=9)), ("r4", "q1", None, None, T0)], run)
+    known = spark.createDataFrame([("8.8.8.8", "ioc-8")], "ip string, indicator_id string")
+
+    def deliver():
+        pages = readers.scan_pages(spark, f"{tmp_path}/pages", stream=True)
+        told = streaming.normalize_stream(pages, runs, known, F.lit(T0 + timedelta(days=2)))
+        streaming.run_to_end(streaming.write_observations(told, f"file://{tmp_path}/out", f"{tmp_path}/check"))
+
+    deliver()
+    page("r5", 1, '{"hits":[%s]}' % (hit % ("8.8.4.4", 4)))
+    page("r1", 2, '{"hits":[%s]}' % (hit % ("8.8.8.8", 9)))  # the run shows it again: what is there stays
+    runs = runs.unionAll(spark.createDataFrame([("r5", "q1", None, None, T0 + timedelta(days=9))], run))
+    deliver()
+    hosts = {r["query_run_id"]: r for r in spark.read.parquet(f"{tmp_path}/out/hosts").collect()}
+    assert set(hosts) == {"r1", "r2", "r5"}
+    assert hosts["r1"]["indicator_id"] == "ioc-8" and hosts["r1"]["observed_at"] == T0 + timedelta(days=1) and hosts["r1"]["time_status"] == "pre_freeze"
+    assert (hosts["r2"]["host_observed"], hosts["r2"]["negative_reason"], hosts["r2"]["indicator_id"]) == (False, "not_found", "ioc-1")
+    assert hosts["r5"]["time_status"] == "eligible" and hosts["r5"]["record_time_statuses"].count("eligible") == 3
+    ports = sorted((r["observation_id"], r["port"], r["protocol"]) for r in spark.read.parquet(f"{tmp_path}/out/services").collect())
+    assert len(ports) == 4 and {p[1] for p in ports} == {22, 443}
+    refused = [(r["query_run_id"], r["reason"]) for r in spark.read.parquet(f"{tmp_path}/out/refused").collect()]
+    assert refused == [("r3", "q0_other_ip")]
