@@ -52,6 +52,17 @@ def mine_with(docs: DataFrame, extract: Callable[[str], list[tuple]], text: str
     return chosen.mapInPandas(run, "document_id string, pos int, scope string, raw_form string, context string, observed_at string")
 
 
+def extractor_udtf(extract: Callable[[str], list[tuple]]):
+    """The same function as a table function for SQL: `select d.id, f.* from docs d, lateral name(d.text) f` once it
+    is registered by spark.udtf.register(name, ...)."""
+    class Extract:
+        def eval(self, text: str):
+            for pos, found in enumerate(extract(text or "")):
+                yield (pos, *found)
+
+    return F.udtf(Extract, returnType="pos int, scope string, raw_form string, context string, observed_at string")
+
+
 def verify(candidates: DataFrame, docs: DataFrame, available_at: Column, text: str | None = "text", ipv6: bool = True) -> DataFrame:
     """candidates with value, observed, time_basis and status.
 

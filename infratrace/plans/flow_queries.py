@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..operators import mining, scan
-from ..sources import index, ledger, readers
+from ..sources import index, ledger, merkle, readers
 from ..sources.readers import VIEWS, event_observations, table
 from ..sources.shared import shared_path, stash
 from ..streaming import prospective as streaming
@@ -145,6 +145,21 @@ def ledger_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(told, "year int, files int")
 
 
+@register("""
+select 'again' as code, o_orderkey::varchar as record_id, case when o_orderkey % 1000 = 7 then 'not reproduced' else 'differs' end as detail from orders where o_orderkey % 1000 = 7 or o_orderkey % 1500 = 11
+union all select 'again', (-o_orderkey)::varchar, 'not stored' from orders where o_orderkey % 3000 = 1""")
+def merkle_differences(spark: SparkSession, folder: str) -> DataFrame:
+    """Two states of the orders, compared by their trees: rows that went, changed and came."""
+    o = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    k = F.col("o_orderkey")
+    changed = o.where(k % 1000 != 7).withColumn("o_orderstatus", F.when(k % 1500 == 11, "X").otherwise(F.col("o_orderstatus")))
+    new = o.where(k % 3000 == 1).withColumn("o_orderkey", -k)
+    paths = [shared_path(spark, "state") for _ in range(2)]
+    for rows, path in zip((o, changed.unionAll(new)), paths):
+        merkle.write(rows, path, ["o_orderkey"])
+    return merkle.audit(spark, *paths, o.schema, ["o_orderkey"], "again")
+
+
 # -- streams ------------------------------------------------------------------------------------------
 
 def _as_stream(spark: SparkSession, parts: list[DataFrame], name: str, files: int | None = None) -> DataFrame:
@@ -302,6 +317,13 @@ def custom_extractor(spark: SparkSession, folder: str) -> DataFrame:
     return mining.mine_with(table(spark, folder, "documents"), _marked, document_id="doc_id").select("document_id", "pos", "raw_form")
 
 
+@register(ORACLES["custom_extractor"])
+def custom_extractor_sql(spark: SparkSession, folder: str) -> DataFrame:
+    """The same function in SQL, beside each document."""
+    spark.udtf.register("marked_words", mining.extractor_udtf(_marked))
+    return spark.sql("select cast(d.doc_id as string) as document_id, f.pos, f.raw_form from {docs} d, lateral marked_words(d.text) f", docs=table(spark, folder, "documents"))
+
+
 _NAMES = f"select c_custkey as c, concat(c_name, '.Example.com') as name, concat('hxxps[:]//', lower(replace(c_name, '#', '-')), '[.]example[dot]com/A') as link, concat(' 10(.)0.', cast(c_custkey % 300 as string), '[.]7') as address, concat('Op', cast(c_custkey as string), '[@]Mail.Example.COM') as mail, case c_custkey % 4 when 0 then '2025-01-02' when 1 then '2025-01' when 2 then ' 2025-01-02T10:00:00Z' else 'spring' end as published from customer"
 
 
