@@ -11,7 +11,10 @@ the original vectors in double precision.
 At the threshold's angle a bit differs with some chance, greater the nearer the vectors lie to their
 common centre, and `shape` takes it from the sample. Of the shapes that miss a pair at the threshold
 with chance MISS it takes that of the least work: substrings grow with the logarithm of the number
-of vectors, so a bucket stays small and lookups grow little faster than the vectors.
+of vectors, so a bucket stays small and lookups grow little faster than the vectors. In a tight cloud, where
+vectors are about as far from their centre as from each other at the threshold, a bit differs with a chance above
+FLIP and codes tell too little: all vectors are one bucket then, compared whole in blocks, which finds every
+pair and grows with the square.
 
 Equal vectors meet in a count first, and only different ones are filed. A bucket that more than HOT
 pairs look up is dealt to pairs of blocks of BLOCK vectors, so no task holds a bucket however large it
@@ -41,8 +44,8 @@ from .common import bound_batches, connected_components, discard, source_order,
 THRESHOLD = 0.95
 #: Vectors to learn rotations from at most, rounds of learning, and lengths that are learned.
 SAMPLE, ROUNDS, LENGTHS = 4096, 40, 16
-#: Bits of one rotation at most; chance to miss a pair at the threshold; chance of a bit to differ that
-#: is reckoned with at most (beyond it nearly all vectors are alike).
+#: Bits of one rotation at most; chance to miss a pair at the threshold; chance of a bit to differ above
+#: which codes tell too little and all vectors are one bucket.
 BITS, MISS, FLIP = 64, 0.02, 0.35
 #: Pairs that look a bucket up above which it is compared in blocks, and vectors of a block.
 HOT, BLOCK = 4096, 1024
@@ -60,13 +63,13 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def shape(n: int, flip: float, miss: float = MISS) -> tuple[int, int]:
     """(bits of a substring, tables) of the least work for n vectors, where a bit of a pair at the
-    threshold differs with chance `flip`."""
+    threshold differs with chance `flip`; above FLIP no bits and one table."""
     def work(bits: int) -> tuple[float, int, int]:
         hit = (1 - flip)**bits + bits * flip * (1 - flip)**(bits - 1)
         tables = max(1, math.ceil(math.log(miss) / math.log(1 - hit)))
         return tables * (bits + 1) * (1 + n / 2**bits), bits, tables
 
-    return min(work(b) for b in range(6, 41))[1:]
+    return min(work(b) for b in range(6, 41))[1:] if flip <= FLIP else (0, 1)
 
 
 class Coder:
@@ -82,10 +85,10 @@ class Coder:
             x = x - self.centre
             spread = float(np.quantile(np.linalg.norm(x, axis=1), 0.25))
         angle = 2 * math.asin(min(1.0, chord / 2 / max(spread, 1e-9)))
-        self.flip = min(FLIP, max(0.01, angle / math.pi))
+        self.flip = min(0.5, max(0.01, angle / math.pi))
         self.bits, self.tables = shape(n, self.flip)
         size, each = self.bits * self.tables, min(dim, BITS)
-        if x is None:
+        if x is None or not size:
             self.projection = rng.normal(size=(dim, size))
         else:
             first = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :each]

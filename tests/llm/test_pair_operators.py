@@ -176,6 +176,38 @@ def test_embedding_recall_with_a_common_direction(mean):
     assert met(a, b)[a != b].mean() < (0.05 if mean < 0.8 else 0.4)
 
 
+@pytest.mark.parametrize("dim", [64, 384])
+@pytest.mark.parametrize("mean", [0.9, 0.92, 0.94, 0.97])
+def test_embedding_recall_in_tight_clouds(mean, dim):
+    rng = np.random.default_rng(12)
+    n = 1500
+    x = partners(rng, n, dim, mean, 0.952)
+    coder = op8_embeddings.Coder(dim, 2 * n, 0.95, x[rng.permutation(2 * n)[:1500]])
+    values, known = coder.code(x)
+    known = known.view(np.uint64)
+    near = (np.bitwise_count(values[:n] ^ values[n:]) <= 1).any(axis=1) & (np.bitwise_count(known[:n] ^ known[n:]) <= coder.reach)
+    assert near.mean() >= 0.9
+
+
+def test_links_of_a_tight_cloud_and_of_rare_lengths(spark):
+    rng = np.random.default_rng(13)
+    x = partners(rng, 60, 64, 0.94, 0.952)
+    rows = [(i, [float(v) for v in e], 0) for i, e in enumerate(x)]
+    cos = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    got = op8_embeddings.near_duplicates(embed(spark, rows, "double"), block=32, hot=64).agg(F.sum("n_links")).collect()[0][0]
+    assert got == int((cos >= 0.95).sum()) - len(x) > 0
+    # lengths beyond those that are learned
+    vectors = [(100 * d + k, [float(v) for v in e], 0) for d in range(20, 20 + op8_embeddings.LENGTHS + 2) for k, e in enumerate(partners(rng, 8, d, 0.9, 0.97))]
+    found = {r["vec_id"]: r["n_links"] for r in op8_embeddings.near_duplicates(embed(spark, vectors, "double")).collect()}
+    pairs = total = 0
+    for d in range(20, 20 + op8_embeddings.LENGTHS + 2):
+        own = [v for v in vectors if v[0] // 100 == d]
+        y = np.array([v[1] for v in own])
+        c = (y @ y.T) / np.outer(np.linalg.norm(y, axis=1), np.linalg.norm(y, axis=1))
+        pairs, total = pairs + sum(found[v[0]] for v in own), total + int((c >= 0.95).sum()) - len(own)
+    assert 0.9 * total <= pairs <= total
+
+
 def test_shapes_grow_with_the_table():
     bits = [op8_embeddings.shape(n, 0.1)[0] for n in (10**3, 10**5, 10**7, 10**9)]
     assert bits == sorted(set(bits))
