@@ -26,6 +26,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,6 +48,8 @@ SEGMENT = 4_000_000
 #: Bytes of a WARC file at most (but for its last record).
 FILE_BYTES = 32 << 20
 MIN_BYTES = 0
+#: What is taken for a page_id; a foreign archive may hold anything there.
+PAGE_ID = re.compile(r"-?[0-9]{1,18}")
 
 
 def base32(data: bytes) -> str:
@@ -71,9 +74,22 @@ def arc_record(url: str, ip: str, date: str, content_type: str, content: bytes,
     return _arc_line(values, version) + content + b"\n"
 
 
+def inflated(data: bytes) -> bytes:
+    """The bytes of an ARC file whose records are gzip members, or data itself."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        out.append(member.decompress(data))
+        if not member.eof:
+            raise ValueError("a gzip member of an ARC file does not end")
+        data = member.unused_data
+    return b"".join((*out, data))
+
+
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, content) of each record, the version block first. Field names are the file's own."""
-    names, at = ARC_FIELDS[1].split(" "), 0
+    """(fields, content) of each record, the version block first. Field names are the file's own. Files may be
+    compressed record by record; spaces beyond the fields belong to the URL, which is the first of them."""
+    names, at, data = ARC_FIELDS[1].split(" "), 0, inflated(data)
     while at < len(data):
         end = data.find(b"\n", at)
         if end < 0:
@@ -93,14 +109,17 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             names = lines[1].strip().split(" ")
             yield dict(zip((ARC_FIELDS[1] if len(values) == 5 else ARC_FIELDS[2]).split(" "), values)) | {"version": lines[0].split(" ")[0]}, content
         else:
+            more = max(len(values) - len(names), 0)
+            values = [" ".join(values[:more + 1]), *values[more + 1:]]
             if len(values) != len(names):
                 raise ValueError(f"an ARC record at byte {at} has {len(values)} fields, not {len(names)}")
             yield dict(zip(names, values)), content
         at = end + 1 + size
 
 
-def pages_to_arc(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "20200101000000", segment: int = SEGMENT) -> DataFrame:
-    """arc: segments of ARC records, versions 1 and 2 in turn, each an HTTP answer that holds a page."""
+def pages_to_arc(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "20200101000000", segment: int = SEGMENT, name: str = "part") -> DataFrame:
+    """arc: segments of ARC records, versions 1 and 2 in turn, each an HTTP answer that holds a page. Record ids
+    derive from the archives' names: give each corpus a `name` of its own."""
     def pack(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -108,7 +127,7 @@ def pages_to_arc(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
 
         def out() -> pd.DataFrame:
             version = number % 2 + 1
-            return pd.DataFrame({"arc": [b"".join([arc_header(f"part-{part}-{number}.arc", version, date), *(arc_record(u, "0.0.0.0", date, "text/html", c, version) for u, c in held)])]})
+            return pd.DataFrame({"arc": [b"".join([arc_header(f"{name}-{part}-{number}.arc", version, date), *(arc_record(u, "0.0.0.0", date, "text/html", c, version) for u, c in held)])]})
 
         for frame in rows:
             for i, u, h in zip(frame["page_id"].tolist(), frame["url"].tolist(), frame["html"].tolist()):
@@ -158,10 +177,10 @@ def warc_records(arcs: DataFrame, arc: str = "arc") -> DataFrame:
                         head, payload = content[:cut + 4], content[cut + 4:]
                     else:
                         kind, mime = "resource", f["Content-type"]
-                    page = _header(head, "X-Page-Id")
+                    page = _header(head, "X-Page-Id") or ""
                     digest = base32(payload)
                     ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{archive} {place} {uri} {date} {digest}")
-                    out.append((kind, f"<urn:uuid:{ident}>", uri, f["IP-address"], date, mime, None if page is None else int(page), head, payload, base64.b32decode(digest).hex(), digest, len(payload), base32(content), base32(head), len(head)))
+                    out.append((kind, f"<urn:uuid:{ident}>", uri, f["IP-address"], date, mime, int(page) if PAGE_ID.fullmatch(page) else None, head, payload, base64.b32decode(digest).hex(), digest, len(payload), base32(content), base32(head), len(head)))
                 frame_out = pd.DataFrame(out, columns=[c.split(" ")[0] for c in RECORD.split(", ")])
                 frame_out["page_id"] = frame_out["page_id"].astype("Int64")
                 yield frame_out

@@ -164,3 +164,24 @@ def test_workers_forget(monkeypatch):
     v.forget()
     e.forget()
     assert not v.words and not v.pieces and not e.plain and v.held == e.held == 0
+
+
+def test_arc_as_old_crawlers_wrote_it(spark):
+    head = op9_warc.arc_header("old.arc", 1, "19990101000000")
+    page = b"HTTP/1.0 200 OK\r\nX-Page-Id: not a number\r\n\r\n<p>old</p>"
+    records = [op9_warc.arc_record("http://h/a", "1.2.3.4", "19990101000000", "text/html", page, 1).replace(b"http://h/a", b"http://h/a b  c"), op9_warc.arc_record("http://h/z", "1.2.3.4", "199901010000", "text/plain", b"bare", 1)]
+    plain = head + b"".join(records)
+    zipped = b"".join(gzip.compress(part) for part in (head, *records))
+    for data in (plain, zipped):
+        got = list(op9_warc.parse_arc(data))
+        assert [f["URL"] for f, _ in got] == ["filedesc://old.arc", "http://h/a b  c", "http://h/z"] and [c for _, c in got[1:]] == [page, b"bare"]
+    with pytest.raises(ValueError, match="gzip member"):
+        list(op9_warc.parse_arc(zipped[:-4]))
+    rows = op9_warc.warc_records(spark.createDataFrame([(zipped,)], "arc binary")).collect()
+    assert [(r["type"], r["page_id"], r["uri"]) for r in rows] == [("warcinfo", None, "filedesc://old.arc"), ("response", None, "http://h/a b  c"), ("resource", None, "http://h/z")]
+
+
+def test_record_ids_differ_by_corpus(spark):
+    pages = spark.createDataFrame([(1, "http://h/1", "x")], "page_id long, url string, html string")
+    ids = lambda name: {r["record_id"] for r in op9_warc.warc_records(op9_warc.pages_to_arc(pages, name=name)).collect()}
+    assert ids("one") == ids("one") and not ids("one") & ids("two")
