@@ -119,7 +119,7 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 def read_shards(names: dict[bytes, int], piece: int = PIECE, batch: int = BATCH):
-    """Rows in order of (path, conv_id) to what their shards say (SAID)."""
+    """Rows (path, conv_id, sizes, shard) in order of (path, conv_id), of any shards, to what these say (SAID)."""
     columns = [c.split()[0] for c in SAID.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,9 +148,14 @@ def read_shards(names: dict[bytes, int], piece: int = PIECE, batch: int = BATCH)
             parent.waiting.append((node.low, depth, None, node.n, node.children, leaves, saved, None, digest))
             out.extend((NODE, None, low, d, node.low, *rest) for low, d, _, *rest in node.waiting)
 
-        before = b""
+        before, at = b"", None
         for frame in frames:
-            for path, conv, sizes in zip(frame["path"], frame["conv_id"], frame["sizes"]):
+            for path, conv, sizes, shard in zip(frame["path"], frame["conv_id"], frame["sizes"], frame["shard"]):
+                if shard != at:  # the shards between may be another task's: a piece of ids ends here
+                    for node in open_:
+                        if node.at is not None and node.ends:
+                            hand_on(node)
+                    at = shard
                 depth = len(path) // KEY
                 if not open_:
                     open_.append(_Open(names[b""], 0))
@@ -238,7 +243,7 @@ def prefix_trie(paths: DataFrame, tasks: int | None = None, split_turns: int = S
             yield pd.Series([bisect_right(cuts, (bytes(a), int(b))) for a, b in zip(p, c)], dtype="int32")
 
     dealt = paths.withColumn("shard", shard_of("path", "conv_id")).repartition(tasks, "shard").sortWithinPartitions("path", "conv_id")
-    said = stash(dealt.select("path", "conv_id", "sizes").mapInPandas(read_shards(names), SAID), "said")
+    said = stash(dealt.select("path", "conv_id", "sizes", "shard").mapInPandas(read_shards(names), SAID), "said")
     sums = [F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")]
     shares = said.where(F.col("kind") == SHARE).groupBy("at").agg(F.min("conv_id").alias("conv_id"), F.max("bytes").alias("bytes"), *sums).collect()
     top = spark.createDataFrame(rolled_up(shares, names), "at int, conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long")

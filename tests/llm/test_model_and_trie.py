@@ -209,7 +209,7 @@ def test_hard_negatives_are_all_found(spark):
     rows = [(i, [float(x) for x in centres[i % 6] + rng.normal(scale=0.7, size=12)], int(rng.integers(0, 4))) for i in range(300)]
     rows += [(1000 + i, rows[20][1], i % 2) for i in range(60)] + [(20, rows[20][1], rows[20][2])]  # copies, and a repeated row
     rows += [(2000, None, 1), (2001, rows[1][1], None), (2002, [float("nan")] * 12, 1), (2003, [None] * 12, 1), (2004, [float("inf")] * 12, 1), (None, rows[3][1], 2), (None, rows[3][1], 3)]
-    rows += [(2010 + i, [], i % 2) for i in range(4)] + [(2020 + 10 * i, [1.0 + i, 2.0, -1.0], i % 2) for i in range(8)] + [(2200 + 10 * i, [1e8 * (i + 1)] * 12, i % 2) for i in range(4)]
+    rows += [(2010 + i, [], i % 2) for i in range(4)] + [(2020 + 10 * i, [1.0 + i, 2.0, -1.0], i % 2) for i in range(8)] + [(2200 + 10 * i, [5e5 * (i + 1)] * 12, i % 2) for i in range(4)]
     df = spark.createDataFrame(rows, VECTORS).withColumn("w", F.lit(1)).coalesce(1)
     want = plain_negatives(rows, 10)
     assert len(want) > 1000
