@@ -288,7 +288,11 @@ def search(anchors: DataFrame, rows: DataFrame, index: Index, same: bool, keep:
     cell = ["dim", "i", "j", "part"]
 
     def visited(asked: DataFrame) -> DataFrame:
-        near = rows.withColumn("tile", F.lit(0)) if tiles == 1 else rows.join(asked.select(*cell, "tile").distinct(), cell)
+        if tiles == 1:
+            near = rows.withColumn("tile", F.lit(0))
+        else:
+            asked = stash(asked, "requests")
+            near = rows.join(asked.select(*cell, F.col("tile").alias("t")).distinct(), cell).withColumnRenamed("t", "tile")
         key = [*cell, "tile"]
         return asked.groupBy(*key).cogroup(near.select(*key, "nth", "vec_id", "label", "wide", "q").groupBy(*key)).applyInPandas(score_blocks(same, keep), FOUND)
 
