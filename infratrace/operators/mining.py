@@ -176,7 +176,9 @@ def search_candidates(results: DataFrame, allowlist: DataFrame, query: str = "qu
     told = told.join(allowed, "canonical", "left")
     gate = F.when(F.col("canonical").isNull(), "invalid_url").when(F.col("allowed").isNull(), "outside_allowlist").otherwise("candidate")
     told = told.withColumn("_gate", gate)
-    nth = F.row_number().over(Window.partitionBy("canonical", "_gate").orderBy(query, pos))
+    # only candidates are numbered; others, among them all addresses without a canonical form, are spread
+    spread = F.when(F.col("_gate") != "candidate", F.xxhash64(query, pos))
+    nth = F.row_number().over(Window.partitionBy("canonical", "_gate", spread).orderBy(query, pos))
     status = F.when((F.col("_gate") == "candidate") & (nth > 1), "duplicate").otherwise(F.col("_gate"))
     told = told.withColumn("status", status).withColumn("publisher", T.url_host(F.col("canonical")))
     return told.withColumn("candidate_id", F.when(F.col("status") == "candidate", F.concat(F.lit("cti-candidate-"), F.substring(sha256_text(F.col("canonical")), 1, 16)))).drop("allowed", "_gate")
