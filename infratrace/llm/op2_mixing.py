@@ -32,7 +32,7 @@ from .common import WORD, source_order, stash, table
 WEIGHTS, TOTAL, MAX_EPOCHS = (3, 1, 2), 1.5, 2
 #: Words of a piece of the copy that a source serves when the mix ends.
 PIECE = 16
-#: Hash ranges of a source, and ranges of finish time up to the end of the mix.
+#: Hash ranges of a source; ranges of finish time up to the end of the mix, and in each doubling of it.
 RANGES, BINS = 1024, 8192
 SEED = "mix"
 
@@ -93,12 +93,16 @@ def copies(queued: DataFrame, max_epochs: int = MAX_EPOCHS, piece: int = PIECE)
 
 def mix(queued: DataFrame, max_epochs: int = MAX_EPOCHS, bins: int = BINS, piece: int = PIECE) -> DataFrame:
     """The mix: nth, kept, epoch, part, finish, words taken and position (words of the mix before it)."""
-    served = copies(queued, max_epochs, piece).withColumn("bin", F.floor(F.col("finish") * bins))
+    finish = F.col("finish")
+    # beyond the end of the mix a range is as long as it is late, so a source that is far from its target makes few
+    place = F.when(finish < 1, F.floor(finish * bins)).otherwise(bins + F.floor(F.log2(finish) * bins))
+    served = copies(queued, max_epochs, piece).withColumn("bin", place)
     sums = served.groupBy("bin").agg(F.sum("words").alias("held"))
     earlier = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("bin", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"))
     within = Window.partitionBy("bin").orderBy("finish", "source", "key", "nth", "epoch", "part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = served.withColumn("inside", F.coalesce(F.sum("words").over(within), F.lit(0))).join(base, "bin")
+    placed = served.join(base, "bin").where("base < budget")  # ranges that begin after the end are not ordered
+    placed = placed.withColumn("inside", F.coalesce(F.sum("words").over(within), F.lit(0)))
     placed = placed.withColumn("position", F.col("base") + F.col("inside")).where("position < budget")
     return placed.select("nth", "kept", "epoch", "part", "finish", F.least("words", F.col("budget") - F.col("position")).alias("words"), "position")
 

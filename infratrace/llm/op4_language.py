@@ -5,9 +5,10 @@ filter keeps its largest answer, and a softmax over those gives the languages of
 network is trained here, in numpy with Adam, on windows of labelled texts. A whole text is cut into
 windows from end to end; its answer is the mean of their log probabilities.
 
-Training takes at most SAMPLE_ROWS different labelled texts, shared evenly among at most MAX_LANGS
-languages and chosen by a hash of the text, and TRAIN_WINDOWS windows spread over each whole text; these
-bounds do not grow with the table and keep the training in the driver small. Everything else covers all rows. Since filters
+Training takes at most SAMPLE_ROWS different labelled texts, shared evenly among the languages and chosen
+by a hash of the text, one for each language if there are more of them, and TRAIN_WINDOWS windows spread over
+each whole text; these bounds do not grow with the table and keep the training in the driver small. All languages
+are learned (MAX_LANGS is above their number). Everything else covers all rows. Since filters
 are linear in the bytes they see, their answers for every pair of bytes are tabled once in a worker.
 
 Null texts and texts without a letter are `und` with score 0, as is everything if no labelled text
@@ -32,8 +33,9 @@ from .common import bound_batches, table
 #: Labelled rows to learn from at most, windows from each, and batches seen in training, as many for
 #: little text as for much.
 SAMPLE_ROWS, TRAIN_WINDOWS, STEPS = 2400, 3, 450
-#: Languages that are learned at most: those of the most texts, so that a dirty label column stays small.
-MAX_LANGS = 256
+#: Labels that are learned at most: more than there are codes of languages, so none is left out. In a column that
+#: holds more, which names other things too, those of the most texts are.
+MAX_LANGS = 8192
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4)
 NONE = "und"
 #: Bytes that are worked on at once.
@@ -112,9 +114,9 @@ class Network:
         self.third = np.ascontiguousarray(one[3, 2])
         self.offset = np.concatenate([self.p[f"b{w}"] for w in WIDTHS])
 
-    def log_probabilities(self, x: np.ndarray) -> np.ndarray:
-        """Of each language for each window."""
-        out, f, step = [], FILTERS, max(1, CHUNK // WINDOW)
+    def log_probabilities(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Of each language for each window, with the first window's place, some windows at a time."""
+        f, step = FILTERS, max(1, CHUNK // WINDOW)
         for at in range(0, len(x), step):
             part = x[at:at + step]
             codes = part[:, :-1].astype(np.int32) << 8 | part[:, 1:]
@@ -125,16 +127,19 @@ class Network:
             h = np.maximum(np.concatenate((two, three, four), axis=1) + self.offset, 0)
             z = (h @ self.p["dense"] + self.p["bias"]).astype(np.float64)
             z -= z.max(axis=1, keepdims=True)
-            out.append(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))
-        return np.concatenate(out)
+            yield at, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         cut = [windows(x.encode("utf-8")) for x in texts]
         if not cut:
             return []
-        starts = np.cumsum([0, *(len(c) for c in cut)])
-        logs = self.log_probabilities(np.concatenate(cut))
-        mean = np.add.reduceat(logs, starts[:-1], axis=0) / np.diff(starts)[:, None]
+        sizes = np.array([len(c) for c in cut])
+        owner, mean = np.repeat(np.arange(len(cut)), sizes), np.zeros((len(cut), len(self.langs)))
+        for at, logs in self.log_probabilities(np.concatenate(cut)):
+            own = owner[at:at + len(logs)]
+            first = np.flatnonzero(np.diff(own, prepend=-1))  # where a text's windows begin
+            mean[own[first]] += np.add.reduceat(logs, first, axis=0)
+        mean /= sizes[:, None]
         q = np.exp(mean - mean.max(axis=1, keepdims=True))
         q /= q.sum(axis=1, keepdims=True)
         best = q.argmax(axis=1)
@@ -149,14 +154,15 @@ def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_r
     """
     usable = labelled.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(text).alias("text"), F.col(lang).alias("lang")).withColumn("h", F.xxhash64("text"))
     known = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    counts = {r["lang"]: max(1, r["n"]) for r in known.collect()}  # max_langs rows at most
+    counts = [(r["lang"], max(1, r["n"])) for r in known.collect()]  # max_langs rows at most
     if not counts:
         return []
     quota = max(1, sample_rows // len(counts))
     draw = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(1.3 * quota / n))])
     spots = [F.substring(F.col("text"), (F.length("text") * k / TRAIN_WINDOWS).cast("int") + 1, F.lit(WINDOW)) for k in range(TRAIN_WINDOWS)]
-    drawn = usable.where(draw < share[F.col("lang")]).groupBy("lang", "h").agg(F.min(F.array(*spots)).alias("spots"))
+    # enough that a language falls short of its quota, or of its one text, with chance 10^-8
+    shares = usable.sparkSession.createDataFrame([(k, max(1.3 * quota, quota + 6 * quota**0.5 + 12) / n) for k, n in counts], "lang string, share double")
+    drawn = usable.join(F.broadcast(shares), "lang").where(draw < F.col("share")).groupBy("lang", "h").agg(F.min(F.array(*spots)).alias("spots"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # over about 1.3 quotas
     rows = drawn.withColumn("place", place).where(F.col("place") <= quota).collect()
     return sorted((r["lang"], list(r["spots"])) for r in rows)

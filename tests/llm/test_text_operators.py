@@ -219,6 +219,24 @@ def test_copies_of_a_text_teach_once(spark):
     assert len({k for k, _ in op4_language.sample(many, max_langs=8)}) == 8
 
 
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"word {i}", f"l{i}") for i in range(3000)] + [(10_000 + i, f"other {i}", "big") for i in range(3000)]
+    drawn = op4_language.sample(docs(spark, rows), sample_rows=600)
+    assert len(drawn) == 3001 and len({k for k, _ in drawn}) == 3001
+
+
+def test_long_texts_have_the_mean_of_their_windows():
+    import numpy as np
+
+    net = op4_language.Network(["a", "b", "c"])
+    net.tables()
+    texts = ["x y z " * 40_000, "short", "b" * 70_000, "end " * 100]
+    for text, (lang, score) in zip(texts, net.predict(texts)):
+        logs = np.concatenate([z for _, z in net.log_probabilities(op4_language.windows(text.encode()))]).mean(axis=0)
+        q = np.exp(logs) / np.exp(logs).sum()
+        assert lang == net.langs[q.argmax()] and abs(score - q.max()) < 1e-5
+
+
 def test_network_tables_match_the_definition():
     import numpy as np
 
@@ -228,7 +246,7 @@ def test_network_tables_match_the_definition():
     pooled = [sum((net.p["embed"] @ net.p[f"f{w}"][k])[x[:, k:op4_language.WINDOW - w + 1 + k]] for k in range(w)).max(axis=1) + net.p[f"b{w}"] for w in op4_language.WIDTHS]
     z = np.maximum(np.concatenate(pooled, axis=1), 0) @ net.p["dense"] + net.p["bias"]
     want = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-    assert np.allclose(net.log_probabilities(x), want, atol=1e-4)
+    assert np.allclose(np.concatenate([z for _, z in net.log_probabilities(x)]), want, atol=1e-4)
 
 
 # -- 5 secrets ------------------------------------------------------------------------------------
