@@ -28,17 +28,31 @@ PATTERNS = {
 }
 
 
+#: What a text holds that has a find of the scope; the rest is not searched by the scope's pattern.
+TRIGGERS = {"ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "email": lambda t: F.contains(t, F.lit("@")), "url": lambda t: F.contains(t, F.lit("//")), "domain": lambda t: F.contains(t, F.lit("."))}
+#: Scopes that are whole runs of hexadecimal digits, by length: one pass finds them all.
+RUNS = {"hash_md5": 32, "hash_sha1": 40, "hash_sha256": 64}
+
+
 def mine(docs: DataFrame, scopes: tuple[str, ...] = tuple(PATTERNS), text: str = "text", document_id: str = "document_id", patterns: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """document_id, scope, pos (of the find within its scope, from 0) and raw_form of every find, and the
-    `keep` columns of its document."""
-    use = {**PATTERNS, **(patterns or {})}
+    `keep` columns of its document. Hashes of all lengths are found in one pass; other scopes search only texts
+    that hold what a find cannot be without. `patterns` are searched as they are."""
+    own, none = patterns or {}, F.array().cast("array<string>")
+    kept = F.struct(F.lit(0).alias("_"), *keep).alias("_keep")
+    rows = docs.select(F.col(document_id).alias("document_id"), kept, F.col(text).alias("_text"))
+    if any(s in RUNS and s not in own for s in scopes):
+        rows = rows.withColumn("_runs", F.coalesce(F.regexp_extract_all("_text", F.lit(f"[0-9a-fA-F]{{{min(RUNS.values())},}}"), 0), none))
 
     def finds(scope: str) -> Column:
-        hits = F.coalesce(F.regexp_extract_all(F.col(text), F.lit(use[scope]), 0), F.array().cast("array<string>"))
+        if scope in RUNS and scope not in own:
+            hits = F.filter("_runs", lambda v: F.length(v) == RUNS[scope])
+        else:
+            hits = F.regexp_extract_all(F.col("_text"), F.lit(own.get(scope) or PATTERNS[scope]), 0)
+            hits = F.coalesce(hits if scope in own else F.when(TRIGGERS[scope](F.col("_text")), hits), none)
         return F.transform(hits, lambda v, i: F.struct(F.lit(scope).alias("scope"), i.alias("pos"), v.alias("raw_form")))
 
-    found = [finds(s) for s in scopes]
-    return docs.select(F.col(document_id).alias("document_id"), *keep, F.explode(F.concat(*found)).alias("f")).select("document_id", "f.*", *keep)
+    return rows.select("document_id", "_keep", F.explode(F.concat(*map(finds, scopes))).alias("f")).select("document_id", "f.*", *[F.col("_keep").getField(k).alias(k) for k in keep])
 
 
 def mine_with(docs: DataFrame, extract: Callable[[str], list[tuple]], text: str = "text", document_id: str = "document_id") -> DataFrame:

@@ -78,12 +78,13 @@ def render(clauses: DataFrame, by: str = "design_id") -> DataFrame:
 def match_rules(observations: DataFrame, clauses: DataFrame, entity: str = "observation_id") -> DataFrame:
     """design_id and entity of every match: all required clauses, one alternative if there are any, no
     exclusion. observations: entity, query_field, canonical_value. Clauses meet observations on field
-    and value, so only rows that some clause names are grouped."""
+    and value, so only rows that some clause names are grouped, and once: the required clauses that an
+    entity has are a set no larger than its rule, which is combined before the shuffle."""
     own = clauses.select("design_id", "clause_id", "logical_role", "query_field", "canonical_value").distinct()
     is_role = lambda r: F.col("logical_role") == r
     needs = own.groupBy("design_id").agg(F.count_if(is_role("required")).alias("n_required"), F.count_if(is_role("alternative")).alias("n_alternative"))
-    hits = observations.join(own, ["query_field", "canonical_value"]).select("design_id", entity, "clause_id", "logical_role").distinct()
-    got = hits.groupBy("design_id", entity).agg(F.count_if(is_role("required")).alias("required"), F.bool_or(is_role("alternative")).alias("alternative"), F.bool_or(is_role("exclusion")).alias("excluded"))
+    hits = observations.join(own, ["query_field", "canonical_value"])
+    got = hits.groupBy("design_id", entity).agg(F.size(F.collect_set(F.when(is_role("required"), F.col("clause_id")))).alias("required"), F.bool_or(is_role("alternative")).alias("alternative"), F.bool_or(is_role("exclusion")).alias("excluded"))
     ok = (F.col("required") == F.col("n_required")) & ((F.col("n_alternative") == 0) | F.col("alternative")) & ~F.col("excluded") & (F.col("n_required") + F.col("n_alternative") > 0)
     return got.join(needs, "design_id").where(ok).select("design_id", entity)
 

@@ -37,6 +37,19 @@ def mine_domain(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("block_reason", T.domain_block_reason(F.col("value")))
 
 
+def _reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and raw pages, each with hashes and a link of its own."""
+    d, p = table(spark, folder, "documents"), table(spark, folder, "pages")
+    rows = d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"), "text").unionAll(p.select(F.concat(F.lit("page-"), F.col("page_id").cast("string")), "html"))
+    name = F.col("document_id")
+    return rows.select("document_id", F.concat_ws(" ", "text", F.md5(name.cast("binary")), F.upper(F.sha2(name.cast("binary"), 256)), F.concat(F.lit("hxxps://"), name, F.lit(".example.org/a?b=1"))).alias("text"))
+
+
+def mine_scopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Finds of every scope in documents and pages, in one pass over their texts."""
+    return mining.mine(_reports(spark, folder))
+
+
 def _mined_sql(scope: str, pattern: str, lookaround: tuple[str, str], valid: str, value: str = "lower(raw_form)") -> str:
     """DuckDB's expressions have no look-around: one character on each side is matched and cut off
     again, which finds the same as long as finds do not touch."""
@@ -270,7 +283,7 @@ _BLOCKED = rf"""case when domain = '' then 'empty_domain' when not contains(doma
   when list_contains(['{_FILES}'], string_split(domain, '.')[-1]) then 'filelike_domain' when list_has_any(['{_MALWARE}'], string_split(domain, '.')) then 'malware_label_domain' else '' end"""
 
 QUERIES = {
-    "mine_ipv4": _mined("ip"), "mine_email": _mined("email"), "mine_sha1": _mined("hash_sha1"), "mine_domain": mine_domain,
+    "mine_ipv4": _mined("ip"), "mine_email": _mined("email"), "mine_sha1": _mined("hash_sha1"), "mine_domain": mine_domain, "mine_scopes": mine_scopes,
     "refang_defang_roundtrip": refang_defang_roundtrip, "verify_funnel": verify_funnel, "indicator_ids": indicator_ids, "mention_ids": mention_ids, "public_ids": public_ids,
     "url_canonical": url_canonical, "allowlist_filter": allowlist_filter, "domain_block_reason": domain_block_reason, "search_dedupe_rank": search_dedupe_rank,
     "publication_precision": publication_precision, "html_main_text": html_main_text, "extract_and_verify": extract_and_verify, "independent_sources": independent_sources, "estimated_sources": estimated_sources, "address_forms": address_forms, "error_classes": error_classes,
@@ -293,6 +306,18 @@ judged as (select *, case when scope = 'email' or {_IP_OK} then case when page_i
 told as (select *, case when gate = 'verified' and row_number() over (partition by page_id, scope, raw_form order by pos) > 1 then 'duplicate' else gate end as status from judged)
 select page_id::varchar as document_id, scope, pos::int as pos, raw_form, raw_form as value, status, case when status in ('verified', 'duplicate') then 'ioc-' || sha256(scope || '|' || raw_form)[1:20] end as indicator_id,
   'html_or_text' as document_format, 'html_main' as text_extractor, sha256(text) as text_sha256, len(text)::int as text_chars from told""",
+    "mine_scopes": rf"""
+with reports as (
+  select document_id, concat_ws(' ', text, md5(document_id), upper(sha256(document_id)), 'hxxps://' || document_id || '.example.org/a?b=1') as text
+  from (select 'doc-' || doc_id as document_id, text from documents union all select 'page-' || page_id, html from pages)),
+found as (
+  select document_id, 'ip' as scope, regexp_extract_all(' ' || regexp_replace(text, '([^0-9.])', '\1\1', 'g') || ' ', '[^0-9.]((?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}})[^0-9.]', 1) as h from reports
+  union all select document_id, 'email', regexp_extract_all(text, '{_EMAIL}') from reports
+  union all select document_id, 'url', regexp_extract_all(text, '(?i)\bh(?:tt|xx)ps?(?:\[:\]|:)//[^\s"''<>]+') from reports
+  union all select document_id, 'domain', regexp_extract_all(' ' || regexp_replace(text, '([^@\w.\-])', '\1\1', 'g') || ' ', '(?i)[^@\w.\-]((?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z][a-z0-9-]{{1,62}})[^\w@\-]', 1) from reports
+  union all select document_id, 'hash_' || name, regexp_extract_all(' ' || regexp_replace(text, '([^0-9a-fA-F])', '\1\1', 'g') || ' ', '[^0-9a-fA-F]([0-9a-fA-F]{{' || digits || '}})[^0-9a-fA-F]', 1)
+  from reports, (values ('md5', 32), ('sha1', 40), ('sha256', 64)) t(name, digits))
+select document_id, scope, (generate_subscripts(h, 1) - 1)::int as pos, unnest(h) as raw_form from found""",
     "mine_domain": rf"""
 with apart as (select page_id, ' ' || regexp_replace(html, '([^@\w.\-])', '\1\1', 'g') || ' ' as t from pages),
 hits as (select page_id, regexp_extract_all(t, '(?i)[^@\w.\-]((?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z][a-z0-9-]{{1,62}})[^\w@\-]', 1) as h from apart),
