@@ -77,16 +77,25 @@ def render(clauses: DataFrame, by: str = "design_id") -> DataFrame:
 
 def match_rules(observations: DataFrame, clauses: DataFrame, entity: str = "observation_id") -> DataFrame:
     """design_id and entity of every match: all required clauses, one alternative if there are any, no
-    exclusion. observations: entity, query_field, canonical_value. Clauses meet observations on field
-    and value, so only rows that some clause names are grouped, and once: the required clauses that an
-    entity has are a set no larger than its rule, which is combined before the shuffle."""
+    exclusion. observations: entity, query_field, canonical_value.
+
+    Required clauses meet observations on field and value first; only for their hits are the entity's
+    other observations looked up among the rule's alternatives and exclusions. Rules that require
+    nothing begin with their alternatives."""
     own = clauses.select("design_id", "clause_id", "logical_role", "query_field", "canonical_value").distinct()
     is_role = lambda r: F.col("logical_role") == r
     needs = own.groupBy("design_id").agg(F.count_if(is_role("required")).alias("n_required"), F.count_if(is_role("alternative")).alias("n_alternative"))
-    hits = observations.join(own, ["query_field", "canonical_value"])
-    got = hits.groupBy("design_id", entity).agg(F.size(F.collect_set(F.when(is_role("required"), F.col("clause_id")))).alias("required"), F.bool_or(is_role("alternative")).alias("alternative"), F.bool_or(is_role("exclusion")).alias("excluded"))
-    ok = (F.col("required") == F.col("n_required")) & ((F.col("n_alternative") == 0) | F.col("alternative")) & ~F.col("excluded") & (F.col("n_required") + F.col("n_alternative") > 0)
-    return got.join(needs, "design_id").where(ok).select("design_id", entity)
+    told, on = own.join(needs, "design_id"), ["query_field", "canonical_value"]
+    required = told.where(is_role("required"))
+    hits = observations.join(required, on).select("design_id", entity, "clause_id", "n_required", "n_alternative").distinct()
+    first = hits.groupBy("design_id", entity).agg(F.count("*").alias("n"), F.first("n_required").alias("n_required"), F.first("n_alternative").alias("n_alternative")).where("n = n_required").select("design_id", entity, "n_alternative")
+    free = observations.join(told.where(is_role("alternative") & (F.col("n_required") == 0)), on).select("design_id", entity, "n_alternative").distinct()
+    begun = first.unionAll(free)
+    others = own.where(~is_role("required")).select("design_id", *on, "logical_role")
+    found = begun.select("design_id", entity).join(observations, entity).join(others, ["design_id", *on]).select("design_id", entity, F.lit(None).cast("long").alias("n_alternative"), "logical_role")
+    every = begun.withColumn("logical_role", F.lit("begun")).unionAll(found)
+    got = every.groupBy("design_id", entity).agg(F.max("n_alternative").alias("n"), F.bool_or(is_role("alternative")).alias("alternative"), F.bool_or(is_role("exclusion")).alias("excluded"))
+    return got.where(((F.col("n") == 0) | F.col("alternative")) & ~F.col("excluded")).select("design_id", entity)
 
 
 def budgeted(rows: DataFrame, run: str, order: list[str], most: int) -> DataFrame:
