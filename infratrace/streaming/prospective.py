@@ -133,73 +133,25 @@ def first_candidates(events: DataFrame, path: str, key: list[str], checkpoint: s
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-class SlotProcessor(StatefulProcessor):
-    """One slot: missed once the watermark has passed its window and no complete execution came in it. Executions
-    that end at or after the window are late. What is held goes `grace_ms` after the window; executions
-    later than that are of an unknown slot."""
-
-    def __init__(self, grace_ms: int):
-        self.grace_ms = grace_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.slot = handle.getValueState("slot", "window_end timestamp, hit boolean, told boolean")
-        self.early = handle.getListState("early", "executed_at timestamp, status string")  # before their slot
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        end, hit, told = self.slot.get() if self.slot.exists() else (None, False, False)
-        runs = [tuple(r) for r in self.early.get()] if self.early.exists() else []
-        for frame in rows:
-            for at, until, status in zip(frame["executed_at"], frame["window_end"], frame["status"]):
-                if not pd.isna(until) and end is None:
-                    end = until.to_pydatetime()
-                elif not pd.isna(at):
-                    runs.append((at.to_pydatetime(), status))
-        if end is None:
-            self.early.put(runs)
-            return
-        self.early.clear()
-        out = []
-        for at, status in runs:
-            late = pd.Timestamp(at) >= pd.Timestamp(end)
-            hit = hit or status == "complete" and not late
-            if late:
-                out.append((key[0], "late", pd.Timestamp(at)))
-        self.slot.update((end, hit, told))
-        close = pd.Timestamp(end).ceil("ms").value // 1_000_000
-        if not told:
-            self.handle.registerTimer(close)
-        self.handle.registerTimer(close + self.grace_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["opportunity_id", "status", "at"])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if not self.slot.exists():
-            return
-        end, hit, told = self.slot.get()
-        close = pd.Timestamp(end).ceil("ms").value // 1_000_000
-        if not told and timerValues.getCurrentWatermarkInMs() >= close:
-            self.slot.update((end, hit, True))
-            if not hit:
-                yield pd.DataFrame([(key[0], "missed", pd.Timestamp(end))], columns=["opportunity_id", "status", "at"])
-        if timerValues.getCurrentWatermarkInMs() >= close + self.grace_ms:
-            self.slot.clear()
-
-    def close(self) -> None:
-        pass
-
-
 def streaming_slots(opportunities: DataFrame, executions: DataFrame, delay: str = "1 hour", grace: str = "7 days") -> DataFrame:
     """opportunity_id, status, at from streams of opportunities (opportunity_id, due_at, window_end) and
-    executions (opportunity_id, executed_at, status): `missed` (at the window's end) from a timer of the slot, `late`
-    for each execution after it."""
+    executions (opportunity_id, executed_at, status): `missed` (at the window's end) once the watermark has passed
+    the window and no complete execution came in it, `late` for each execution after it.
+
+    Both are joins of the streams, whose state Spark keeps: a slot for `grace` after its window, and
+    executions after that are of an unknown slot. Executions may come before their slot, so complete ones are
+    kept. The watermark is the earlier of the two streams': each must move on for windows to end."""
+    grace = f"interval {int(pd.Timedelta(grace).total_seconds() * 1000)} milliseconds"
     t = lambda c: F.col(c).cast("timestamp")
-    null = lambda kind: F.lit(None).cast(kind)
-    one = opportunities.select("opportunity_id", t("due_at").alias("seen_at"), t("window_end").alias("window_end"), null("timestamp").alias("executed_at"), null("string").alias("status"))
-    two = executions.select("opportunity_id", t("executed_at").alias("seen_at"), null("timestamp").alias("window_end"), t("executed_at").alias("executed_at"), "status")
-    rows = one.withWatermark("seen_at", delay).unionByName(two.withWatermark("seen_at", delay))
-    processor = SlotProcessor(int(pd.Timedelta(grace).total_seconds() * 1000))
-    return rows.groupBy("opportunity_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType="opportunity_id string, status string, at timestamp", outputMode="Append", timeMode="EventTime")
+    slots = opportunities.select("opportunity_id", t("window_end").alias("window_end")).withWatermark("window_end", delay)
+    # a slot that comes again before its window has ended is the same slot; after that it is behind the watermark
+    slots = slots.dropDuplicatesWithinWatermark(["opportunity_id"])
+    runs = executions.select(F.col("opportunity_id").alias("_slot"), t("executed_at").alias("executed_at"), "status").withWatermark("executed_at", delay)
+    own = F.col("opportunity_id") == F.col("_slot")
+    hits = slots.join(runs.where("status = 'complete'"), own & (F.col("executed_at") < F.col("window_end")), "left")
+    missed = hits.where("_slot is null").select("opportunity_id", F.lit("missed").alias("status"), F.col("window_end").alias("at"))
+    after = slots.join(runs, own & (F.col("executed_at") >= F.col("window_end")) & (F.col("executed_at") <= F.col("window_end") + F.expr(grace)))
+    return missed.unionByName(after.select("opportunity_id", F.lit("late").alias("status"), F.col("executed_at").alias("at")))
 
 
 class EpochProcessor(StatefulProcessor):

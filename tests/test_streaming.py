@@ -155,3 +155,15 @@ def test_page_files_as_a_stream(spark, tmp_path):
     assert len(ports) == 4 and {p[1] for p in ports} == {22, 443}
     refused = [(r["query_run_id"], r["reason"]) for r in spark.read.parquet(f"{tmp_path}/out/refused").collect()]
     assert refused == [("r3", "q0_other_ip")]
+
+
+def test_slots_that_come_late_or_twice(spark, tmp_path):
+    day = lambda k: T0 + timedelta(days=k)
+    slot, run = "opportunity_id string, due_at timestamp, window_end timestamp", "opportunity_id string, executed_at timestamp, status string"
+    # the second delivery repeats a slot and has one that was due before the watermark, whose window is open
+    for name, schema, deliveries in (("slots", slot, [[("a", day(0), day(40)), ("b", day(0), day(12)), ("d", day(30), day(39))], [("a", day(0), day(40)), ("c", day(1), day(50))], [("end", day(400), day(401))]]), ("runs", run, [[("d", day(35), "complete"), ("b", day(13), "complete")], [("a", day(41), "complete")], [("end", day(400), "failed")]])):
+        for rows in deliveries:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    told = streaming.streaming_slots(streaming.stream_table(spark, f"{tmp_path}/slots", slot, 1), streaming.stream_table(spark, f"{tmp_path}/runs", run, 1))
+    got = sorted((r["opportunity_id"], r["status"], r["at"]) for r in _to_memory(spark, told, "slots_again", f"{tmp_path}/check") if r["opportunity_id"] != "end")
+    assert got == [("a", "late", day(41)), ("a", "missed", day(40)), ("b", "late", day(13)), ("b", "missed", day(12)), ("c", "missed", day(50))]
