@@ -157,54 +157,79 @@ def streaming_slots(opportunities: DataFrame, executions: DataFrame, delay: str
 class EpochProcessor(StatefulProcessor):
     """Epochs of one indicator from rows out of order.
 
-    Rows wait in buckets of time until the watermark has passed their bucket and are then taken in order of
-    (effective_at, collected_at, observation_id). What a batch brings for a bucket is one new entry of a map, so a
-    batch costs what it brings; a timer at the bucket's end reads that bucket only. Rows behind
-    the watermark do not get here: Spark holds them back. Should one of a bucket that was taken before come, it goes
-    to the epoch open at the time, marked late.
+    Rows wait until the watermark has passed their bucket of time and are then taken in order of
+    (effective_at, collected_at, observation_id). What a batch brings is filed in pieces of up to PIECE rows in order of
+    time, each under its first bucket with a timer at that bucket's end, so a batch costs what it brings however
+    many buckets it meets. A piece is read when its timer fires; rows that are not over are filed again by
+    distances that double, so that a row is filed a number of times that grows with the logarithm of its
+    wait. Rows behind the watermark do not get here: Spark holds them back. Should one of a bucket that was taken before
+    come, it goes to the epoch open at the time, marked late.
     """
 
+    #: Rows of a piece.
+    PIECE = 1000
+
     def __init__(self, bucket_ms: int):
         self.bucket_ms = bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket long, nth int", "rows array<struct<effective_at timestamp, collected_at timestamp, observation_id string, ids array<string>>>")
-        self.pieces = handle.getMapState("pieces", "bucket long", "n int")
+        self.waiting = handle.getMapState("waiting", "bucket long, nth long", "rows array<struct<effective_at timestamp, collected_at timestamp, observation_id string, ids array<string>>>")
+        self.filed = handle.getValueState("filed", "pieces long, over long")
         self.open = handle.getValueState("open", "epoch int, held array<string>, taken long")
 
+    def _bucket(self, t: Any) -> int:
+        return pd.Timestamp(t).value // (self.bucket_ms * 1_000_000)
+
+    def _file(self, groups: list[list[tuple]], n: int) -> int:
+        """Files groups of rows, each in order of time; the number of the next piece."""
+        ends = set()
+        for rows in groups:
+            for at in range(0, len(rows), self.PIECE):
+                bucket = self._bucket(rows[at][0])
+                self.waiting.updateValue((bucket, n), (rows[at:at + self.PIECE],))
+                ends.add((bucket + 1) * self.bucket_ms)
+                n += 1
+        for end in ends:
+            self.handle.registerTimer(end)
+        return n
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         epoch, _, taken = self.open.get() if self.open.exists() else (0, [], None)
-        new: dict[int, list] = {}
-        late = []
+        new, late = [], []
         for f in rows:
             for t, c, o, ids in zip(f["effective_at"], f["collected_at"], f["observation_id"], f["ids"]):
-                bucket = t.value // (self.bucket_ms * 1_000_000)
-                if taken is not None and bucket <= taken:
+                if taken is not None and self._bucket(t) <= taken:
                     late.append((key[0], o, t, epoch, True))
                 else:
-                    new.setdefault(bucket, []).append((t.to_pydatetime(), None if pd.isna(c) else c.to_pydatetime(), o, list(ids)))
-        for bucket, own in new.items():
-            n = self.pieces.getValue((bucket,))[0] if self.pieces.containsKey((bucket,)) else 0
-            self.waiting.updateValue((bucket, n), (own,))
-            self.pieces.updateValue((bucket,), (n + 1,))
-            if not n:
-                self.handle.registerTimer((bucket + 1) * self.bucket_ms)
+                    new.append((t.to_pydatetime(), None if pd.isna(c) else c.to_pydatetime(), o, list(ids)))
+        if new:
+            n, over = self.filed.get() if self.filed.exists() else (0, None)
+            self.filed.update((self._file([sorted(new, key=lambda r: r[0])], n), over))
         if late:
             yield pd.DataFrame(late, columns=EPOCHS)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        # timers of a key may come in any order: all buckets that are over are taken, the oldest first
+        # timers of a key may come in any order: the first takes all buckets that are over, the oldest first
         over = timerValues.getCurrentWatermarkInMs() // self.bucket_ms
-        for bucket in sorted(k[0] for k in self.pieces.keys() if k[0] < over):
-            rows = []
-            for n in range(self.pieces.getValue((bucket,))[0]):
-                rows += [tuple(r) for r in self.waiting.getValue((bucket, n))[0]]
-                self.waiting.removeKey((bucket, n))
-            self.pieces.removeKey((bucket,))
-            yield from self._take(key, bucket, rows)
-
-    def _take(self, key: Any, bucket: int, rows: list) -> Iterator[pd.DataFrame]:
+        n, before = self.filed.get()
+        if before == over:
+            return
+        pieces, rows = sorted(k for k in self.waiting.keys() if k[0] < over), []
+        for i, piece in enumerate(pieces):
+            rows += [tuple(r) for r in self.waiting.getValue(piece)[0]]
+            self.waiting.removeKey(piece)
+            # the pieces to come begin there
+            until = pieces[i + 1][0] if i + 1 < len(pieces) else over
+            ready, rows = [r for r in rows if self._bucket(r[0]) < until], [r for r in rows if self._bucket(r[0]) >= until]
+            if ready:
+                yield from self._take(key, ready)
+        groups: dict[int, list] = {}
+        for r in sorted(rows, key=lambda r: r[0]):
+            groups.setdefault((self._bucket(r[0]) - over + 1).bit_length(), []).append(r)
+        self.filed.update((self._file(list(groups.values()), n), over))
+
+    def _take(self, key: Any, rows: list) -> Iterator[pd.DataFrame]:
         epoch, held, _ = self.open.get() if self.open.exists() else (0, [], None)
         held, out = set(held), []
         for t, _, o, ids in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1], r[2])):
@@ -214,7 +239,7 @@ class EpochProcessor(StatefulProcessor):
             else:
                 held |= ids
             out.append((key[0], o, pd.Timestamp(t), epoch, False))
-        self.open.update((epoch, sorted(held), bucket))
+        self.open.update((epoch, sorted(held), self._bucket(out[-1][2])))
         yield pd.DataFrame(out, columns=EPOCHS)
 
     def close(self) -> None:

@@ -167,3 +167,54 @@ def test_slots_that_come_late_or_twice(spark, tmp_path):
     told = streaming.streaming_slots(streaming.stream_table(spark, f"{tmp_path}/slots", slot, 1), streaming.stream_table(spark, f"{tmp_path}/runs", run, 1))
     got = sorted((r["opportunity_id"], r["status"], r["at"]) for r in _to_memory(spark, told, "slots_again", f"{tmp_path}/check") if r["opportunity_id"] != "end")
     assert got == [("a", "late", day(41)), ("a", "missed", day(40)), ("b", "late", day(13)), ("b", "missed", day(12)), ("c", "missed", day(50))]
+
+
+class _State(dict):
+    """A handle, a map and a value in memory, as far as EpochProcessor asks."""
+
+    def __init__(self):
+        self.writes, self.timers, self.value = 0, set(), None
+
+    getMapState = getValueState = lambda self, name, *_: self.setdefault(name, _State())
+    registerTimer = lambda self, at: self.timers.add(at)
+    exists = lambda self: self.value is not None
+    getValue = dict.get
+    containsKey = dict.__contains__
+    removeKey = dict.pop
+    get = lambda self: self.value
+
+    def update(self, value):
+        self.value = value
+
+    def updateValue(self, key, value):
+        self[key], self.writes = value, self.writes + 1
+
+    def getCurrentWatermarkInMs(self):
+        return self.value
+
+
+def test_epochs_file_a_batch_not_its_buckets():
+    import pandas as pd
+
+    hour, base = 3_600_000, int(pd.Timestamp(T0).value // 1_000_000)
+    rng, handle, clock = random.Random(3), _State(), _State()
+    processor = streaming.EpochProcessor(hour)
+    processor.init(handle)
+    rows = [(pd.Timestamp(T0) + pd.Timedelta(minutes=rng.randint(0, 60 * 720)), pd.NaT, f"o{k:03d}", [f"c{rng.randint(0, 3)}"]) for k in range(500)]
+    frame = lambda part: pd.DataFrame(part, columns=["effective_at", "collected_at", "observation_id", "ids"])
+    list(processor.handleInputRows(("i",), iter([frame(rows)]), clock))
+    assert handle["waiting"].writes == 1 and len(handle.timers) == 1  # not one for each of some 360 hours
+    out, steps = [], 0
+    while handle.timers:  # the watermark moves on by an hour
+        steps += 1
+        clock.value = base + steps * hour
+        for at in sorted(t for t in handle.timers if t <= clock.value):
+            handle.timers.discard(at)
+            out += [r for f in processor.handleExpiredTimer(("i",), clock, None) for r in f.itertuples(index=False)]
+    assert not handle["waiting"] and steps <= 722
+    want, epoch, held = [], 0, set()
+    for t, _, o, ids in sorted(rows, key=lambda r: (r[0], r[2])):
+        epoch, held = (epoch + 1, set(ids)) if held and held.isdisjoint(ids) else (epoch, held | set(ids))
+        want.append((o, epoch))
+    assert [(r.observation_id, r.epoch) for r in out] == want
+    assert handle["waiting"].writes < 720  # pieces, by doubling distances
