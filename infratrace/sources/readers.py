@@ -20,6 +20,16 @@ def scan_pages(spark: SparkSession, folder: str, glob: str = "page-*.json", run:
     return raw.select("path", F.regexp_extract("path", run, 1).alias("run_id"), F.regexp_extract("path", number, 1).try_cast("int").alias("page_number"), "page")
 
 
+def page_log(spark: SparkSession, folder: str, stream: bool = False, files_per_trigger: int | None = None) -> DataFrame:
+    """Raw result pages, one JSON document {run_id, page_number, page} a line, as `scan_pages` gives them. Runs of few
+    hits make many pages: a file each costs far more than what it holds."""
+    options = {"recursiveFileLookup": True, **({"maxFilesPerTrigger": files_per_trigger} if files_per_trigger else {})}
+    raw = (spark.readStream if stream else spark.read).format("text").schema("value string").options(**options).load(folder)
+    raw = raw.where(F.trim("value") != "").select(F.input_file_name().alias("path"), F.try_parse_json("value").alias("v"))
+    part = lambda path, kind: F.try_variant_get("v", path, kind)
+    return raw.select("path", part("$.run_id", "string").alias("run_id"), part("$.page_number", "int").alias("page_number"), part("$.page", "variant").alias("page"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """A JSONL log; blank lines are skipped. Broken lines fail if strict, else keep their text in `broken`."""
     if strict:

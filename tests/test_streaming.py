@@ -218,3 +218,21 @@ def test_epochs_file_a_batch_not_its_buckets():
         want.append((o, epoch))
     assert [(r.observation_id, r.epoch) for r in out] == want
     assert handle["waiting"].writes < 720  # pieces, by doubling distances
+
+
+def test_page_logs_give_what_page_files_give(spark, tmp_path):
+    import json
+
+    from infratrace.sources import readers
+
+    pages = [("r1", 1, {"result": {"hits": [{"ip": "8.8.8.8", "note": "a\nb"}], "next_page_token": "t"}}), ("r1", 12, {"hits": []}), ("r2", 1, {"é": None})]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.jsonl").write_text("".join(json.dumps({"run_id": r, "page_number": n, "page": p}) + "\n\n" for r, n, p in pages) + "no json\n")
+    for r, n, p in pages:
+        (tmp_path / "files" / r).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "files" / r / f"page-{n:03d}.json").write_text(json.dumps(p))
+    rows = lambda df: sorted(tuple(r) for r in df.where("run_id is not null").selectExpr("run_id", "page_number", "to_json(page)").collect())
+    want = rows(readers.scan_pages(spark, f"{tmp_path}/files"))
+    assert len(want) == 3 and rows(readers.page_log(spark, f"{tmp_path}/log")) == want
+    told = readers.page_log(spark, f"{tmp_path}/log", stream=True).selectExpr("run_id", "page_number", "to_json(page) as page").where("run_id is not null")
+    assert sorted(map(tuple, _to_memory(spark, told, "log_out", f"{tmp_path}/check"))) == want
