@@ -43,14 +43,15 @@ def classify(batch: DataFrame, stored: DataFrame, key: list[str], earliest: str
     return told.withColumn("action", action).select(*batch.columns, "action")
 
 
-def append(batch: DataFrame, path: str, key: list[str], earliest: str | None = None, partition_by: list[str] | None = None, indexed: bool = True) -> DataFrame:
+def append(batch: DataFrame, path: str, key: list[str], earliest: str | None = None, partition_by: list[str] | None = None, indexed: bool = True, files: int | None = None) -> DataFrame:
     """Append the new rows of batch to the Parquet table at path; returns action, rows. Replays insert
     nothing; conflicts are refused and counted.
 
     Of the stored rows only those are hashed whose key the batch has, and they are looked for only in files
     that the table's index (sources/index.py) says may hold one; new files are indexed after the
     append. Where `partition_by` is part of the key and the batch names no more than FEW_PARTITIONS, only
-    these are read."""
+    these are read. `files` is the most files that the rows are written to; else there are as many as the
+    classified batch has partitions, which is up to the session."""
     spark, schema = batch.sparkSession, batch.schema
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
@@ -65,7 +66,8 @@ def append(batch: DataFrame, path: str, key: list[str], earliest: str | None = N
         wanted = keys.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(key)])
         stored = every.join(wanted, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(key)], "left_semi")
     told = _cut(classify(batch, stored, key, earliest))
-    told.where("action = 'insert'").select(*batch.columns).write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
+    new = told.where("action = 'insert'").select(*batch.columns)
+    (new.coalesce(files) if files else new).write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
     if indexed:
         index.refresh(spark, path, schema, key)
     return told.groupBy("action").agg(F.count("*").alias("rows"))

@@ -75,3 +75,15 @@ def test_partitioned_table(spark, tmp_path):
     assert run([(1, "day 1/é", 5), (99, "day 1/é", 1)]) == {"conflict": 1, "insert": 1}
     schema = _frame(spark, []).schema
     assert len(index.files_for(_frame(spark, rows[:1]).select("s", "k"), path, schema, ["s", "k"])) == 1
+
+
+def test_an_append_writes_the_files_it_is_asked_for(spark, tmp_path):
+    before, path = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), f"file://{tmp_path}/ledger"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as for a batch that is too large to be joined up
+    try:
+        rows = [(i, f"s{i}", i % 7) for i in range(400)]
+        assert _actions(ledger.append(_frame(spark, rows), path, ["k", "s"], files=1)) == {"insert": 400}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    schema = _frame(spark, []).schema
+    assert len(index.files_for(_keys(spark, [3, 300]), path, schema, ["k", "s"])) == len(index.files_of(spark, path, schema)) == 1
