@@ -15,6 +15,8 @@ from ..sources.shared import stash
 FOLD_LIMIT = 5000
 #: Observations of a chunk of long histories.
 CHUNK_ROWS = 200_000
+#: Chunks for each partition of a shuffle at most: a range's bounds and a task's result go through the driver.
+MOST_CHUNKS = 8
 #: Observations that one hash of an epoch's id covers.
 CHUNK = 1000
 
@@ -129,9 +131,11 @@ def _carried(out: list[tuple]) -> pd.DataFrame:
 
 
 def _chunks(rows: DataFrame, chunk_rows: int) -> DataFrame:
-    """rows sorted by ranges into chunks, each folded by itself."""
+    """rows sorted by ranges into chunks, each folded by itself. A chunk is read as it comes, so its size is bound
+    by no memory: where chunks of `chunk_rows` would be too many for the driver, they are larger."""
     chosen = rows.select(*ORDER, "ids")
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chosen.count() // chunk_rows))
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(max(least, -(-chosen.count() // chunk_rows)), MOST_CHUNKS * max(least, 32))
     types = ", ".join(f"{c} {t}" for c, t in chosen.dtypes)
     folded = chosen.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER).mapInPandas(_fold_chunk, f"{types}, chunk int, seq long, local int, fresh boolean, kind int")
     return stash(folded, "chunks")
