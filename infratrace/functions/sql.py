@@ -21,6 +21,11 @@ FUNCTIONS = {
 }
 
 
+def _once(value: str, body: str) -> str:
+    """body, with the value as x, worked out once however often the body names it."""
+    return f"element_at(transform(array({value}), x -> {body}), 1)"
+
+
 def _replaced(value: str, steps) -> str:
     for pattern, into in steps:
         value = f"regexp_replace({value}, r'{pattern}', '{into}')"
@@ -37,11 +42,11 @@ _FORMS = {
 FUNCTIONS |= {
     "refang(v string)": _replaced(_STRIPPED, text.REFANG * 3),
     "is_defanged(v string)": f"refang(v) <> {_STRIPPED}",
-    "normalize_indicator(scope string, v string)": r"""case when scope in ('hash_md5', 'hash_sha1', 'hash_sha256', 'ja3', 'jarm') then lower(refang(v)) when scope = 'cert' then lower(replace(refang(v), ':', ''))
-      when scope = 'domain' then lower(regexp_replace(refang(v), r'\.+$', '')) when scope = 'email' then concat(regexp_extract(refang(v), '^(.*@)', 1), lower(regexp_extract(refang(v), '([^@]*)$', 1)))
-      when scope = 'url' then concat(regexp_extract(refang(v), r'^([A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?)', 1), lower(regexp_extract(refang(v), r'^(?:[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?)([^/?#@]*)', 1)), regexp_replace(refang(v), r'^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*', ''))
-      else refang(v) end""",
-    "valid_indicator(scope string, v string)": "coalesce(v <> '' and case " + " ".join(f"when scope = '{scope}' then v rlike r'{form}'" for scope, form in _FORMS.items()) + f" when scope = 'domain' then v rlike r'{text.DOMAIN}' and not v rlike r'{text.IPV4}' else false end, false)",
+    "normalize_indicator(scope string, v string)": _once("refang(v)", r"""case when scope in ('hash_md5', 'hash_sha1', 'hash_sha256', 'ja3', 'jarm') then lower(x) when scope = 'cert' then lower(replace(x, ':', ''))
+      when scope = 'domain' then lower(regexp_replace(x, r'\.+$', '')) when scope = 'email' then concat(regexp_extract(x, '^(.*@)', 1), lower(regexp_extract(x, '([^@]*)$', 1)))
+      when scope = 'url' then concat(regexp_extract(x, r'^([A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?)', 1), lower(regexp_extract(x, r'^(?:[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?)([^/?#@]*)', 1)), regexp_replace(x, r'^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*', ''))
+      else x end"""),
+    "valid_indicator(scope string, v string)": _once("v", "coalesce(x <> '' and case " + " ".join(f"when scope = '{scope}' then x rlike r'{form}'" for scope, form in _FORMS.items()) + f" when scope = 'domain' then x rlike r'{text.DOMAIN}' and not x rlike r'{text.IPV4}' else false end, false)"),
     "publication_precision(v string)": r"""case when v is null or trim(v) = '' then 'unknown' when trim(v) rlike r'^\d{4}-\d{2}-\d{2}$' then 'date' when trim(v) rlike r'^\d{4}-\d{2}$' then 'month' when trim(v) rlike r'^\d{4}$' then 'year'
       when trim(v) rlike r'^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})$' and try_cast(trim(v) as timestamp) is not null then 'exact_timestamp' else 'unknown' end""",
 }
