@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from infratrace.functions import html
 from infratrace.functions import text as T
 from infratrace.functions.ids import iso_text, joined_id, json_id
+from infratrace.operators import mining
 
 
 def values(spark, rows, schema, *columns):
@@ -39,6 +40,12 @@ def test_valid(spark, scope, good, bad):
     assert got == [True] * len(good) + [False] * len(bad)
 
 
+def test_addresses_that_touch_are_all_found(spark):
+    docs = spark.createDataFrame([("a", "seen 9.1.1.1 9.2.2.2,9.3.3.3 now"), ("b", "9.1.1.1.1 9.2.2.2. 9.3.3.3")], "document_id string, text string")
+    got = mining.mine(docs, ("ip",)).orderBy("document_id", "pos").collect()
+    assert [(r["document_id"], r["raw_form"]) for r in got] == [("a", "9.1.1.1"), ("a", "9.2.2.2"), ("a", "9.3.3.3"), ("b", "9.3.3.3")]
+
+
 def test_domain_block_reason(spark):
     rows = ["relay.example.org", "relay.badinfra.net", "payload.exe", "localhost", "", "*.lumen.com", "a..b", "trojan.x.net", None]
     got = [g[0] for g in values(spark, [(r,) for r in rows], "v string", T.domain_block_reason(F.col("v")))]
