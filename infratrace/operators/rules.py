@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import iso_text, json_id, joined_id, sha256_text
+from ..sources.shared import stash
 
 OPERATORS = {"required": "AND", "alternative": "OR", "exclusion": "NOT"}
 #: Clause origins of each kind of composition.
@@ -79,23 +80,32 @@ def match_rules(observations: DataFrame, clauses: DataFrame, entity: str = "obse
     """design_id and entity of every match: all required clauses, one alternative if there are any, no
     exclusion. observations: entity, query_field, canonical_value.
 
-    Required clauses meet observations on field and value first; only for their hits are the entity's
-    other observations looked up among the rule's alternatives and exclusions. Rules that require
-    nothing begin with their alternatives."""
+    Observations become numbers of the clauses' terms (field and value), others are dropped, and are dealt
+    out by entity once: all that follows stays within an entity. Rules whose required clauses are all
+    there are looked up among the entity's other terms, for their alternatives and exclusions. Rules that
+    require nothing begin with an alternative. Rows without an entity match nothing. Clauses are read
+    while the DataFrame is built."""
     own = clauses.select("design_id", "clause_id", "logical_role", "query_field", "canonical_value").distinct()
-    is_role = lambda r: F.col("logical_role") == r
+    is_role = lambda r: F.coalesce(F.col("logical_role") == r, F.lit(False))
     needs = own.groupBy("design_id").agg(F.count_if(is_role("required")).alias("n_required"), F.count_if(is_role("alternative")).alias("n_alternative"))
-    told, on = own.join(needs, "design_id"), ["query_field", "canonical_value"]
-    required = told.where(is_role("required"))
-    hits = observations.join(required, on).select("design_id", entity, "clause_id", "n_required", "n_alternative").distinct()
-    first = hits.groupBy("design_id", entity).agg(F.count("*").alias("n"), F.first("n_required").alias("n_required"), F.first("n_alternative").alias("n_alternative")).where("n = n_required").select("design_id", entity, "n_alternative")
-    free = observations.join(told.where(is_role("alternative") & (F.col("n_required") == 0)), on).select("design_id", entity, "n_alternative").distinct()
-    begun = first.unionAll(free)
-    others = own.where(~is_role("required")).select("design_id", *on, "logical_role")
-    found = begun.select("design_id", entity).join(observations, entity).join(others, ["design_id", *on]).select("design_id", entity, F.lit(None).cast("long").alias("n_alternative"), "logical_role")
-    every = begun.withColumn("logical_role", F.lit("begun")).unionAll(found)
-    got = every.groupBy("design_id", entity).agg(F.max("n_alternative").alias("n"), F.bool_or(is_role("alternative")).alias("alternative"), F.bool_or(is_role("exclusion")).alias("excluded"))
-    return got.where(((F.col("n") == 0) | F.col("alternative")) & ~F.col("excluded")).select("design_id", entity)
+    on = ["query_field", "canonical_value"]
+    opens = is_role("required") | (is_role("alternative") & (F.col("n_required") == 0))
+    told = own.join(needs, "design_id").groupBy("design_id", *on, "n_required", "n_alternative").agg(F.count_if(opens).alias("opens"), F.bool_or(is_role("alternative")).alias("alternative"), F.bool_or(is_role("exclusion")).alias("excluded"))
+    told = stash(told, "rule-clauses")
+    others = F.col("alternative") | F.col("excluded")
+    terms = told.groupBy(*on).agg(F.max(F.col("opens") > 0).alias("opens"), F.max(others).alias("others")).where("opens or others")
+    terms = stash(terms.select(*on, F.monotonically_increasing_id().alias("term"), (F.col("opens").cast("int") + F.col("others").cast("int") * 2).alias("kinds")), "rule-terms").where("term is not null")
+    asked = stash(told.join(terms.drop("kinds"), on), "rule-asks")
+    dealt = observations.join(terms, on).where(F.col(entity).isNotNull()).select(entity, "term", "kinds").repartition(entity)
+    # the kind of a term as an aggregate: both uses then read one exchange
+    seen = dealt.groupBy(entity, "term").agg(F.max("kinds").alias("kinds"))
+    first = seen.where("kinds in (1, 3)").join(asked.where("opens > 0").select("design_id", "term", "n_required", "n_alternative", "opens"), "term")
+    first = first.groupBy("design_id", entity).agg(F.sum("opens").alias("n"), F.max("n_required").alias("n_required"), F.max("n_alternative").alias("n_alternative"))
+    begun = first.where("n_required = 0 or n = n_required").select("design_id", entity, "n_alternative")
+    rest = asked.where(others).select("design_id", "term", "alternative", "excluded")
+    found = begun.join(seen.where("kinds in (2, 3)").select(entity, "term"), entity, "left").join(rest, ["design_id", "term"], "left")
+    got = found.groupBy("design_id", entity).agg(F.max("n_alternative").alias("n"), F.bool_or("alternative").alias("alternative"), F.bool_or("excluded").alias("excluded"))
+    return got.where(((F.col("n") == 0) | F.coalesce("alternative", F.lit(False))) & ~F.coalesce("excluded", F.lit(False))).select("design_id", entity)
 
 
 def budgeted(rows: DataFrame, run: str, order: list[str], most: int) -> DataFrame:

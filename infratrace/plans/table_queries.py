@@ -81,7 +81,7 @@ def composites(spark: SparkSession, folder: str) -> DataFrame:
 
 def rule_match(spark: SparkSession, folder: str) -> DataFrame:
     """An order is a host, the brands, types and sizes of its parts are its features."""
-    li, p = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey").distinct(), table(spark, folder, "part")
+    li, p = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey"), table(spark, folder, "part")
     shipped = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("entity"), F.inline(F.array(F.struct(F.lit("brand").alias("query_field"), F.col("p_brand").alias("canonical_value")), F.struct(F.lit("type").alias("query_field"), F.col("p_type").alias("canonical_value")), F.struct(F.lit("size").alias("query_field"), F.col("p_size").cast("string").alias("canonical_value")))))
     return rules.match_rules(shipped, _clauses(spark, folder), "entity")
 

@@ -1,6 +1,7 @@
 """Pivots, rules, prospective path, ledgers, audits, scans on small cases."""
 
 import json
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -271,3 +272,12 @@ def test_append_reads_the_named_partitions(spark, tmp_path):
     assert run([("a", 1, 1), ("a", 2, 1), (None, 3, 1)]) == {"insert": 3}
     assert run([("a", 1, 1), ("a", 2, 9), ("b", 1, 1), (None, 3, 1)]) == {"noop": 2, "conflict": 1, "insert": 1}
     assert spark.read.parquet(path).count() == 4
+
+
+def test_rules_deal_out_observations_once_by_entity(spark):
+    seen = spark.createDataFrame([("e", "f", "a"), ("e", "f", "a"), ("e", "g", "b"), ("x", "f", "a"), ("x", "g", "z")], "entity string, query_field string, canonical_value string")
+    clauses = spark.createDataFrame([("r", "1", "required", "f", "a"), ("r", "2", "alternative", "g", "b"), ("r", "3", "exclusion", "g", "z"), ("s", "4", "alternative", "g", "z")], "design_id string, clause_id string, logical_role string, query_field string, canonical_value string")
+    got = rules.match_rules(seen, clauses, "entity")
+    assert sorted(map(tuple, got.collect())) == [("r", "e"), ("s", "x")]
+    plan = got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Exchange hashpartitioning\((.*?)#", plan)) == {"entity"} and not re.search(r"hashpartitioning\(entity#\d+, [a-z]", plan)
