@@ -51,8 +51,10 @@ def memberships(sets: DataFrame, hosts: DataFrame, services: DataFrame, excluded
     effective = F.coalesce("h.observed_at", "h.collected_at")
     own = ["h.observation_id", "h.host_observed", "h.collected_at", effective.alias("effective_at")]
     if excluded:
-        told = hosts.alias("h").join(broadcast_if_few(sets).alias("r"), F.lit(True)).select("r.*", *own)
-        told = told.join(hits.withColumn("hit", F.lit(True)), ["reference_set_id", "observation_id"], "left")
+        # a host meets its sets before it goes out to all of them, so that it is moved once
+        of_host = hits.groupBy("observation_id").agg(F.collect_set("reference_set_id").alias("_hits"))
+        told = hosts.alias("h").join(of_host, "observation_id", "left").join(broadcast_if_few(sets).alias("r"), F.lit(True))
+        told = told.select("r.*", *own, F.when(F.array_contains("_hits", F.col("r.reference_set_id")), True).alias("hit"))
     else:
         told = hosts.alias("h").join(hits, "observation_id").join(broadcast_if_few(sets).alias("r"), "reference_set_id").select("r.*", *own, F.lit(True).alias("hit"))
     reason = (
@@ -75,9 +77,10 @@ def feature_stats(catalog: DataFrame, observations: DataFrame, sets: DataFrame,
     few = sets.select("reference_set_id", "cutoff_at")
     few = F.broadcast(few) if small else few
     sample = anchors.select("reference_set_id", "observation_id", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(members.where("observable").select("reference_set_id", "observation_id", F.lit(0), F.lit(1)))
-    sample = sample.groupBy("reference_set_id", "observation_id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    # both sides are dealt out by observation once: their groups and the join stay within an observation
+    sample = sample.repartition("observation_id").groupBy("reference_set_id", "observation_id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     totals = sample.groupBy("reference_set_id").agg(F.sum("a").alias("anchor_denominator"), F.sum("b").alias("background_denominator"))
-    seen = observations.groupBy("feature_id", "observation_id").agg(F.min(F.greatest("available_at", F.coalesce("observed_at", "available_at"))).alias("known_at"))
+    seen = observations.select("feature_id", "observation_id", "available_at", "observed_at").repartition("observation_id").groupBy("feature_id", "observation_id").agg(F.min(F.greatest("available_at", F.coalesce("observed_at", "available_at"))).alias("known_at"))
     hits = seen.join(sample, "observation_id").join(few, "reference_set_id").where("known_at <= cutoff_at")
     counts = hits.groupBy("feature_id", "reference_set_id").agg(F.sum("a").alias("anchor_numerator"), F.sum("b").alias("background_numerator"))
     if manifest:

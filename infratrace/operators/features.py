@@ -32,13 +32,16 @@ SERVICE_SPEC = (
 
 
 def _unpivot(rows: DataFrame, spec: tuple, keep: list[str]) -> DataFrame:
+    """A row for each value of the spec's columns. Values are put into canonical form after they are rows, so
+    that each is read once."""
     each = []
     for column, family, kind, field, stability in spec:
         if column in rows.columns:
-            raw = F.col(column).cast("string")
-            shared = F.coalesce(raw.rlike("^0+$"), F.lit(False)) if kind == "jarm" else F.coalesce(canonical(raw).isin(*SHARED_PRODUCTS), F.lit(False)) if kind == "software_product" else F.lit(False)
-            each.append(F.struct(F.lit(family).alias("feature_family"), F.lit(kind).alias("feature_type"), canonical(raw).alias("canonical_value"), F.lit(f"host.{field}" if field else None).cast("string").alias("query_field"), F.lit(stability).alias("stability"), shared.alias("shared_or_default")))
-    return rows.select(*keep, F.inline(F.array(*each))).where("canonical_value is not null")
+            each.append(F.struct(F.lit(family).alias("feature_family"), F.lit(kind).alias("feature_type"), F.col(column).cast("string").alias("_raw"), F.lit(f"host.{field}" if field else None).cast("string").alias("query_field"), F.lit(stability).alias("stability")))
+    told = rows.select(*keep, F.inline(F.array(*each))).where("_raw is not null")
+    told = told.withColumn("canonical_value", canonical(F.col("_raw"))).where("canonical_value is not null")
+    shared = F.when(F.col("feature_type") == "jarm", F.col("_raw").rlike("^0+$")).when(F.col("feature_type") == "software_product", F.col("canonical_value").isin(*SHARED_PRODUCTS)).otherwise(False)
+    return told.select(*keep, "feature_family", "feature_type", "canonical_value", "query_field", "stability", shared.alias("shared_or_default"))
 
 
 def observed_features(hosts: DataFrame, services: DataFrame, extractor_version: str = "v1") -> DataFrame:

@@ -162,3 +162,13 @@ def test_search_protocols_and_sql_functions(spark):
     low = background.wilson(F.lit(2), F.lit(2))[0]
     assert abs(row["l"] - spark.range(1).select(low).collect()[0][0]) < 1e-12 and row["h"] == 1.0
     assert (row["c"], row["d"], row["v"]) == ("a b", "hxxp://a[.]b[@]c/d[.]e", True) and abs(row["f"] - 5e8) < 1
+
+
+def test_memberships_move_hosts_once_for_all_sets(spark):
+    h = frame(spark, "observation_id string, observed_at timestamp, collected_at timestamp, host_observed boolean", ("a", day(1), day(1), True), ("b", day(1), day(1), True))
+    s = frame(spark, "observation_id string, port int, protocol string, software_product string", ("a", 443, "https", None), ("b", 22, "ssh", None))
+    sets = frame(spark, "reference_set_id string, cutoff_at timestamp, protocol string, ports array<int>, product string, window_start timestamp, window_end timestamp, registered_at timestamp", ("web", day(5), "https", [443], None, None, None, day(6)), ("any", day(5), None, None, None, None, None, day(6)))
+    told = background.memberships(sets, h, s)
+    assert {(r["reference_set_id"], r["observation_id"], r["exclusion_reason"]) for r in told.collect()} == {("web", "a", None), ("any", "a", None), ("any", "b", None), ("web", "b", "stratum_mismatch")}
+    tree = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter, (observation_id" in tree and not any("LeftOuter" in line and "reference_set_id" in line for line in tree.splitlines())
