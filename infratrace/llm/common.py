@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch, so that a batch of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: Rows up to which a side table is sent to every task.
+SIDE_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def side(stashed: DataFrame, rows: int = SIDE_ROWS) -> DataFrame:
+    """A stashed table as one side of a join: sent to every task up to so many rows, moved by key beyond.
+
+    The planner sizes what `explode` makes by the rows it is made of, so it may take the other side for
+    the smaller one and collect all of it in the driver."""
+    return stashed.hint("broadcast" if stashed.count() <= rows else "merge")
+
+
 def discard(*stashed: DataFrame) -> None:
     """Delete tables that `stash` wrote, once what was made of them is written itself."""
     for df in stashed:

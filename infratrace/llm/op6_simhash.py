@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from . import near_copies
-from .common import bound_batches, connected_components, discard, stash, table
+from .common import bound_batches, connected_components, discard, side, stash, table
 from .near_copies import hashes_of, majority, words_of
 
 SHINGLE = 4
@@ -143,14 +143,15 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT, block: int =
     filed = variants(fps.repartition(spread, "fp"), max_bits)
     hot_keys = stash(filed.groupBy(*key).count().where(F.col("count") > hot).withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count"), "hot_keys")
     any_hot = not hot_keys.isEmpty()
-    cold = filed.join(hot_keys, key, "left_anti") if any_hot else filed
+    cold = filed.join(side(hot_keys), key, "left_anti") if any_hot else filed
     a, b = cold.select(*key, F.col("fp").alias("a")), cold.select(*key, F.col("fp").alias("b"))
-    pairs = a.join(b, key).where((F.col("a") < F.col("b")) & _first_fit(F.col("a"), F.col("b"), F.col("seg"), F.col("bit"), max_bits)).select("a", "b")
+    # by its size the planner takes the signatures for no more than the fingerprints and would send all of them to every task
+    pairs = a.hint("merge").join(b, key).where((F.col("a") < F.col("b")) & _first_fit(F.col("a"), F.col("b"), F.col("seg"), F.col("bit"), max_bits)).select("a", "b")
     if not any_hot:
         return pairs
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = (
-        filed.join(hot_keys, key).withColumn("block", own)
+        filed.join(side(hot_keys), key).withColumn("block", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(*key, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "fp")
     )
