@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from .common import bound_batches, connected_components, discard, stash
+from .common import bound_batches, connected_components, discard, side, stash
 
 SEED = 42
 SHINGLE = 5
@@ -159,16 +159,16 @@ def links(filed: DataFrame, more: DataFrame | None, sizes: DataFrame, sets_of: C
     key = ["band", "value"]
     hot_keys = stash(filed.groupBy(*key).count().where(F.col("count") > hot).withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count"), "hot_bands")
     any_hot = not hot_keys.isEmpty()
-    cold = filed.join(hot_keys, key, "left_anti") if any_hot else filed
+    cold = filed.join(side(hot_keys), key, "left_anti") if any_hot else filed
     a, b = cold.select(*key, F.col("node").alias("a")), cold.select(*key, F.col("node").alias("b"))
-    shared = a.join(b, key).where("a < b").select("a", "b")
+    shared = a.hint("merge").join(b, key).where("a < b").select("a", "b")
     shared = (shared.unionAll(more) if more is not None else shared).distinct()
     small, large = F.least("x", "y"), F.greatest("x", "y")
     sized = shared.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("x")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("y")), "b")
     pairs = stash(sized.where(small / large >= similarity).select("a", "b"), "candidates")
     compared = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))
     if any_hot:
-        compared = compared.unionAll(filed.join(hot_keys, key, "left_semi").select("node"))
+        compared = compared.unionAll(filed.join(side(hot_keys), key, "left_semi").select("node"))
     sets = stash(sets_of(compared.distinct()), "shingles")
     one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -176,7 +176,7 @@ def links(filed: DataFrame, more: DataFrame | None, sizes: DataFrame, sets_of: C
     if any_hot:
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         dealt = (
-            filed.join(hot_keys, key).withColumn("block", own).join(sets, "node")
+            filed.join(side(hot_keys), key).withColumn("block", own).join(sets, "node")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select(*key, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "hashes")
         )
@@ -196,7 +196,8 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     classes = stash(marked.groupBy("mark.node").agg(F.min("doc_id").alias("first_id"), F.min("digest").alias("digest"), F.first("mark").alias("mark")).select("node", "first_id", "digest", "mark.size", "mark.fp", "mark.bands"), "nodes")
     every = classes.select("node", F.posexplode("bands").alias("band", "value")).select("band", "value", "node")
     shared = every.groupBy("band", "value").count().where("count > 1").drop("count")
-    filed = stash(every.join(shared, ["band", "value"]), "filed")
+    # both sides hold BANDS rows a node, which their sizes as the planner sees them do not tell
+    filed = stash(every.join(shared.hint("merge"), ["band", "value"]), "filed")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = classes.join(nodes, "node", "left_semi").select("digest", "node")
